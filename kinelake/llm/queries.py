@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .quality import op1_quality_fm
 from .sharding import op9_rendezvous_shards
+from .toxicity import op10_compression_toxicity
 
 QUERIES = {
+    "op1_quality_fm": op1_quality_fm,
     "op9_rendezvous_shards": op9_rendezvous_shards,
+    "op10_compression_toxicity": op10_compression_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from .fingerprint import op7_paragraph_multiset_hash
+from .hmm import op8_hidden_markov
+from .media import op6_avi_clips
 from .quality import op1_quality_fm
 from .sharding import op9_rendezvous_shards
+from .tokenids import op4_packed_ids
 from .toxicity import op10_compression_toxicity
 
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
+    "op4_packed_ids": op4_packed_ids,
+    "op6_avi_clips": op6_avi_clips,
+    "op7_paragraph_multiset_hash": op7_paragraph_multiset_hash,
+    "op8_hidden_markov": op8_hidden_markov,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_compression_toxicity": op10_compression_toxicity,
 }

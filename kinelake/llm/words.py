@@ -102,7 +102,7 @@ def shingles(word: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[np
     for j in range(1, k):
         more = run + j < length
         nxt = np.zeros_like(word)
-        nxt[: len(word) - j] = word[j:]
+        nxt[: max(len(word) - j, 0)] = word[j:]
         h = np.where(more, h * np.uint64(0x100000001B3) + nxt, h)
     keep = (run + k <= length) | ((length < k) & (run == 0))
     return mix(h[keep], k), doc[keep]

@@ -12,7 +12,7 @@ is the share of label 1 (0.5 if there are none); an empty table gives an empty o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,8 +133,8 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.02, deca
     return model
 
 
-def train(docs: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> FactorisationMachine:
-    """Fits on labelled (doc_id, label): at most rows of them, the least by a hash of the id.
+def labelled_features(docs: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS, more: Callable[[list], list[bytes]] | None = None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Features and labels of at most rows labelled documents (doc_id, label), the least by a hash of the id, and what more makes of their texts.
 
     The features are made where the texts are; the driver receives them as half floats, at most rows of them.
     """
@@ -145,12 +145,19 @@ def train(docs: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> Factori
 
     def rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            x = features(pdf["text"].tolist(), pdf["n_chars"].tolist()).astype(np.float16)
-            yield pd.DataFrame({"h": pdf["h"], "label": pdf["label"].astype(int), "x": [r.tobytes() for r in x]})
+            texts = pdf["text"].tolist()
+            x = features(texts, pdf["n_chars"].tolist()).astype(np.float16)
+            yield pd.DataFrame({"h": pdf["h"], "label": pdf["label"].astype(int), "x": [r.tobytes() for r in x], "more": more(texts) if more else [b""] * len(x)})
 
-    got = own.mapInPandas(rows_of, "h long, label int, x binary").groupBy("h").agg(F.min(F.struct("label", "x")).alias("r")).select("h", "r.*").toPandas().sort_values("h")
+    got = own.mapInPandas(rows_of, "h long, label int, x binary, more binary").groupBy("h").agg(F.min(F.struct("label", "x", "more")).alias("r")).select("h", "r.*").toPandas().sort_values("h")
     x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(len(got), SLOTS + _STATS).astype(np.float32)
-    return fit(x, got["label"].to_numpy(np.float32))
+    return x, got["label"].to_numpy(np.int64), got["more"].tolist()
+
+
+def train(docs: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> FactorisationMachine:
+    """Fits on labelled (doc_id, label)."""
+    x, y, _ = labelled_features(docs, labelled, rows)
+    return fit(x, y.astype(np.float32))
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:

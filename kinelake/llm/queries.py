@@ -5,6 +5,9 @@ from __future__ import annotations
 from .fingerprint import op7_paragraph_multiset_hash
 from .hmm import op8_hidden_markov
 from .media import op6_avi_clips
+from .mixing import op2_soft_mixing
+from .neardup import op3_order_minhash
+from .packing import op5_variable_best_fit
 from .quality import op1_quality_fm
 from .sharding import op9_rendezvous_shards
 from .tokenids import op4_packed_ids
@@ -12,7 +15,10 @@ from .toxicity import op10_compression_toxicity
 
 QUERIES = {
     "op1_quality_fm": op1_quality_fm,
+    "op2_soft_mixing": op2_soft_mixing,
+    "op3_order_minhash": op3_order_minhash,
     "op4_packed_ids": op4_packed_ids,
+    "op5_variable_best_fit": op5_variable_best_fit,
     "op6_avi_clips": op6_avi_clips,
     "op7_paragraph_multiset_hash": op7_paragraph_multiset_hash,
     "op8_hidden_markov": op8_hidden_markov,

@@ -20,9 +20,7 @@ and no rows; other columns are not read.
 
 from __future__ import annotations
 
-import array
 import itertools
-import operator
 import os
 import re
 import struct
@@ -39,33 +37,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket_of, cut_points, documents, partitions, scratch_dir, small_batches
+from .words import span_hashes
 
 BLOCK_IDS = 1 << 16
 MAGIC = b"PKIDS001"
 _FOOTER = struct.Struct("<IIQQQQ8s")
 #: Documents that a task reads back at once.
 READ_DOCS = 4096
-#: Pieces whose ids a worker remembers; others are encoded each time they come.
-CACHE_PIECES = 500_000
+#: Places (a power of two) in which a worker remembers pieces' ids; characters that are split at once.
+CACHE_SLOTS, SPLIT_CHARS = 1 << 21, 1 << 19
 
-# Fixed value: the split pattern of the byte-level BPE vocabulary.
-PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The endings that the byte-level BPE's split takes as pieces of their own, and its special characters' code points.
+ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
+_SPACE, _APOSTROPHE = 0x20, 0x27
 #: Code points on whose classes all engines and Unicode versions agree; a text with others is encoded whole.
 _STABLE_RANGES = ((0x00, 0x1B), (0x20, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC))
 _STABLE = re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in _STABLE_RANGES) + "]*")
-
-
-def _class(kind: str) -> str:
-    """The stable code points of a general category's first letter, as the inside of a bracket."""
-    return "".join(f"\\u{c:04x}" for a, b in _STABLE_RANGES for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == kind)
-
-
-def _compiled(pattern: str) -> re.Pattern:
-    """The split pattern over stable code points, for the standard library's engine."""
-    for kind in "LN":
-        inside = _class(kind)
-        pattern = pattern.replace(rf"[^\s\p{{L}}\p{{N}}]", f"[^\\s{_class('L')}{_class('N')}]").replace(rf"\p{{{kind}}}", f"[{inside}]")
-    return re.compile(pattern)
+_WHITE, _LETTER, _NUMBER, _OTHER, _END = range(5)
+_CLASS = np.full(0x20AD, _OTHER, np.uint8)
+for _a, _b in _STABLE_RANGES:
+    for _c in range(_a, _b + 1):
+        _kind = unicodedata.category(chr(_c))[0]
+        _CLASS[_c] = _LETTER if _kind == "L" else _NUMBER if _kind == "N" else _WHITE if chr(_c).isspace() else _OTHER
 
 
 def width(vocabulary: int) -> int:
@@ -180,42 +173,106 @@ class IdReader:
             yield None if self.null[k] else int(self.doc_id[k]), int(at[k]), ids[at[k] - at[lo] : at[k + 1] - at[lo]]
 
 
+def pieces(texts: Sequence[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts joined, their code points, where pieces begin and end, the text of each), for texts of stable code points.
+
+    Letters, numbers or other characters make a piece each, with one space before it; white space makes one up to its
+    last character, which is apart; an apostrophe that begins a piece takes one of ENDINGS with it and nothing else.
+    """
+    joined = "".join(t + "\0" for t in texts)
+    code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    kind = _CLASS[code]
+    kind[ends] = _END
+    begins = np.ones(len(code), bool)
+    begins[1:] = kind[1:] != kind[:-1]
+    after = np.flatnonzero((kind[1:] != _WHITE) & (kind[1:] != _END) & (kind[:-1] == _WHITE)) + 1
+    begins[after - 1] = True
+    begins[after] = code[after - 1] != _SPACE
+    mark = np.flatnonzero((code == _APOSTROPHE) & begins)
+    for ending in ENDINGS if len(mark) else ():
+        at = mark[mark + len(ending) < len(code)]
+        for k, letter in enumerate(ending, 1):
+            at = at[code[at + k] == ord(letter)]
+        begins[at + 1] = False
+        begins[at + 1 + len(ending)] = True
+    start = np.flatnonzero(begins)
+    stop = np.append(start[1:], len(code))
+    real = kind[start] != _END
+    start, stop = start[real], stop[real]
+    return joined, code, start, stop, np.searchsorted(ends, start)
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    Byte-level BPE encodes the pieces of its split pattern each for itself, so a piece's ids are asked of the library
-    once and remembered. Texts with characters on whose class Unicode versions differ are encoded whole.
+    Byte-level BPE encodes the pieces of its split each for itself, so a piece's ids are asked of the library once and
+    remembered under its hash, in a table of fixed size. Texts with characters on whose class Unicode versions differ,
+    or with a special token's name, are encoded whole.
     """
 
-    def __init__(self, path: str, pattern: str | None = PIECE_PATTERN, limit: int = CACHE_PIECES):
+    def __init__(self, path: str, slots: int = CACHE_SLOTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = _compiled(pattern).findall if pattern else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.slots = slots
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key = np.zeros(self.slots, np.uint64)
+        self.at, self.size = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int32)
+        self.ids, self.held = np.zeros(4 * self.slots, "<u4"), 0
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64(self.slots - 1)
+        return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _remember(self, h: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        one, two = self._slots(h)
+        slot = np.where((self.key[one] != 0) & (self.key[one] != h), two, one)
+        self.key[slot], self.at[slot], self.size[slot] = h, at, size
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """For each text its ids, as unsigned 32-bit integers."""
-        cut = [self.pieces(t) if self.pieces and _STABLE.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        flat = list(itertools.chain.from_iterable(c for c in cut if c))
-        found = list(map(self.known.get, flat))
-        missing = list(itertools.compress(range(len(flat)), map(operator.not_, found)))
-        new = list({flat[i] for i in missing})
-        ids = dict(zip(new, self._ids(new), strict=True))
-        for i in missing:
-            found[i] = ids[flat[i]]
-        self.known.update(itertools.islice(ids.items(), max(self.limit - len(self.known), 0)))
-        whole = iter(self._ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        out, at = [], 0
-        for c in cut:
-            out.append(next(whole) if c is None else b"".join(found[at : at + len(c)]))
-            at += len(c or ())
+        plain = [i for i, t in enumerate(texts) if _STABLE.fullmatch(t) and not any(s in t for s in self.special)]
+        out: list = [None] * len(texts)
+        rest = sorted(set(range(len(texts))).difference(plain))
+        for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
+            out[i] = np.array(ids, "<u4")
+        if not plain:
+            return out
+        joined, code, start, stop, doc = pieces([texts[i] for i in plain])
+        h = span_hashes(code, start, stop) | np.uint64(1)
+        one, two = self._slots(h)
+        slot = np.where(self.key[one] == h, one, two)
+        at, size = self.at[slot], self.size[slot].astype(np.int64)
+        missing = np.flatnonzero(self.key[slot] != h)
+        store = self.ids
+        if len(missing):
+            new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            asked = missing[first]
+            got = self._whole([joined[a:b] for a, b in zip(start[asked].tolist(), stop[asked].tolist(), strict=True)])
+            n = np.array([len(g) for g in got], np.int64)
+            flat = np.fromiter(itertools.chain.from_iterable(got), "<u4", int(n.sum()))
+            begin = np.cumsum(n) - n
+            at[missing], size[missing] = begin[back] + self.held, n[back]
+            if self.held + len(flat) <= len(self.ids):
+                self.ids[self.held : self.held + len(flat)] = flat
+                self._remember(new, begin + self.held, n)
+                self.held += len(flat)
+            else:  # full: these ids serve this once, and the table starts anew
+                store = np.concatenate([self.ids[: self.held], flat])
+                self._forget()
+        total = np.cumsum(size)
+        ids = store[np.repeat(at - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        cut = np.concatenate([[0], total])[np.searchsorted(doc, np.arange(len(plain) + 1))]
+        for k, i in enumerate(plain):
+            out[i] = ids[cut[k] : cut[k + 1]]
         return out
 
 
@@ -275,8 +332,8 @@ def write_ids(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 0, bu
         bits = width(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1))
         writer = None
         for pdf in frames:
-            for lo in range(0, len(pdf), 128):
-                part = pdf.iloc[lo : lo + 128]
+            group = pdf["text"].str.len().cumsum() // SPLIT_CHARS
+            for _, part in pdf.groupby(group, sort=False):
                 if writer is None:
                     bucket = int(part["bucket"].iloc[0])
                     system, name = _open(f"{out_dir}/ids-{bucket:06d}.bin")
@@ -284,7 +341,7 @@ def write_ids(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 0, bu
                     raw = system.open_output_stream(held := f"{name}.{uuid.uuid4().hex}.tmp")
                     writer = IdWriter(raw, bits)
                 for doc_id, null_id, ids in zip(part["doc_id"].tolist(), part["null_id"].tolist(), own.encode(part["text"].tolist()), strict=True):
-                    writer.add(None if null_id else doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
+                    writer.add(None if null_id else doc_id, np.append(ids, end))
         if writer is not None:
             size = writer.close()
             raw.close()

@@ -9,7 +9,7 @@ from .mixing import op2_soft_mixing
 from .neardup import op3_order_minhash
 from .packing import op5_variable_best_fit
 from .quality import op1_quality_fm
-from .sharding import op9_rendezvous_shards
+from .sharding import OP9_SQL, op9_rendezvous_shards
 from .tokenids import op4_packed_ids
 from .toxicity import op10_compression_toxicity
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_compression_toxicity": op10_compression_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_rendezvous_shards": OP9_SQL}

@@ -164,3 +164,15 @@ def interpolate(noise: Column, target: Column, t: Column) -> Column:
 
 def difference(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def model_masks(image_masks: Column, patches: int, text_mask: Column, horizon: int, state_token: bool) -> Column:
+    """A struct of valid and ar over a model's whole input: patches of each image, the prompt, then a state token and the actions.
+
+    Images and prompt see each other; the state token and the actions each begin a block of their own.
+    """
+    images = F.flatten(F.transform(image_masks, lambda m: F.array_repeat(m, patches)))
+    own = (1 if state_token else 0) + horizon
+    breaks = [1] * (2 if state_token else 1) + [0] * (horizon - 1)
+    ar = F.concat(F.array_repeat(F.lit(0), F.size(images) + F.size(text_mask)), F.array(*[F.lit(b) for b in breaks]))
+    return F.struct(F.concat(images, text_mask, F.array_repeat(F.lit(True), own)).alias("valid"), ar.alias("ar"))

@@ -175,3 +175,26 @@ def constant(height: int, width: int, channels: int = 3, value: int = 0) -> Colu
 def or_black(image: Column, height: int, width: int) -> tuple[Column, Column]:
     """(the image or a black one, whether there is one)."""
     return F.coalesce(image, constant(height, width)), image.isNotNull()
+
+
+def resized_map(views: Column, height: int, width: int) -> Column:
+    """Every image of a map resized, in one pass of Python over the map."""
+
+    @F.pandas_udf(f"array<{IMAGE}>")
+    def run(values: pd.Series) -> pd.Series:
+        out = []
+        for row in values:
+            if row is None:
+                out.append(None)
+                continue
+            made = [to_row(resize_with_pad(to_array(r), height, width)) if r is not None and r["data"] is not None else None for r in row]
+            out.append([dict(zip(("height", "width", "channels", "data"), m, strict=True)) if m else None for m in made])
+        return pd.Series(out, dtype=object)
+
+    return F.map_from_arrays(F.map_keys(views), run(F.map_values(views)))
+
+
+def with_masks(views: Column, masks: Column | None) -> Column:
+    """A map's masks; without any all views count."""
+    every = F.transform_values(views, lambda _, v: F.lit(True))
+    return every if masks is None else F.coalesce(masks, every)

@@ -31,12 +31,16 @@ def state_text(state: Column) -> Column:
     return F.array_join(F.transform(state, lambda v: digitize(v.cast("double")).cast("string")), " ")
 
 
+# The prompt formats that models are trained on.
+ACTION_PROMPT, ACTION_PREFIX = "Task: %s, State: %s;\nAction: ", "Task: %s, State: %s;\n"
+
+
 def action_prompt(prompt: Column, state: Column) -> Column:
-    return F.format_string("Task: %s, State: %s;\nAction: ", clean_prompt(prompt), state_text(state))
+    return F.format_string(ACTION_PROMPT, clean_prompt(prompt), state_text(state))
 
 
 def action_prefix(prompt: Column, state: Column) -> Column:
-    return F.format_string("Task: %s, State: %s;\n", lower_prompt(prompt), state_text(state))
+    return F.format_string(ACTION_PREFIX, lower_prompt(prompt), state_text(state))
 
 
 def padded_tokens(tokens: Column, size: int, pad: Column) -> Column:

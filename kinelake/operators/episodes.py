@@ -120,3 +120,13 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> D
     )
     w = Window.partitionBy(key).orderBy(ts, F.desc("_right")).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last("_value", ignorenulls=True).over(w)).where("_right = 0").drop("_right", "_value")
+
+
+def with_previous(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """df with the value of the key's row before; null for the first."""
+    return df.withColumn(name, F.lag(value).over(Window.partitionBy(key).orderBy(order)))
+
+
+def cut_episodes(df: DataFrame, step: str, most: int) -> DataFrame:
+    """Steps from most on are left out."""
+    return df.where(F.col(step) < most)

@@ -275,3 +275,54 @@ def test_event_time_stream(spark, sf_dir, tmp_path):
     q.stop()
     want = live.tumbling(batch.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "event_type")
     assert {(str(r.start), r.event_type, r.n) for r in spark.table("hours").collect()} == {(str(r.start), r.event_type, r.n) for r in want.collect()}
+
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def test_piece_tokens(spark, unit):
+    import sentencepiece
+
+    from kinelake.functions import tokenizers as tok
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    df = spark.createDataFrame([(" pick_it ", [0.0, 0.5], [3, 4]), (None, [0.1], None)], "prompt string, state array<double>, codes array<int>")
+    ids = [sp.bos_id(), *sp.encode("pick it"), *sp.encode("\n")]
+    got = df.select(tok.prompt_tokens(F.col("prompt"), PIECES, 12).alias("v")).first().v
+    assert got.tokens == (ids + [0] * 12)[:12] and got.mask == [i < len(ids) for i in range(12)]
+    v = df.select(tok.action_sequence(F.col("prompt"), F.col("state"), F.col("codes"), PIECES, 32_000, 64).alias("v")).first().v
+    prefix = [sp.bos_id(), *sp.encode("Task: pick it, State: 128 192;\n")]
+    suffix = [*sp.encode("Action: "), 32_000 - 1 - 128 - 3, 32_000 - 1 - 128 - 4, *sp.encode("|"), sp.eos_id()]
+    assert v.tokens[: len(prefix) + len(suffix)] == prefix + suffix and v.ar[: len(prefix) + 1] == [0] * len(prefix) + [1] and sum(v.loss) == len(suffix)
+    assert one(unit, tok.piece_text(F.lit(sp.encode("some words")), PIECES)) == "some words"
+    assert one(unit, tok.action_codes(F.lit("no actions here"), PIECES, 32_000)) == []
+    assert one(unit, tok.action_codes(F.lit("x Action: ab| c"), PIECES, 32_000)) == [32_000 - 129 - t for t in sp.encode("ab")]
+    assert one(unit, tok.codes_to_chunk(F.array(*[F.lit(128)] * 4), 2, 2)) == [[0, 0], [0, 0]] and one(unit, tok.codes_to_chunk(F.array(F.lit(255)), 1, 2)) == [[0, 0]]
+
+
+def test_model_masks(unit):
+    got = one(unit, arrays.model_masks(F.array(F.lit(True), F.lit(False)), 2, F.array(F.lit(True), F.lit(False)), 3, True))
+    assert got.valid == [True, True, False, False, True, False] + [True] * 4 and got.ar == [0] * 6 + [1, 1, 0, 0]
+    seen = one(unit, arrays.attention_mask(F.array(*[F.lit(True)] * 4), F.array(F.lit(0), F.lit(0), F.lit(1), F.lit(0))))
+    assert seen == [[True, True, False, False]] * 2 + [[True] * 4] * 2
+
+
+def test_convert(spark):
+    from kinelake.sources import convert
+
+    a = spark.createDataFrame([(0, 0, 1.0), (1, 0, 2.0)], "episode_index long, frame_index int, g double")
+    b = spark.createDataFrame([(0, 0, False)], "episode_index long, frame_index int, movement_enabled boolean")
+    both = convert.united([a, b])
+    assert sorted(r.episode_index for r in both.collect()) == [0, 1, 2] and convert.moving_steps(both).count() == 2
+    notes = spark.createDataFrame([(1, "fold")], "episode_index long, note string")
+    assert {r.episode_index: r.task for r in convert.with_task(a, notes, "episode_index").collect()} == {0: "Do something", 1: "fold"}
+    assert convert.with_task(a, constant="x").first().task == "x"
+    assert convert.with_actions(a.withColumn("v", F.array(F.lit(9.0))), "v", "g").first().actions == [9.0, 1.0]
+    px = np.zeros((4, 4, 3), np.uint8)
+    px[:, :, 0] = 200
+    frames = spark.createDataFrame([(0, 0, 0, images.to_row(px)), (0, 0, 1, images.to_row(px))], f"episode_index long, frame_index int, camera int, image {images.IMAGE}")
+    got = convert.with_cameras(a, frames, F.when(F.col("camera") == 0, "wrist").otherwise("side"), "episode_index", "frame_index", 2, 2).collect()
+    assert len(got) == 1 and set(got[0].images) == {"wrist", "side"} and images.to_array(got[0].images["wrist"])[0, 0].tolist() == [0, 0, 200]
+    small = spark.createDataFrame([(0, {"a": images.to_row(px), "b": None})], f"id int, m map<string,{images.IMAGE}>")
+    r = small.select(images.resized_map(F.col("m"), 2, 2).alias("m"), images.with_masks(F.col("m"), None).alias("k")).first()
+    assert (r.m["a"].height, r.m["b"], r.k) == (2, None, {"a": True, "b": True})

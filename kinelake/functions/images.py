@@ -14,7 +14,7 @@ IMAGE = "struct<height:int,width:int,channels:int,data:binary>"
 
 
 def to_array(row) -> np.ndarray:
-    return np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"])
+    return np.frombuffer(row["data"], np.uint8).reshape(int(row["height"]), int(row["width"]), int(row["channels"]))
 
 
 def to_row(a: np.ndarray) -> tuple:
@@ -187,7 +187,7 @@ def resized_map(views: Column, height: int, width: int) -> Column:
             if row is None:
                 out.append(None)
                 continue
-            made = [to_row(resize_with_pad(to_array(r), height, width)) if r is not None and r["data"] is not None else None for r in row]
+            made = [to_row(resize_with_pad(to_array(r), height, width)) if r is not None and r["data"] else None for r in row]
             out.append([dict(zip(("height", "width", "channels", "data"), m, strict=True)) if m else None for m in made])
         return pd.Series(out, dtype=object)
 

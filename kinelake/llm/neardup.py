@@ -266,7 +266,8 @@ def text_classes(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = near.join(blocks, "root").select("root", "id", own.alias("own"), other.alias("other"), "blocks")
     placed = placed.select("root", "id", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("part"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    once = texts.select("id", "text").join(near.select("id"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    # texts go by one shuffle at every size: whether near fits a broadcast isn't left to chance
+    once = texts.select("id", "text").join(near.select("id").hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     links = _verified(once.join(placed, "id"), least)
     return components(stored(links, "links"), "classes")
 

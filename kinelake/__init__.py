@@ -1 +1,25 @@
 """Spark-native processing of episodic trajectory data and of training corpora."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, on whatever machine they run: once for each Spark context.
+
+    Spark sends the file to executors itself; its place on the driver is only where it is read from.
+    """
+    sc, folder = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_kinelake", False) or not folder.is_dir():
+        return
+    name = Path(tempfile.mkdtemp(prefix="kinelake-")) / "kinelake.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(folder.rglob("*.py")):
+            z.write(p, p.relative_to(folder.parent))
+    sc.addPyFile(str(name))
+    sc._kinelake = True

@@ -16,7 +16,7 @@ empty one; other columns stay as they are.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ from .packing import token_count
 from .quality import FIT_ROWS, SLOTS, features, labelled_features
 from .words import chunks
 
-RIDGE, STEPS, TOLERANCE = 1e-3, 60, 5e-4
+RIDGE, STEPS, TOLERANCE = 1e-3, 40, 5e-4
 #: Slots of hashed words, of which so many at most are telling for each domain.
 WORD_SLOTS, TELLING = 1 << 18, 128
 #: The domains of the labels table and what each is to weigh.
@@ -151,8 +151,44 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.withColumn("_p", scored(F.col("text"), F.col("n_chars").cast("double"))).withColumn("_n", token_count(F.col("text")))
 
 
-def fit_rates(scored: DataFrame, target: np.ndarray) -> tuple[Column, np.ndarray]:
-    """The rate of a row, as an expression of its posterior _p, and the domains' shares of all tokens that result.
+@dataclass
+class Rates:
+    """The steps of a fit; a document's rate follows from its posterior and them alone."""
+
+    eta: float
+    pulls: list[np.ndarray]
+
+    def of(self, p: np.ndarray) -> np.ndarray:
+        rate = np.ones(len(p))
+        for pull in self.pulls:
+            rate = np.maximum(0, rate * (1 - self.eta * RIDGE) + self.eta * RIDGE - p @ pull)
+        return rate
+
+    def column(self) -> Column:
+        """The rate of a row with the posterior _p."""
+
+        @F.pandas_udf("double")
+        def rated(p: pd.Series) -> pd.Series:
+            return pd.Series(self.of(np.stack(p.tolist())) if len(p) else np.zeros(0))
+
+        return rated("_p")
+
+
+def _totals(scored: DataFrame, rates: Rates, d: int) -> np.ndarray:
+    """Each domain's expected tokens at these rates: summed where the rows are, then over partitions."""
+
+    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                p = np.stack(pdf["_p"].tolist())
+                yield pd.DataFrame([(rates.of(p) * pdf["_n"].to_numpy(float)) @ p], columns=[f"s{k}" for k in range(d)])
+
+    rows = scored.select("_p", "_n").mapInPandas(summed, ", ".join(f"s{k} double" for k in range(d)))
+    return np.array(rows.agg(*[F.sum(f"s{k}") for k in range(d)]).first(), float)
+
+
+def fit_rates(scored: DataFrame, target: np.ndarray) -> tuple[Rates, np.ndarray]:
+    """The rates, and the domains' shares of all tokens that result.
 
     scored: _p and _n of every document. Each step is one sum over all of them, of as many numbers as there are domains.
     """
@@ -160,31 +196,25 @@ def fit_rates(scored: DataFrame, target: np.ndarray) -> tuple[Column, np.ndarray
     p = [F.get("_p", F.lit(k)) for k in range(d)]
     pairs = [(a, b) for a in range(d) for b in range(a, d)]
     first = scored.agg(F.sum("_n"), *[F.sum(F.col("_n") * p[k]) for k in range(d)], *[F.sum(F.col("_n") * p[a] * p[b]) for a, b in pairs]).first()
-    rate = F.lit(1.0)
+    rates = Rates(1 / (1 + RIDGE), [])
     if not first[0]:
-        return rate, np.zeros(d)
+        return rates, np.zeros(d)
     total = float(first[0])
-    share = np.array(first[1 : 1 + d]) / total
+    now = np.array(first[1 : 1 + d]) / total
     moment = np.zeros((d, d))
     for (a, b), v in zip(pairs, first[1 + d :], strict=True):
         moment[a, b] = moment[b, a] = v / total
     weight = np.linalg.inv(moment + 1e-6 * np.eye(d))
-    eta = 1 / (1 + RIDGE)
-    now = share
     for _ in range(STEPS):
         if np.abs(now - target).max() < TOLERANCE:
             break
-        pull = eta * weight @ (now - target)
-        moved = rate * (1 - eta * RIDGE) + eta * RIDGE
-        for k in range(d):
-            moved = moved - p[k] * float(pull[k])
-        rate = F.greatest(F.lit(0.0), moved)
-        new = np.array(scored.agg(*[F.sum(rate * F.col("_n") * p[k]) for k in range(d)]).first()) / total
-        if np.abs(new - now).max() < TOLERANCE / 100:  # as near as the posteriors allow
+        rates = Rates(rates.eta, [*rates.pulls, rates.eta * weight @ (now - target)])
+        new = _totals(scored, rates, d) / total
+        if np.abs(new - now).max() < TOLERANCE / 20:  # as near as the posteriors allow
             now = new
             break
         now = new
-    return rate, now
+    return rates, now
 
 
 def quality_domains(known: DataFrame) -> DataFrame:
@@ -201,10 +231,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = T
     """docs with _p, _n, _rate and _copies: the rate's whole part, and one more with the rest's probability, by a hash."""
     model = train(docs, labelled, len(targets))
     scored = stored(with_posteriors(docs, model), "posteriors")
-    rate, _ = fit_rates(scored.select("_p", "_n"), _shares(targets))
+    rates, _ = fit_rates(scored, _shares(targets))
     names = [c for c in docs.columns if c not in ("_p", "_n")]
     u = F.pmod(F.xxhash64("doc_id", *[c for c in ("text",) if c in names]), F.lit(1 << 20)) / float(1 << 20)
-    return scored.withColumn("_rate", rate).withColumn("_copies", F.floor(F.col("_rate") + u).cast("int"))
+    return scored.withColumn("_rate", rates.column()).withColumn("_copies", F.floor(F.col("_rate") + u).cast("int"))
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
@@ -217,7 +247,7 @@ def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, quality_domains(labels(spark, sf_dir)), len(DOMAINS))
     scored = stored(with_posteriors(docs.select("doc_id", "text", "n_chars"), model).select("doc_id", F.xxhash64("doc_id", "text").alias("_h"), "_p", "_n"), "posteriors")
-    rate, _ = fit_rates(scored, _shares(TARGETS))
+    rates, _ = fit_rates(scored, _shares(TARGETS))
     u = F.pmod(F.col("_h"), F.lit(1 << 20)) / float(1 << 20)
-    out = scored.withColumn("rate", rate)
+    out = scored.withColumn("rate", rates.column())
     return out.select("doc_id", F.col("_n").alias("n_tokens"), *[F.get("_p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))

@@ -13,6 +13,7 @@ there are none); an empty table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -92,12 +93,12 @@ def _forms(words: Iterable[bytes]) -> set[bytes]:
     return {w[:n] for w in words for n in range(_STEM, min(len(w), 12) + 1)} | {w + _GAP for w in words}
 
 
-def marking_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], most: int = max(SIZES)) -> list[bytes]:
+def marking_words(toxic: list[bytes], ordinary: list[bytes], most: int = max(SIZES)) -> list[bytes]:
     """Words and word beginnings commoner in toxic documents, by log-likelihood ratio, the most telling first.
 
     Of forms that begin alike only the most telling one is kept.
     """
-    a, b = (Counter(w for d in docs for w in _forms(set(d))) for docs in (toxic, ordinary))
+    a, b = (Counter(w for d in docs for w in _forms(set(d.split()))) for docs in (toxic, ordinary))
     n1, n0 = len(toxic), len(ordinary)
     n, ratio = n1 + n0, {}
     for w, x in a.items():
@@ -129,16 +130,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return w
 
 
-def fit(toxic: list[list[bytes]], ordinary: list[list[bytes]], share: float | None = None) -> CompressionPair:
-    """Dictionaries from two thirds of the documents (lists of words), calibration on the rest."""
+def fit(toxic: list[bytes], ordinary: list[bytes], share: float | None = None) -> CompressionPair:
+    """Dictionaries from two thirds of the documents (lists of words), calibration on the rest; a document is its words with spaces between."""
     if not toxic or not ordinary:
         p = (1 - 1e-6) if toxic else 1e-6
         return CompressionPair(b"", b"", weights=np.r_[np.log(p / (1 - p)), np.zeros(8)])
     own = lambda docs: [d for i, d in enumerate(docs) if i % 3] or docs
     held = lambda docs: [d for i, d in enumerate(docs) if i % 3 == 0]
-    samples = [w for d in own(ordinary) for w in windows(d)]
+    samples = list(itertools.islice((w for d in own(ordinary) for w in windows(d.split())), 20_000))
     try:
-        base = zstandard.train_dictionary(BASE_BYTES, samples[:20_000]).as_bytes()
+        base = zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
         base = b"".join(samples)[:BASE_BYTES]
     marks = marking_words(own(toxic), own(ordinary))
@@ -150,9 +151,9 @@ def fit(toxic: list[list[bytes]], ordinary: list[list[bytes]], share: float | No
     best: tuple[float, CompressionPair] | None = None
     for size in sorted({min(s, len(marks)) for s in SIZES}):
         pair = CompressionPair(base, _GAP + _GAP.join(m.removesuffix(_GAP) for m in marks[:size][::-1]) + _GAP + base)
-        clean = np.concatenate([pair.savings(windows(d)) for d in held(ordinary)])
+        clean = np.concatenate([pair.savings(windows(d.split())) for d in held(ordinary)])
         pair.edge = max(1.0, float(np.quantile(clean, 0.995)) + 1)
-        rows = np.array([pair.summary(pair.savings(windows(d))) for d in [*held(toxic), *held(ordinary)]])
+        rows = np.array([pair.summary(pair.savings(windows(d.split()))) for d in [*held(toxic), *held(ordinary)]])
         pair.centre, pair.scale = rows.mean(0), np.maximum(rows.std(0), 1e-3)
         pair.weights = _logistic(np.clip((rows - pair.centre) / pair.scale, -8, 8), y)
         p = np.clip(pair.probability(rows), 1e-9, 1 - 1e-9)
@@ -172,7 +173,7 @@ def train(docs: DataFrame, labelled: DataFrame, per_kind: int = FIT_DOCS, n_word
     known = labelled.where("label IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", (F.col("label") > 0).cast("int").alias("label"), F.xxhash64("doc_id").alias("h"))
     n1, n = known.agg(F.sum("label"), F.count("*")).first()
     if not n:
-        return fit([], [[]])
+        return fit([], [b""])
     parts = [known.where(F.col("label") == k).orderBy("h", "doc_id").limit(per_kind) for k in (1, 0)]
     own = docs.select("doc_id", "text").join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("text", "label", "h")
 
@@ -187,7 +188,7 @@ def train(docs: DataFrame, labelled: DataFrame, per_kind: int = FIT_DOCS, n_word
             yield pd.DataFrame({"h": pdf["h"], "label": pdf["label"], "words": held})
 
     got = own.mapInPandas(rows_of, "h long, label int, words binary").groupBy("h").agg(F.min(F.struct("label", "words")).alias("r")).select("h", "r.*").toPandas().sort_values("h")
-    kinds = [[bytes(w).split() for w in got.loc[got["label"] == k, "words"]] for k in (1, 0)]
+    kinds = [[bytes(w) for w in got.loc[got["label"] == k, "words"]] for k in (1, 0)]
     return fit(*kinds, share=n1 / n if 0 < n1 < n else None)
 
 

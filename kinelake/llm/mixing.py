@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import documents, labels, small_batches, stored
 from .packing import token_count
 from .quality import FIT_ROWS, SLOTS, features, labelled_features
-from .words import chunks
+from .words import Chunk, chunks
 
 RIDGE, STEPS, TOLERANCE = 1e-3, 40, 5e-4
 #: Slots of hashed words, of which so many at most are telling for each domain.
@@ -58,15 +58,35 @@ class Classifier:
         return e / e.sum(1, keepdims=True)
 
 
+def _slots(c: Chunk) -> np.ndarray:
+    return ((c.word >> np.uint64(17)) % np.uint64(WORD_SLOTS)).astype(np.int64)
+
+
 def word_slots(texts: list[str | None]) -> list[np.ndarray]:
     """Each text's words, hashed to WORD_SLOTS slots, once each in ascending order."""
     out = []
     for c in chunks(texts):
-        both = np.unique(c.doc * WORD_SLOTS + (c.word >> np.uint64(17)).astype(np.int64) % WORD_SLOTS)
+        both = np.unique(c.doc * WORD_SLOTS + _slots(c))
         out += np.split(both % WORD_SLOTS, np.searchsorted(both, np.arange(1, c.hi - c.lo) * WORD_SLOTS))
     return out
 
 
+def holds(texts: list[str | None], place: np.ndarray, told: int) -> np.ndarray:
+    """Which of the telling words each text has; place: of a slot among them, or -1."""
+    out = np.zeros((len(texts), told), np.float32)
+    for c in chunks(texts):
+        at = place[_slots(c)]
+        hit = at >= 0
+        out[c.lo + c.doc[hit], at[hit]] = 1
+    return out
+
+
+def places(told: np.ndarray) -> np.ndarray:
+    out = np.full(WORD_SLOTS, -1, np.int32)
+    out[told] = np.arange(len(told))
+    return out
+
+
 def telling_words(words: list[np.ndarray], y: np.ndarray, domains: int, most: int = TELLING) -> np.ndarray:
     """Slots that are commoner in a domain than elsewhere, by log-likelihood ratio, at most so many of each domain."""
     every = np.concatenate(words) if words else np.zeros(0, np.int64)
@@ -143,9 +163,11 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     def scored(text: pd.Series, n_chars: pd.Series) -> pd.Series:
         t, n = text.tolist(), n_chars.tolist()
         out: list[np.ndarray] = []
+        told = held.value.told
+        place = places(told)
         for i in range(0, len(t), 256):
             part = t[i : i + 256]
-            out += list(held.value.posterior(np.concatenate([features(part, n[i : i + 256]), has_words(word_slots(part), held.value.told)], 1)))
+            out += list(held.value.posterior(np.concatenate([features(part, n[i : i + 256]), holds(part, place, len(told))], 1)))
         return pd.Series(out, dtype=object)
 
     return docs.withColumn("_p", scored(F.col("text"), F.col("n_chars").cast("double"))).withColumn("_n", token_count(F.col("text")))

@@ -1,10 +1,12 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on ordinary and one on toxic text.
 
 Both dictionaries end in the same content, trained on ordinary windows; the toxic one has, before it, the words and
-word beginnings that mark toxic text, trained by their log-likelihood ratio in toxic against ordinary documents. A
-text is cut into windows of a few words, each word between marks, so that a match of six bytes starts a word. What the toxic dictionary saves on a window, in bytes, is close to 0 on ordinary text whatever it is
-about; how much it saves over a document (mean, greatest, share of windows beyond a threshold that few ordinary
-windows reach) is calibrated to a probability on the labelled rows. Labels, language, source and id are never inputs.
+word beginnings that mark toxic text, chosen by log-likelihood ratios of toxic against ordinary documents. A text is cut
+into windows of a few words, with marks between words, and each letter is replaced by a hash of its word up to there, so
+that a match of six bytes is the beginning of a word. What the toxic dictionary saves on a window, in bytes, is close
+to 0 on ordinary text whatever it is about; how much it saves over a document (mean, greatest, share of windows beyond a
+threshold that few ordinary windows reach) is calibrated to a probability on the labelled rows. Labels, language, source
+and id are never inputs.
 
 Defined results: a null text counts as the empty one, which has one empty window; text is read whole, in any number of
 windows; equal texts get equal scores; without labelled rows of both kinds every score is the share of label 1 (0 if
@@ -18,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +36,8 @@ FIT_DOCS, FIT_WORDS = 2_000, 2_000
 BASE_BYTES = 4096
 #: Numbers of marking words that are tried; calibration keeps the best.
 SIZES = (8, 16, 24, 32, 48, 64, 96)
+#: The least log-likelihood ratio, by texts, of a form that marks toxic ones.
+MARKED = 20.0
 #: Between words in windows and dictionaries; the fewest letters of a word beginning.
 _GAP, _STEM = b"\x01\x02", 4
 
@@ -43,8 +48,19 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall(text.lower().encode("utf-8", "surrogatepass")) if isinstance(text, str) else []
 
 
+@lru_cache(maxsize=200_000)
+def coded(word: bytes) -> bytes:
+    """A word with each letter replaced by a hash of the word up to it, so that words match in their beginnings alone."""
+    h, out = 0, bytearray()
+    for b in word:
+        h = (h * 31 + b + 7) & 0xFFFF
+        out.append(3 + h % 253)
+    return bytes(out)
+
+
 def windows(words: list[bytes], k: int = WINDOW_WORDS) -> list[bytes]:
-    return [_GAP + _GAP.join(words[i : i + k]) + _GAP for i in range(0, len(words), k)] or [b""]
+    own = list(map(coded, words))
+    return [_GAP + _GAP.join(own[i : i + k]) + _GAP for i in range(0, len(own), k)] or [b""]
 
 
 @dataclass
@@ -88,25 +104,35 @@ class CompressionPair:
         return self.probability(np.array(rows).reshape(-1, 8))
 
 
-def _forms(words: Iterable[bytes]) -> set[bytes]:
-    """The words, closed by a gap, and their beginnings."""
-    return {w[:n] for w in words for n in range(_STEM, min(len(w), 12) + 1)} | {w + _GAP for w in words}
+def _forms(words: Iterable[bytes]) -> Iterator[bytes]:
+    """Each word, closed by a gap, and its beginnings."""
+    for w in words:
+        yield w + _GAP
+        yield from (w[:n] for n in range(_STEM, min(len(w), 12) + 1))
+
+
+def _ratio(x: int, y: int, n1: int, n0: int) -> float:
+    """The log-likelihood ratio of x of n1 against y of n0."""
+    n = n1 + n0
+    cells = ((x, (x + y) * n1 / n), (y, (x + y) * n0 / n), (n1 - x, (n - x - y) * n1 / n), (n0 - y, (n - x - y) * n0 / n))
+    return float(sum(2 * o * np.log(o / e) for o, e in cells if o > 0))
 
 
 def marking_words(toxic: list[bytes], ordinary: list[bytes], most: int = max(SIZES)) -> list[bytes]:
     """Words and word beginnings commoner in toxic documents, by log-likelihood ratio, the most telling first.
 
-    Of forms that begin alike only the most telling one is kept.
+    A document counts once for each of its different words that has the form, so that a beginning which makes several
+    words of a text tells more than one that makes one. Of forms that begin alike only the most telling one is kept.
     """
-    a, b = (Counter(w for d in docs for w in _forms(set(d.split()))) for docs in (toxic, ordinary))
-    n1, n0 = len(toxic), len(ordinary)
-    n, ratio = n1 + n0, {}
-    for w, x in a.items():
-        y = b[w]
-        if x < 3 or x * n0 <= 2 * y * n1:
+    # by words: how many different words of a text have the form; by texts: whether any has
+    by_words = [Counter(f for d in docs for f in _forms(set(d.split()))) for docs in (toxic, ordinary)]
+    by_texts = [Counter(f for d in docs for f in set(_forms(set(d.split())))) for docs in (toxic, ordinary)]
+    words = [sum(len(set(d.split())) for d in docs) for docs in (toxic, ordinary)]
+    ratio = {}
+    for w, x in by_texts[0].items():
+        if x < 3 or x * len(ordinary) <= 2 * by_texts[1][w] * len(toxic) or _ratio(x, by_texts[1][w], len(toxic), len(ordinary)) < MARKED:
             continue
-        cells = ((x, (x + y) * n1 / n), (y, (x + y) * n0 / n), (n1 - x, (n - x - y) * n1 / n), (n0 - y, (n - x - y) * n0 / n))
-        ratio[w] = sum(2 * o * np.log(o / e) for o, e in cells if o > 0)
+        ratio[w] = _ratio(by_words[0][w], by_words[1][w], *words)
     kept: list[bytes] = []
     for w in sorted(ratio, key=lambda w: (-ratio[w], -len(w), w)):
         if len(kept) == most:
@@ -150,7 +176,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float | None = None) -
         shift = 0.0
     best: tuple[float, CompressionPair] | None = None
     for size in sorted({min(s, len(marks)) for s in SIZES}):
-        pair = CompressionPair(base, _GAP + _GAP.join(m.removesuffix(_GAP) for m in marks[:size][::-1]) + _GAP + base)
+        pair = CompressionPair(base, _GAP + _GAP.join(coded(m.removesuffix(_GAP)) for m in marks[:size][::-1]) + _GAP + base)
         clean = np.concatenate([pair.savings(windows(d.split())) for d in held(ordinary)])
         pair.edge = max(1.0, float(np.quantile(clean, 0.995)) + 1)
         rows = np.array([pair.summary(pair.savings(windows(d.split()))) for d in [*held(toxic), *held(ordinary)]])
@@ -192,8 +218,8 @@ def train(docs: DataFrame, labelled: DataFrame, per_kind: int = FIT_DOCS, n_word
     return fit(*kinds, share=n1 / n if 0 < n1 < n else None)
 
 
-def score_toxicity(docs: DataFrame, pair: CompressionPair) -> DataFrame:
-    """docs with a column toxicity (0 to 1)."""
+def score_toxicity(docs: DataFrame, pair: CompressionPair, name: str = "toxicity") -> DataFrame:
+    """docs with the column name (0 to 1; one of that name is replaced)."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(pair)
 
@@ -201,7 +227,7 @@ def score_toxicity(docs: DataFrame, pair: CompressionPair) -> DataFrame:
     def scored(text: pd.Series) -> pd.Series:
         return pd.Series(held.value.score(text))
 
-    return docs.withColumn("toxicity", scored("text"))
+    return docs.withColumn(name, scored("text"))
 
 
 def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

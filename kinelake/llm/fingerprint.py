@@ -80,7 +80,7 @@ def fingerprints(texts: Sequence[str | None]) -> Fingerprints:
 
 
 def add_fingerprints(docs: DataFrame) -> DataFrame:
-    """docs with a column fingerprint of text."""
+    """docs with a column fingerprint of text, which replaces one of that name."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")

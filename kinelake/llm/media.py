@@ -525,7 +525,7 @@ def _groups(sizes: list[int], most: int) -> Iterator[slice]:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """docs with n_bytes and media: each whole text as an AVI file, in place of text."""
+    """docs with n_bytes and media (which replace columns of those names): each whole text as an AVI file, in place of text."""
 
     @F.pandas_udf("binary")
     def made(text: pd.Series) -> pd.Series:

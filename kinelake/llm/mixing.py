@@ -155,7 +155,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: int, rows: int = FIT_RO
 
 
 def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with the columns _p (an array over domains) and _n (tokens)."""
+    """docs with the columns __p (an array over domains) and __n (tokens)."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -170,7 +170,7 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
             out += list(held.value.posterior(np.concatenate([features(part, n[i : i + 256]), holds(part, place, len(told))], 1)))
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn("_p", scored(F.col("text"), F.col("n_chars").cast("double"))).withColumn("_n", token_count(F.col("text")))
+    return docs.withColumn("__p", scored(F.col("text"), F.col("n_chars").cast("double"))).withColumn("__n", token_count(F.col("text")))
 
 
 @dataclass
@@ -187,13 +187,13 @@ class Rates:
         return rate
 
     def column(self) -> Column:
-        """The rate of a row with the posterior _p."""
+        """The rate of a row with the posterior __p."""
 
         @F.pandas_udf("double")
         def rated(p: pd.Series) -> pd.Series:
             return pd.Series(self.of(np.stack(p.tolist())) if len(p) else np.zeros(0))
 
-        return rated("_p")
+        return rated("__p")
 
 
 def _totals(scored: DataFrame, rates: Rates, d: int) -> np.ndarray:
@@ -202,22 +202,22 @@ def _totals(scored: DataFrame, rates: Rates, d: int) -> np.ndarray:
     def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if len(pdf):
-                p = np.stack(pdf["_p"].tolist())
-                yield pd.DataFrame([(rates.of(p) * pdf["_n"].to_numpy(float)) @ p], columns=[f"s{k}" for k in range(d)])
+                p = np.stack(pdf["__p"].tolist())
+                yield pd.DataFrame([(rates.of(p) * pdf["__n"].to_numpy(float)) @ p], columns=[f"s{k}" for k in range(d)])
 
-    rows = scored.select("_p", "_n").mapInPandas(summed, ", ".join(f"s{k} double" for k in range(d)))
+    rows = scored.select("__p", "__n").mapInPandas(summed, ", ".join(f"s{k} double" for k in range(d)))
     return np.array(rows.agg(*[F.sum(f"s{k}") for k in range(d)]).first(), float)
 
 
 def fit_rates(scored: DataFrame, target: np.ndarray) -> tuple[Rates, np.ndarray]:
     """The rates, and the domains' shares of all tokens that result.
 
-    scored: _p and _n of every document. Each step is one sum over all of them, of as many numbers as there are domains.
+    scored: __p and __n of every document. Each step is one sum over all of them, of as many numbers as there are domains.
     """
     d = len(target)
-    p = [F.get("_p", F.lit(k)) for k in range(d)]
+    p = [F.get("__p", F.lit(k)) for k in range(d)]
     pairs = [(a, b) for a in range(d) for b in range(a, d)]
-    first = scored.agg(F.sum("_n"), *[F.sum(F.col("_n") * p[k]) for k in range(d)], *[F.sum(F.col("_n") * p[a] * p[b]) for a, b in pairs]).first()
+    first = scored.agg(F.sum("__n"), *[F.sum(F.col("__n") * p[k]) for k in range(d)], *[F.sum(F.col("__n") * p[a] * p[b]) for a, b in pairs]).first()
     rates = Rates(1 / (1 + RIDGE), [])
     if not first[0]:
         return rates, np.zeros(d)
@@ -250,26 +250,26 @@ def _shares(targets: Mapping[str, float]) -> np.ndarray:
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """docs with _p, _n, _rate and _copies: the rate's whole part, and one more with the rest's probability, by a hash."""
+    """docs with __p, __n, __rate and __copies: the rate's whole part, and one more with the rest's probability, by a hash."""
     model = train(docs, labelled, len(targets))
     scored = stored(with_posteriors(docs, model), "posteriors")
     rates, _ = fit_rates(scored, _shares(targets))
-    names = [c for c in docs.columns if c not in ("_p", "_n")]
+    names = [c for c in docs.columns if c not in ("__p", "__n")]
     u = F.pmod(F.xxhash64("doc_id", *[c for c in ("text",) if c in names]), F.lit(1 << 20)) / float(1 << 20)
-    return scored.withColumn("_rate", rates.column()).withColumn("_copies", F.floor(F.col("_rate") + u).cast("int"))
+    return scored.withColumn("__rate", rates.column()).withColumn("__copies", F.floor(F.col("__rate") + u).cast("int"))
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """docs in the target weights: each row as many times as its rate says, or not at all."""
-    rows = mixed(docs, labelled, targets).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = mixed(docs, labelled, targets).where("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, quality_domains(labels(spark, sf_dir)), len(DOMAINS))
-    scored = stored(with_posteriors(docs.select("doc_id", "text", "n_chars"), model).select("doc_id", F.xxhash64("doc_id", "text").alias("_h"), "_p", "_n"), "posteriors")
+    scored = stored(with_posteriors(docs.select("doc_id", "text", "n_chars"), model).select("doc_id", F.xxhash64("doc_id", "text").alias("_h"), "__p", "__n"), "posteriors")
     rates, _ = fit_rates(scored, _shares(TARGETS))
     u = F.pmod(F.col("_h"), F.lit(1 << 20)) / float(1 << 20)
     out = scored.withColumn("rate", rates.column())
-    return out.select("doc_id", F.col("_n").alias("n_tokens"), *[F.get("_p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))
+    return out.select("doc_id", F.col("__n").alias("n_tokens"), *[F.get("__p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))

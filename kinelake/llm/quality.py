@@ -160,8 +160,8 @@ def train(docs: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> Factori
     return fit(x, y.astype(np.float32))
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """docs with a column quality_score (0 to 1, higher is better); text is read whole."""
+def score_quality(docs: DataFrame, model: FactorisationMachine, name: str = "quality_score") -> DataFrame:
+    """docs with the column name (0 to 1, higher is better; one of that name is replaced); text is read whole."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -170,7 +170,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
         t, n = text.tolist(), n_chars.tolist()
         return pd.Series(np.concatenate([held.value.score(features(t[i : i + 256], n[i : i + 256])) for i in range(0, len(t), 256)]) if t else np.zeros(0))
 
-    return docs.withColumn("quality_score", scored(F.col("text"), F.col("n_chars").cast("double")))
+    return docs.withColumn(name, scored(F.col("text"), F.col("n_chars").cast("double")))
 
 
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,3 +162,18 @@ def test_pipeline_on_hardly_anything(spark, tmp_path, rows):
     for t in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(rows).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+
+
+def test_columns_of_the_same_names_stay(spark):
+    from kinelake.llm import neardup, quality
+
+    names = ("__x", "_p", "_n", "_copy", "_rate", "class_id", "_kept", "_root", "bin", "length")
+    df = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11), (2, "a b c d e f", "en", "s", 11), (3, "other words here", "en", "s", 16)], "doc_id long, text string, lang string, source string, n_chars long")
+    for i, n in enumerate(names):
+        df = df.selectExpr("*", f"doc_id * 100 + {i} AS `{n}`")
+    none = spark.createDataFrame([], "doc_id long, label int")
+    for got in (mixing.resample(df, none, {"a": 1}), neardup.keep_one(df)):
+        rows = got.collect()
+        assert got.columns == df.columns and rows and all(r[n] == r.doc_id * 100 + i for r in rows for i, n in enumerate(names))
+    assert neardup.keep_one(df).count() == 2
+    assert quality.score_quality(df, quality.train(df, none)).columns == [*df.columns, "quality_score"]

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
+
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows in an Arrow batch, so that a batch of very long texts fits a Python worker.
 BATCH_ROWS = 1000
@@ -23,7 +25,8 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows that Spark hands to a Python worker at once."""
+    """Bounds the rows that Spark hands to a Python worker at once, and sees that it can import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -39,11 +42,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and lost executors lose nothing."""
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read again, and where: its lineage ends there, and lost executors lose nothing."""
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again."""
+    return stored_at(df, name)[0]
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, small_batches, stored
+from .common import discard, documents, partitions, small_batches, stored, stored_at
 from .words import chunks, mix, shingles
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -117,6 +117,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     def smallest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
+    spark, earlier = edges.sparkSession, None
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     before = None
     while True:
@@ -124,7 +125,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.where("u <> v").distinct()
         small = large.join(smallest(large), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = stored(small.where("u <> v").distinct(), name)
+        edges, path = stored_at(small.where("u <> v").distinct(), name)
+        if earlier:
+            discard(spark, earlier)
+        earlier = path
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == before:
             break
@@ -280,7 +284,8 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[
     rows = rows.join(found.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id"), F.col("_id")))
     classes = rows.groupBy("_root").agg(best.alias("best"), F.count("*").alias("class_size"))
-    return rows, classes.select("_root", F.col("best.doc_id").alias("class_id"), F.col("best._id").alias("_kept"), "class_size")
+    named = classes.select("_root", F.col("best.doc_id").alias("class_id"), F.col("best._id").alias("_kept"), "class_size")
+    return rows, stored(named, "named")  # written, so that a join on it may split a class that holds very many rows
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

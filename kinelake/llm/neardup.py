@@ -95,7 +95,7 @@ def band_keys(sk: np.ndarray) -> np.ndarray:
 
 
 def _sketched(texts: DataFrame) -> DataFrame:
-    """texts (id, text) with n (elements) and bands in place of text."""
+    """texts (id, text, copy) with n (elements) and bands in place of text."""
 
     def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -103,9 +103,10 @@ def _sketched(texts: DataFrame) -> DataFrame:
                 sizes = np.bincount(doc, minlength=n)
                 keys = band_keys(sketches(h, doc, n, BANDS * ROWS))
                 bands = [k if s else k[:0] for k, s in zip(keys, sizes, strict=True)]
-                yield pd.DataFrame({"id": pdf["id"].iloc[lo : lo + n].tolist(), "n": sizes, "bands": bands})
+                own = pdf.iloc[lo : lo + n]
+                yield pd.DataFrame({"id": own["id"].tolist(), "copy": own["copy"].tolist(), "n": sizes, "bands": bands})
 
-    return texts.select("id", "text").mapInPandas(made, "id binary, n long, bands array<long>")
+    return texts.select("id", "copy", "text").mapInPandas(made, "id binary, copy long, n long, bands array<long>")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -255,7 +256,7 @@ def _verified(members: DataFrame, least: float) -> DataFrame:
 
 
 def text_classes(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(id, root) of the texts (id, text: one or more rows of each) that are like another one."""
+    """(id, root) of the texts that are like another one. texts: id, text, and copy, a number that tells rows of one text apart."""
     spark = texts.sparkSession
     small_batches(spark)
     signed = stored(_sketched(texts), "sketches")
@@ -270,15 +271,17 @@ def text_classes(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = near.join(blocks, "root").select("root", "id", own.alias("own"), other.alias("other"), "blocks")
     placed = placed.select("root", "id", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("part"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    # texts go by one shuffle at every size: whether near fits a broadcast isn't left to chance
-    once = texts.select("id", "text").join(near.select("id").hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    # one row of each text that is needed, found by id and copy, so that the copies of a text don't meet in a task; texts
+    # go by one shuffle at every size: whether the needed ones fit a broadcast isn't left to chance
+    first = signed.groupBy("id").agg(F.min("copy").alias("copy")).join(near.select("id"), "id")
+    once = texts.select("id", "copy", "text").join(first.hint("merge"), ["id", "copy"], "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     links = _verified(once.join(placed, "id"), least)
     return components(stored(links, "links"), "classes")
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows has _id and _root with doc_id; classes has _root, class_id, class_size and the row to keep."""
-    texts = docs.select(digest(F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(digest(F.col("text")).alias("id"), F.xxhash64("doc_id").alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
     found = stored(text_classes(texts, least), "roots")
     rows = docs.select("doc_id", digest(F.col("text")).alias("_id"))
     rows = rows.join(found.select(F.col("id").alias("_id"), F.col("root").alias("_root")), "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))

@@ -1,12 +1,12 @@
 """Toxicity by compression distance: two zstandard dictionaries, one trained on ordinary and one on toxic text.
 
-Both dictionaries end in the same content, trained on ordinary windows; the toxic one has, before it, the words and
-word beginnings that mark toxic text, chosen by log-likelihood ratios of toxic against ordinary documents. A text is cut
-into windows of a few words, with marks between words, and each letter is replaced by a hash of its word up to there, so
-that a match of six bytes is the beginning of a word. What the toxic dictionary saves on a window, in bytes, is close
-to 0 on ordinary text whatever it is about; how much it saves over a document (mean, greatest, share of windows beyond a
-threshold that few ordinary windows reach) is calibrated to a probability on the labelled rows. Labels, language, source
-and id are never inputs.
+Both are trained alike, by zstandard, on windows of labelled documents. A third dictionary is the ordinary one with, before
+it, the words and word beginnings that mark toxic text, chosen by log-likelihood ratios of toxic against ordinary documents:
+as many as calibration finds of use. A text is cut into windows of a few words, with marks between words, and each letter is
+replaced by a hash of its word up to there, so that a match of six bytes is the beginning of a word. What the toxic and the
+marked dictionary save on a window over the ordinary one, in bytes, and how much that is over a document (mean, greatest,
+share of windows beyond a threshold that few ordinary windows reach) is calibrated to a probability on the labelled rows.
+Labels, language, source and id are never inputs.
 
 Defined results: a null text counts as the empty one, which has one empty window; text is read whole, in any number of
 windows; equal texts get equal scores; without labelled rows of both kinds every score is the share of label 1 (0 if
@@ -34,10 +34,12 @@ WINDOW_WORDS = 8
 #: At most so many labelled documents of either kind fit the dictionaries and the calibration, and so many words of each.
 FIT_DOCS, FIT_WORDS = 2_000, 2_000
 BASE_BYTES = 4096
-#: Numbers of marking words that are tried; calibration keeps the best.
-SIZES = (8, 16, 24, 32, 48, 64, 96)
-#: The least log-likelihood ratio, by texts, of a form that marks toxic ones.
-MARKED = 20.0
+#: Marking words are tried by doubling from FIRST until calibration got worse WORSE times; it keeps the best number of them.
+FIRST, WORSE = 8, 3
+#: A form marks toxic texts if its log-likelihood ratio is at least that of one in so many toxic texts and in no ordinary one.
+SEEN = 3
+#: What a document is to a model: eight numbers of what the toxic dictionary saves, seven of what the marked one saves.
+FEATURES = 15
 #: Between words in windows and dictionaries; the fewest letters of a word beginning.
 _GAP, _STEM = b"\x01\x02", 4
 
@@ -67,10 +69,11 @@ def windows(words: list[bytes], k: int = WINDOW_WORDS) -> list[bytes]:
 class CompressionPair:
     ordinary: bytes
     toxic: bytes
-    edge: float = 1.0
-    centre: np.ndarray = field(default_factory=lambda: np.zeros(8))
-    scale: np.ndarray = field(default_factory=lambda: np.ones(8))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(9))
+    marked: bytes
+    edges: np.ndarray = field(default_factory=lambda: np.ones(2))
+    centre: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(FEATURES))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
 
     def __post_init__(self) -> None:
         self._ready: list | None = None
@@ -79,21 +82,27 @@ class CompressionPair:
         return self.__dict__ | {"_ready": None}
 
     def savings(self, wins: list[bytes]) -> np.ndarray:
-        """Bytes that the toxic dictionary saves on each window over the ordinary one."""
+        """Bytes that the toxic and the marked dictionary save on each window over the ordinary one."""
         if self._ready is None:
-            p = zstandard.ZstdCompressionParameters(window_log=13, hash_log=12, chain_log=12, search_log=4, min_match=6, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
+            contents = (self.ordinary, self.toxic, self.marked)
+            log = max(13, max(map(len, contents)).bit_length())
+            p = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log - 1, chain_log=log - 1, search_log=4, min_match=6, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0)
             self._ready = []
-            for content in (self.ordinary, self.toxic):
+            for content in contents:
                 d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=p)
                 self._ready.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress)
-        a, b = self._ready
-        return np.array([len(a(w)) - len(b(w)) for w in wins], float)
+        a, b, c = self._ready
+        own = [len(a(w)) for w in wins]
+        return np.array([[n - len(b(w)), n - len(c(w))] for n, w in zip(own, wins, strict=True)], float)
 
     def summary(self, saved: np.ndarray) -> np.ndarray:
-        over = saved >= self.edge
-        top = np.sort(saved)[-3:]
-        return np.array([saved.mean(), saved.max(), top.mean(), over.mean(), np.log1p(over.sum()), saved.max() >= self.edge, saved.max() >= self.edge + 2, np.log(len(saved))])
+        """saved: [windows, 2], as savings gives it."""
+        out = [np.log(len(saved))]
+        for s, edge in zip(saved.T, self.edges, strict=True):
+            over, most = s >= edge, s.max()
+            out += [s.mean(), most, np.sort(s)[-3:].mean(), over.mean(), np.log1p(over.sum()), most >= edge, most >= edge + 2]
+        return np.array(out)
 
     def probability(self, rows: np.ndarray) -> np.ndarray:
         z = self.weights[0] + (np.clip((rows - self.centre) / self.scale, -8, 8) @ self.weights[1:])
@@ -101,7 +110,7 @@ class CompressionPair:
 
     def score(self, texts: Iterable[str | None]) -> np.ndarray:
         rows = [self.summary(self.savings(windows(words_of(t)))) for t in texts]
-        return self.probability(np.array(rows).reshape(-1, 8))
+        return self.probability(np.array(rows).reshape(-1, FEATURES))
 
 
 def _forms(words: Iterable[bytes]) -> Iterator[bytes]:
@@ -118,7 +127,7 @@ def _ratio(x: int, y: int, n1: int, n0: int) -> float:
     return float(sum(2 * o * np.log(o / e) for o, e in cells if o > 0))
 
 
-def marking_words(toxic: list[bytes], ordinary: list[bytes], most: int = max(SIZES)) -> list[bytes]:
+def marking_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Words and word beginnings commoner in toxic documents, by log-likelihood ratio, the most telling first.
 
     A document counts once for each of its different words that has the form, so that a beginning which makes several
@@ -128,17 +137,20 @@ def marking_words(toxic: list[bytes], ordinary: list[bytes], most: int = max(SIZ
     by_words = [Counter(f for d in docs for f in _forms(set(d.split()))) for docs in (toxic, ordinary)]
     by_texts = [Counter(f for d in docs for f in set(_forms(set(d.split())))) for docs in (toxic, ordinary)]
     words = [sum(len(set(d.split())) for d in docs) for docs in (toxic, ordinary)]
-    ratio = {}
+    ratio, least = {}, _ratio(min(SEEN, len(toxic)), 0, len(toxic), len(ordinary))
     for w, x in by_texts[0].items():
-        if x < 3 or x * len(ordinary) <= 2 * by_texts[1][w] * len(toxic) or _ratio(x, by_texts[1][w], len(toxic), len(ordinary)) < MARKED:
+        if x < SEEN or x * len(ordinary) <= 2 * by_texts[1][w] * len(toxic) or _ratio(x, by_texts[1][w], len(toxic), len(ordinary)) < least:
             continue
         ratio[w] = _ratio(by_words[0][w], by_words[1][w], *words)
     kept: list[bytes] = []
+    taken: set[bytes] = set()  # the kept ones and all their beginnings
+    own: set[bytes] = set()
     for w in sorted(ratio, key=lambda w: (-ratio[w], -len(w), w)):
-        if len(kept) == most:
-            break
-        if not any(w.startswith(k) or k.startswith(w) for k in kept):
+        begins = {w[:n] for n in range(1, len(w) + 1)}
+        if w not in taken and not begins & own:
             kept.append(w)
+            own.add(w)
+            taken |= begins
     return kept
 
 
@@ -156,38 +168,50 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return w
 
 
+def trained(docs: list[bytes]) -> bytes:
+    """A zstandard dictionary of the documents' windows."""
+    samples = list(itertools.islice((w for d in docs for w in windows(d.split())), 20_000))
+    try:
+        return zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on: the text itself
+        return b"".join(samples)[:BASE_BYTES]
+
+
 def fit(toxic: list[bytes], ordinary: list[bytes], share: float | None = None) -> CompressionPair:
     """Dictionaries from two thirds of the documents (lists of words), calibration on the rest; a document is its words with spaces between."""
     if not toxic or not ordinary:
         p = (1 - 1e-6) if toxic else 1e-6
-        return CompressionPair(b"", b"", weights=np.r_[np.log(p / (1 - p)), np.zeros(8)])
+        return CompressionPair(b"", b"", b"", weights=np.r_[np.log(p / (1 - p)), np.zeros(FEATURES)])
     own = lambda docs: [d for i, d in enumerate(docs) if i % 3] or docs
     held = lambda docs: [d for i, d in enumerate(docs) if i % 3 == 0]
-    samples = list(itertools.islice((w for d in own(ordinary) for w in windows(d.split())), 20_000))
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself
-        base = b"".join(samples)[:BASE_BYTES]
+    base, other = trained(own(ordinary)), trained(own(toxic))
     marks = marking_words(own(toxic), own(ordinary))
     y = np.r_[np.ones(len(held(toxic))), np.zeros(len(held(ordinary)))]
     if share is not None:  # the sample has its own share of toxic rows; weigh back
         shift = np.log(share / (1 - share)) - np.log(len(toxic) / len(ordinary))
     else:
         shift = 0.0
+    wins = [windows(d.split()) for d in [*held(toxic), *held(ordinary)]]
     best: tuple[float, CompressionPair] | None = None
-    for size in sorted({min(s, len(marks)) for s in SIZES}):
-        pair = CompressionPair(base, _GAP + _GAP.join(coded(m.removesuffix(_GAP)) for m in marks[:size][::-1]) + _GAP + base)
-        clean = np.concatenate([pair.savings(windows(d.split())) for d in held(ordinary)])
-        pair.edge = max(1.0, float(np.quantile(clean, 0.995)) + 1)
-        rows = np.array([pair.summary(pair.savings(windows(d.split()))) for d in [*held(toxic), *held(ordinary)]])
+    size, worse = min(FIRST, len(marks)), 0
+    while True:
+        pair = CompressionPair(base, other, _GAP + _GAP.join(coded(m.removesuffix(_GAP)) for m in marks[:size][::-1]) + _GAP + base)
+        saved = [pair.savings(w) for w in wins]
+        clean = np.concatenate(saved[len(held(toxic)) :])
+        pair.edges = np.maximum(1.0, np.quantile(clean, 0.995, axis=0) + 1)
+        rows = np.array([pair.summary(s) for s in saved])
         pair.centre, pair.scale = rows.mean(0), np.maximum(rows.std(0), 1e-3)
         pair.weights = _logistic(np.clip((rows - pair.centre) / pair.scale, -8, 8), y)
         p = np.clip(pair.probability(rows), 1e-9, 1 - 1e-9)
         loss = -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
         pair.weights[0] += shift
         if best is None or loss < best[0]:
-            best = loss, pair
-    return best[1]
+            best, worse = (loss, pair), 0
+        else:
+            worse += 1
+        if size == len(marks) or worse == WORSE:
+            return best[1]
+        size = min(2 * size, len(marks))
 
 
 def train(docs: DataFrame, labelled: DataFrame, per_kind: int = FIT_DOCS, n_words: int = FIT_WORDS) -> CompressionPair:

@@ -33,6 +33,10 @@ from .common import documents, id_crc, labels, small_batches
 WINDOW_WORDS = 8
 #: At most so many labelled documents of either kind fit the dictionaries and the calibration, and so many words of each.
 FIT_DOCS, FIT_WORDS = 2_000, 2_000
+#: About how many bytes of a document's words are used to fit; of more, each word gives its first ones, as many as the others.
+FIT_BYTES = 65_536
+#: A dictionary is trained on at most so many windows, spread evenly over all documents that fit it.
+FIT_WINDOWS = 20_000
 BASE_BYTES = 4096
 #: Marking words are tried by doubling from FIRST until calibration got worse WORSE times; it keeps the best number of them.
 FIRST, WORSE = 8, 3
@@ -170,7 +174,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
 
 def trained(docs: list[bytes]) -> bytes:
     """A zstandard dictionary of the documents' windows."""
-    samples = list(itertools.islice((w for d in docs for w in windows(d.split())), 20_000))
+    split = [d.split() for d in docs]
+    stride = -(-sum(max(1, -(-len(w) // WINDOW_WORDS)) for w in split) // FIT_WINDOWS)
+    samples = list(itertools.islice((x for w in split for x in windows(w)), 0, None, stride))
     try:
         return zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself
@@ -214,10 +220,20 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float | None = None) -
         size = min(2 * size, len(marks))
 
 
+def fitted_words(text: str | None, n_words: int = FIT_WORDS, n_bytes: int = FIT_BYTES) -> bytes:
+    """A text's words to fit on, with spaces between: runs spread evenly over it, and of very long words their beginnings."""
+    w = words_of(text)
+    stride = -(-len(w) // n_words) if w else 1
+    w = [x for i in range(0, len(w), WINDOW_WORDS * stride) for x in w[i : i + WINDOW_WORDS]]
+    if sum(map(len, w)) + len(w) > n_bytes:
+        w = [x[: max(1, n_bytes // len(w) - 1)] for x in w]
+    return b" ".join(w)
+
+
 def train(docs: DataFrame, labelled: DataFrame, per_kind: int = FIT_DOCS, n_words: int = FIT_WORDS) -> CompressionPair:
     """Fits on labelled (doc_id, label): at most per_kind documents of either label, the least by a hash of the id.
 
-    Of a longer one at most n_words words are used to fit, spread evenly; scoring reads whole texts.
+    Of a longer one about n_words words and FIT_BYTES bytes are used to fit, spread evenly; scoring reads whole texts.
     """
     small_batches(docs.sparkSession)
     known = labelled.where("label IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", (F.col("label") > 0).cast("int").alias("label"), F.xxhash64("doc_id").alias("h"))
@@ -229,13 +245,7 @@ def train(docs: DataFrame, labelled: DataFrame, per_kind: int = FIT_DOCS, n_word
 
     def rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            held = []
-            for t in pdf["text"]:
-                w = words_of(t)
-                stride = -(-len(w) // n_words) if w else 1
-                runs = range(0, len(w), WINDOW_WORDS * stride)
-                held.append(b" ".join(x for i in runs for x in w[i : i + WINDOW_WORDS])[:65536])
-            yield pd.DataFrame({"h": pdf["h"], "label": pdf["label"], "words": held})
+            yield pd.DataFrame({"h": pdf["h"], "label": pdf["label"], "words": [fitted_words(t, n_words) for t in pdf["text"]]})
 
     got = own.mapInPandas(rows_of, "h long, label int, words binary").groupBy("h").agg(F.min(F.struct("label", "words")).alias("r")).select("h", "r.*").toPandas().sort_values("h")
     kinds = [[bytes(w) for w in got.loc[got["label"] == k, "words"]] for k in (1, 0)]

@@ -20,3 +20,13 @@ def test_op10_marking_words_have_no_fixed_number():
     # 200 words, each in three toxic texts and in no ordinary one
     toxic = [b" ".join(b"%dmark" % (i % 200) for i in range(k * 4, k * 4 + 4)) for k in range(150)]
     assert len(toxicity.marking_words(toxic, [b"plain text"] * 150)) >= 200
+
+
+def test_op10_fits_on_all_parts_of_long_texts_and_all_documents(monkeypatch):
+    words = toxicity.fitted_words(" ".join(f"{i}x" + "y" * 500 for i in range(1000))).split()
+    assert len(words) == 1000 and words[-1].startswith(b"999x") and sum(map(len, words)) <= toxicity.FIT_BYTES
+    seen = []
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or toxicity.zstandard.ZstdCompressionDict(b"x" * 100))
+    toxicity.trained([b" ".join(b"d%dw%d" % (d, i) for i in range(2000)) for d in range(200)])
+    assert len(seen) <= toxicity.FIT_WINDOWS
+    assert toxicity.windows([b"d199w%d" % i for i in range(2000)])[0][:8] in {w[:8] for w in seen[-125:]} or seen[-1] in toxicity.windows([b"d199w%d" % i for i in range(2000)])

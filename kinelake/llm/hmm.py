@@ -6,8 +6,8 @@ own, others share SUFFIXES classes by their last letters, in which a word has th
 ``(c + 0.1) / (C + 0.1 (V + 1))`` from its count c, the class's tokens C and its kinds of word V (the rest is for unknown
 words), so the probabilities of all texts sum to one. Words are known by 64-bit hashes.
 
-All counts cover every training text: word counts by a distributed sum, and PASSES full passes of Baum-Welch, each of
-which adds up expected counts over partitions. Only where the passes start from is found on INIT_DOCS texts.
+All counts cover every training text: word counts by a distributed sum, and Baum-Welch from random values, each round of
+which adds up expected counts over partitions, until a round gains less than TOLERANCE a token.
 Long texts are cut into segments of SEGMENT tokens whose transfer matrices give the exact state at each seam, so all
 segments of a batch are walked in step, and none is taken apart from what comes before it.
 
@@ -35,11 +35,11 @@ from .words import Chunk, chunks, mix
 
 TOP, SUFFIXES, STATES = 2048, 1024, 6
 FREQUENT = 1 << 17
-#: About how many texts' Baum-Welch, from random values, gives the first values of the full passes; its rounds; the full passes.
-INIT_DOCS, INIT_ROUNDS, PASSES = 1000, 10, 2
+#: Baum-Welch ends after a round whose model has gained less than this in natural-log likelihood a token.
+TOLERANCE = 1e-3
 SEGMENT = 256
-#: Bytes of text, tokens counted at once.
-BATCH_BYTES, COUNT_TOKENS = 4 << 20, 1 << 22
+#: Bytes of text, tokens counted, tokens walked at once.
+BATCH_BYTES, COUNT_TOKENS, BATCH_TOKENS = 4 << 20, 1 << 22, 1 << 19
 SMOOTH = 0.1
 #: The end token's hash, and its class after those of the words.
 END, END_CLASS = 0, TOP + SUFFIXES
@@ -294,7 +294,7 @@ class LanguageModel:
         return float(np.log10(self.n_tokens + SMOOTH * (self.n_kinds + 1)))
 
 
-def train_model(train: DataFrame, passes: int = PASSES, init_docs: int = INIT_DOCS) -> LanguageModel:
+def train_model(train: DataFrame, tolerance: float = TOLERANCE) -> LanguageModel:
     """Fits on train (doc_id, text). The driver receives tables of fixed size: FREQUENT words, classes, expected counts."""
     spark = train.sparkSession
     small_batches(spark)
@@ -330,44 +330,47 @@ def train_model(train: DataFrame, passes: int = PASSES, init_docs: int = INIT_DO
         for pdf in frames:
             for c in chunks(pdf["text"].tolist(), limit=BATCH_BYTES):
                 cls, lengths = class_sequences(c, top)
-                cut = np.cumsum(lengths)[:-1]
-                yield pd.DataFrame({"h": pdf["h"].iloc[c.lo : c.hi].tolist(), "classes": [x.astype(np.int16).tobytes() for x in np.split(cls, cut)]})
-
-    # a share of the texts by their hash, which makes about init_docs of them
-    keyed = train.select("text", F.xxhash64("doc_id", "text").alias("h"))
-    below = int(min(1.0, init_docs / max(ends, 1)) * (1 << 40))
-    some = keyed.where(F.pmod("h", F.lit(1 << 40)) < below).mapInPandas(sequences, "h long, classes binary").toPandas().sort_values(["h", "classes"])
-    model = first_model(unigram)
-    if len(some):
-        parts = [np.frombuffer(x, np.int16) for x in some["classes"]]
-        tokens, lengths = np.concatenate(parts).astype(np.int64), np.array([len(p) for p in parts])
-        for _ in range(INIT_ROUNDS):
-            counts = Counts.zero()
-            walk(tokens, lengths, model, counts)
-            model = maximised(counts, unigram)
-    for _ in range(passes if n else 0):
-        model = maximised(_expected(train, model, top), unigram)
+                yield pd.DataFrame({"classes": [x.astype(np.int16).tobytes() for x in np.split(cls, np.cumsum(lengths)[:-1])]})
+
+    model, before = first_model(unigram), -np.inf
+    classes = stored(train.select("text").mapInPandas(sequences, "classes binary"), "classes") if n else None
+    while n:
+        counts, logs = _expected(classes, model)
+        model = maximised(counts, unigram)
+        if not logs - before >= tolerance * n:
+            break
+        before = logs
     return LanguageModel(model, vocabulary, n, v, frequent, top, log_class)
 
 
-def _expected(train: DataFrame, model: Model, top: Table) -> Counts:
-    """Expected counts over all texts: each partition's, summed by position."""
-    held = train.sparkSession.sparkContext.broadcast((model, top))
+def _expected(classes: DataFrame, model: Model) -> tuple[Counts, float]:
+    """Expected counts over all texts, and their natural-log likelihood: each partition's, summed by position.
+
+    classes: each text's classes, as int16.
+    """
+    held = classes.sparkSession.sparkContext.broadcast(model)
 
     def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, top = held.value
-        counts = Counts.zero()
+        model = held.value
+        counts, logs = Counts.zero(), 0.0
         for pdf in frames:
-            for c in chunks(pdf["text"].tolist(), limit=BATCH_BYTES):
-                walk(*class_sequences(c, top), model, counts)
-        flat = counts.flat()
+            texts = [np.frombuffer(x, np.int16) for x in pdf["classes"]]
+            lengths = np.array([len(x) for x in texts], np.int64)
+            # runs of texts of about BATCH_TOKENS
+            run = np.cumsum(lengths) // BATCH_TOKENS
+            cuts = [0, *(np.flatnonzero(np.diff(run)) + 1), len(texts)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    logs += walk(np.concatenate(texts[lo:hi]).astype(np.int64), lengths[lo:hi], model, counts).sum()
+        flat = np.append(counts.flat(), logs)
         at = np.flatnonzero(flat)
         yield pd.DataFrame({"i": at, "v": flat[at]})
 
-    got = train.select("text").mapInPandas(summed, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    flat = np.zeros(len(Counts.zero().flat()))
+    got = classes.mapInPandas(summed, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    held.unpersist()
+    flat = np.zeros(len(Counts.zero().flat()) + 1)
     flat[got["i"]] = got["v"]
-    return Counts.of(flat)
+    return Counts.of(flat[:-1]), float(flat[-1])
 
 
 def score_texts(docs: DataFrame, lm: LanguageModel) -> DataFrame:

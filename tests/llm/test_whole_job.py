@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from kinelake.llm import toxicity
+from kinelake.llm import hmm, toxicity
 
 
 def test_op10_trains_its_toxic_dictionary_on_toxic_windows():
@@ -30,3 +30,28 @@ def test_op10_fits_on_all_parts_of_long_texts_and_all_documents(monkeypatch):
     toxicity.trained([b" ".join(b"d%dw%d" % (d, i) for i in range(2000)) for d in range(200)])
     assert len(seen) <= toxicity.FIT_WINDOWS
     assert toxicity.windows([b"d199w%d" % i for i in range(2000)])[0][:8] in {w[:8] for w in seen[-125:]} or seen[-1] in toxicity.windows([b"d199w%d" % i for i in range(2000)])
+
+
+def test_op8_trains_on_every_text_in_every_round(spark):
+    rng = np.random.default_rng(0)
+    # more texts than the old sample had; what a word is followed by differs between them
+    texts = [" ".join(f"{'ab'[i % 2]}{(k + j) % 7}" for j in range(12)) for i, k in enumerate(rng.integers(0, 7, 1500))]
+    lm = hmm.train_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    tokens, lengths, n = [], [], 0
+    for c in hmm.chunks(texts):
+        cls, size = hmm.class_sequences(c, lm.top)
+        tokens, lengths = [*tokens, cls], [*lengths, size]
+    tokens, lengths = np.concatenate(tokens), np.concatenate(lengths)
+    shares = np.bincount(tokens, minlength=hmm.CLASSES) + hmm.SMOOTH
+    unigram, before = shares / shares.sum(), -np.inf
+    model = hmm.first_model(unigram)
+    while True:
+        counts = hmm.Counts.zero()
+        logs = hmm.walk(tokens, lengths, model, counts).sum()
+        model = hmm.maximised(counts, unigram)
+        n += 1
+        if logs - before < hmm.TOLERANCE * len(tokens):
+            break
+        before = logs
+    assert n > 3
+    assert np.allclose(model.move, lm.model.move, atol=1e-6) and np.allclose(model.emit, lm.model.emit, atol=1e-6)

@@ -9,14 +9,14 @@ weighted by W, the inverse of the posteriors' second moments, under which the st
 domains are. The ridge keeps rates near 1 and is small.
 
 Defined results: a null text counts as the empty one and has one token, its end; a domain without labelled rows gets no
-posterior, and without any labelled rows all domains get the same; targets are scaled to sum to 1; a domain that no
-document may belong to can't be met, and the others share the fit; equal rows get equal rates; an empty table gives an
-empty one; other columns stay as they are.
+posterior, and without any labelled rows all domains get the same; targets are scaled to sum to 1 over the domains that
+hold at least REACH of the tokens, as no rates can meet those of the others; equal rows get equal rates; an empty table
+gives an empty one; other columns stay as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Collection, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +30,8 @@ from .quality import FIT_ROWS, SLOTS, features, labelled_features
 from .words import Chunk, chunks
 
 RIDGE, STEPS, TOLERANCE = 1e-3, 40, 5e-4
+#: The least share of the tokens that a domain has to hold to be raised to its target.
+REACH = 1e-6
 #: Slots of hashed words, of which so many at most are telling for each domain.
 WORD_SLOTS, TELLING = 1 << 18, 128
 #: The domains of the labels table and what each is to weigh.
@@ -209,8 +211,20 @@ def _totals(scored: DataFrame, rates: Rates, d: int) -> np.ndarray:
     return np.array(rows.agg(*[F.sum(f"s{k}") for k in range(d)]).first(), float)
 
 
-def fit_rates(scored: DataFrame, target: np.ndarray) -> tuple[Rates, np.ndarray]:
-    """The rates, and the domains' shares of all tokens that result.
+def reached(target: np.ndarray, now: np.ndarray, lowered: np.ndarray | None = None) -> np.ndarray:
+    """Targets that sum to 1 over the domains that hold tokens (now: their shares); lowered ones are never above those shares."""
+    out = np.where(now >= REACH, target, 0.0)
+    low = np.zeros(len(out), bool) if lowered is None else lowered
+    out[low] = np.minimum(out, now)[low]
+    free = out[~low].sum()
+    if not free:  # nothing else is there to take up the rest
+        return now
+    out[~low] *= (1 - out[low].sum()) / free
+    return out
+
+
+def fit_rates(scored: DataFrame, target: np.ndarray, lowered: np.ndarray | None = None) -> tuple[Rates, np.ndarray]:
+    """The rates, and the domains' shares of all tokens that result; lowered: domains that are never raised.
 
     scored: __p and __n of every document. Each step is one sum over all of them, of as many numbers as there are domains.
     """
@@ -223,6 +237,7 @@ def fit_rates(scored: DataFrame, target: np.ndarray) -> tuple[Rates, np.ndarray]
         return rates, np.zeros(d)
     total = float(first[0])
     now = np.array(first[1 : 1 + d]) / total
+    target = reached(target, now, lowered)
     moment = np.zeros((d, d))
     for (a, b), v in zip(pairs, first[1 + d :], strict=True):
         moment[a, b] = moment[b, a] = v / total
@@ -249,19 +264,23 @@ def _shares(targets: Mapping[str, float]) -> np.ndarray:
     return t / t.sum()
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """docs with __p, __n, __rate and __copies: the rate's whole part, and one more with the rest's probability, by a hash."""
-    model = train(docs, labelled, len(targets))
+def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, whole: DataFrame | None = None, lowered: Collection[str] = ()) -> DataFrame:
+    """docs with __p, __n, __rate and __copies: the rate's whole part, and one more with the rest's probability, by a hash.
+
+    The classifier is fitted on the labelled rows of whole (doc_id, text, n_chars; docs if None), so that it knows domains
+    of which docs has little left; the domains in lowered are not raised to their targets, only brought down.
+    """
+    model = train(docs if whole is None else whole, labelled, len(targets))
     scored = stored(with_posteriors(docs, model), "posteriors")
-    rates, _ = fit_rates(scored, _shares(targets))
+    rates, _ = fit_rates(scored, _shares(targets), np.array([k in lowered for k in targets]))
     names = [c for c in docs.columns if c not in ("__p", "__n")]
     u = F.pmod(F.xxhash64("doc_id", *[c for c in ("text",) if c in names]), F.lit(1 << 20)) / float(1 << 20)
     return scored.withColumn("__rate", rates.column()).withColumn("__copies", F.floor(F.col("__rate") + u).cast("int"))
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
+def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, whole: DataFrame | None = None, lowered: Collection[str] = ()) -> DataFrame:
     """docs in the target weights: each row as many times as its rate says, or not at all."""
-    rows = mixed(docs, labelled, targets).where("__copies > 0")
+    rows = mixed(docs, labelled, targets, whole, lowered).where("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 

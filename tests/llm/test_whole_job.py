@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from kinelake.llm import hmm, toxicity
+import corpus_pipeline
+from kinelake.llm import hmm, mixing, toxicity
+
+from .test_mix_pack import plain_rates
 
 
 def test_op10_trains_its_toxic_dictionary_on_toxic_windows():
@@ -55,3 +59,29 @@ def test_op8_trains_on_every_text_in_every_round(spark):
         before = logs
     assert n > 3
     assert np.allclose(model.move, lm.model.move, atol=1e-6) and np.allclose(model.emit, lm.model.emit, atol=1e-6)
+
+
+def test_targets_are_of_domains_within_reach():
+    shares = np.array([0.9, 0.1, 0.0])
+    assert np.allclose(mixing.reached(np.array([0.6, 0.2, 0.2]), shares), [0.75, 0.25, 0])
+    low = np.array([False, True, True])
+    assert np.allclose(mixing.reached(np.array([0.985, 0.01, 0.005]), np.array([0.9, 0.004, 0.096]), low), [0.991, 0.004, 0.005])
+
+
+def test_mixing_stage_meets_its_targets_without_poor_rows(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, known = corpus_pipeline.documents(spark, sf_dir), mixing.quality_domains(corpus_pipeline.labels(spark, sf_dir))
+    own = docs.join(known.where("label = 1"), "doc_id", "left_anti")  # no labelled row is poor
+    rows = mixing.mixed(own, known, corpus_pipeline.TARGETS, docs, corpus_pipeline.REMOVED).select("doc_id", "__p", "__n", "__rate").collect()
+    p, n, rate = (np.array([r[k] for r in rows], float) for k in ("__p", "__n", "__rate"))
+    shares = lambda rate: (rate * n) @ p / n.sum()
+    now, after = shares(np.ones(len(n))), shares(rate)
+    want = np.minimum(now, [1, 0.01, 0.005])
+    want[0] = 1 - want[1:].sum()
+    # the 40 steps of the fit end a little before the plain descent's 400 do
+    best = shares(plain_rates(p, n, want))
+    assert np.abs(after - best).max() < 0.008 and np.abs(after - want)[:2].max() < 0.005 and (after[1:] <= now[1:] + 1e-3).all()
+    poor = {r.doc_id for r, q in zip(rows, p, strict=True) if q.argmax() == 1}
+    count = F.sum(F.when(F.col("doc_id").isin(list(poor)), 1).otherwise(0)) / F.count("*")
+    mixed = corpus_pipeline.mix(spark, own, sf_dir)
+    assert own.agg(count).first()[0] > 0.04 and mixed.agg(count).first()[0] < 0.02

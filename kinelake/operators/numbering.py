@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _range_of(key: Column, cuts: list) -> Column:
+def range_of(key: Column, cuts: list) -> Column:
     return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= key)), F.lit(0)) if cuts else F.lit(0)
 
 
@@ -18,7 +18,7 @@ def with_row_index(df: DataFrame, key: str, name: str = "index", ranges: int | N
     """
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 50 * n)).first()[0] or [])) if n > 1 else []
-    placed = df.withColumn("_range", _range_of(F.col(key), cuts))
+    placed = df.withColumn("_range", range_of(F.col(key), cuts))
     sums = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("_range", before.alias("_before"))  # as many rows as there are ranges

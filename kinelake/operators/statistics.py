@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import range_of
+
 BINS = 5000
 
 
@@ -38,12 +40,40 @@ def norm_stats(values: DataFrame, by: Sequence[str] = ("key", "dim"), low: float
     return whole.join(reached, by).select(*by, "n", "mean", "std", edge("_low").alias("q01"), edge("_high").alias("q99"))
 
 
-def exact_stats(values: DataFrame, by: Sequence[str], quantiles: Sequence[float]) -> DataFrame:
-    """n, mean, std and interpolated quantiles. Exact quantiles hold a group's distinct values; norm_stats doesn't."""
-    names = [f"p{round(q * 100):02d}" for q in quantiles]
-    return values.groupBy(*by).agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), *[F.percentile("x", F.lit(q)).alias(n) for q, n in zip(quantiles, names, strict=True)]
-    )
+def exact_stats(values: DataFrame, by: Sequence[str], quantiles: Sequence[float], ranges: int | None = None) -> DataFrame:
+    """n, mean, std and exact interpolated quantiles of x for each group; no task holds a whole group.
+
+    Distinct values are counted, numbered within ranges of x of about as many of them each, and offset by the counts of the
+    group's ranges before; a quantile lies between the values at the two places around it.
+    """
+    by, names = list(by), [f"p{round(q * 100):02d}" for q in quantiles]
+    k = ranges or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = values.where("x IS NOT NULL").groupBy(*by, F.col("x").cast("double").alias("x")).agg(F.count("*").alias("_c"))
+    cuts = sorted(set(counts.agg(F.percentile_approx("x", [i / k for i in range(1, k)], 50 * k)).first()[0] or [])) if k > 1 else []
+    placed = counts.withColumn("_range", range_of(F.col("x"), cuts))
+    so_far = lambda *w: F.coalesce(F.sum("_c").over(Window.partitionBy(*w).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = placed.groupBy(*by, "_range").agg(F.sum("_c").alias("_c")).withColumn("_o", F.col("_range"))
+    starts = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_range").alias("_r"), so_far(*by).alias("_start"), F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
+    own = placed.withColumn("_o", F.col("x")).withColumn("_own", so_far(*by, "_range"))
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    first = F.col("_start") + F.col("_own")
+    ends = []
+    for q, name in zip(quantiles, names, strict=True):
+        at = (F.col("_n") - 1) * F.lit(float(q))
+        for place, end in ((F.floor(at), "l"), (F.ceil(at), "h")):
+            ends.append(F.max(F.when((first <= place) & (place < first + F.col("_c")), F.col("x"))).alias(f"_{end}{name}"))
+    found = own.join(starts, same).groupBy(*by).agg(*ends).select(*[F.col(c).alias(f"_{c}") for c in by], *[f"_{e}{n}" for n in names for e in "lh"])
+    whole = values.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    def between(q: float, name: str) -> Column:
+        at, low, high = (F.col("n") - 1) * F.lit(float(q)), F.col(f"_l{name}"), F.col(f"_h{name}")
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(name)
+
+    return whole.join(found, same, "left").select(*by, "n", "mean", "std", *[between(q, n) for q, n in zip(quantiles, names, strict=True)])
 
 
 def stats_arrays(stats: DataFrame, key: str = "key") -> DataFrame:

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 
 def range_of(key: Column, cuts: list) -> Column:
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= key)), F.lit(0)) if cuts else F.lit(0)
+    """How many of the ascending cut points are at or below key (null: none), by halving: a few comparisons for each row."""
+    if not cuts:
+        return F.lit(0)
+    points, steps = F.array(*[F.lit(c) for c in cuts]), [1 << b for b in reversed(range(len(cuts).bit_length()))]
+    step = lambda place, s: place + F.when(F.get(points, place + s - 1) <= key, s).otherwise(0)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 
 
 def with_row_index(df: DataFrame, key: str, name: str = "index", ranges: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:

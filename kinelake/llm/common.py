@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..operators.numbering import range_of
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows in an Arrow batch, so that a batch of very long texts fits a Python worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, so that a batch of very long texts fits a Python worker; the same for every operator.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+_RECORDS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,19 +25,40 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows that Spark hands to a Python worker at once, and sees that it can import this package."""
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Spark hands to a Python worker at once, and sees that it can import this package.
+
+    A smaller bound that the session has already stays. Plans are lazy, so the bound is one for all operators.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in ((_RECORDS, BATCH_ROWS), (_BYTES, BATCH_BYTES)):
+        own = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))
+        if not 0 < own <= most:
+            spark.conf.set(name, str(most))
+
+
+def fresh(wish: str, *taken: DataFrame) -> str:
+    """A column name like wish that none of the tables has."""
+    used, name = {c.lower() for df in taken for c in df.columns}, wish
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def one_label(labelled: DataFrame, label: Column) -> DataFrame:
+    """doc_id, label of each labelled document once; label is an aggregate, which settles conflicting rows."""
+    return labelled.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(label.alias("label"))
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path under spark.checkpoint.dir, which driver and executors share.
 
-    Only a session without that setting (a local test) gets a temporary folder of its own.
+    Only a local session without that setting (a test) gets a temporary folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='kinelake-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -91,22 +113,27 @@ def cuts_and_hot(df: DataFrame, key: str, buckets: int) -> tuple[list, list]:
 
 def bucket_of(key: Column | str, cuts: list) -> Column:
     """The number of cut points at or below key: ascending buckets from 0, in which null falls in 0."""
-    c = F.col(key) if isinstance(key, str) else key
-    if not cuts:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= c)), F.lit(0))
+    return F.coalesce(range_of(F.col(key) if isinstance(key, str) else key, cuts), F.lit(0))
 
 
-def in_order(df: DataFrame, key: str, cuts: list, *then: Column, ascending: bool = True) -> DataFrame:
-    """One partition for each range between cut points, in order, each sorted by key and then."""
-    n = len(cuts) + 1
-    b = bucket_of(key, cuts)
-    first = F.col(key).asc_nulls_first() if ascending else F.col(key).desc_nulls_last()
-    return df.repartitionById(n, b if ascending else F.lit(n - 1) - b).sortWithinPartitions(first, *then)
+def ordered_parts(docs: DataFrame, ranges: int, ascending: bool = True) -> tuple[Column, int, bool]:
+    """(part, number of parts, whether a doc_id is cut up): near-equal ranges of doc_id (nulls are the least), from 0 in order.
 
-
-def batches(frames: Iterator, rows: int) -> Iterator:
-    """Pandas frames cut into pieces of at most rows."""
-    for pdf in frames:
-        for lo in range(0, len(pdf), rows):
-            yield pdf.iloc[lo : lo + rows]
+    A doc_id that alone fills a range, or the null one, is cut further into as many parts, by crc32 of text, ascending.
+    """
+    cuts, hot = cuts_and_hot(docs.select("doc_id"), "doc_id", ranges)
+    edges = [None, *cuts]  # the least doc_id of each range
+    cut_up = [e in hot for e in edges]
+    order = range(len(edges)) if ascending else reversed(range(len(edges)))
+    base, total = [0] * len(edges), 0
+    for i in order:
+        base[i] = total
+        total += 1 + ranges * cut_up[i]
+    at = bucket_of("doc_id", cuts)
+    if not hot:
+        return (at if ascending else F.lit(len(cuts)) - at), total, False
+    table = lambda v, kind: F.get(F.array(*[F.lit(x).cast(kind) for x in v]), at)
+    own = table(cut_up, "boolean") & F.col("doc_id").eqNullSafe(table(edges, "long"))
+    sub = F.floor(F.crc32(F.coalesce("text", F.lit("")).cast("binary")) * F.lit(ranges) / F.lit(1 << 32))
+    rest = F.when(table(cut_up, "boolean"), F.lit(ranges)).otherwise(F.lit(0)) if ascending else F.lit(0)
+    return (table(base, "int") + F.when(own, sub if ascending else sub + 1).otherwise(rest)).cast("int"), total, True

@@ -9,7 +9,7 @@ weighted by W, the inverse of the posteriors' second moments, under which the st
 domains are. The ridge keeps rates near 1 and is small.
 
 Defined results: a null text counts as the empty one and has one token, its end; a domain without labelled rows gets no
-posterior, and without any labelled rows all domains get the same; targets are scaled to sum to 1 over the domains that
+posterior, and without any labelled rows all domains get the same; of labels that differ on one document the last domain counts; targets are scaled to sum to 1 over the domains that
 hold at least REACH of the tokens, as no rates can meet those of the others; equal rows get equal rates; an empty table
 gives an empty one; other columns stay as they are.
 """
@@ -152,7 +152,7 @@ def fit(x: np.ndarray, words: list[np.ndarray], y: np.ndarray, domains: int, epo
 
 def train(docs: DataFrame, labelled: DataFrame, domains: int, rows: int = FIT_ROWS) -> Classifier:
     """Fits on at most rows labelled documents (doc_id, label: the domain's number)."""
-    x, y, words = labelled_features(docs, labelled, rows, lambda texts: [w.astype("<u4").tobytes() for w in word_slots(texts)])
+    x, y, words = labelled_features(docs, labelled, rows, lambda texts: [w.astype("<u4").tobytes() for w in word_slots(texts)], F.max)
     return fit(x, [np.frombuffer(w, "<u4").astype(np.int64) for w in words], y, domains)
 
 

@@ -6,7 +6,8 @@ A document is a vector x: L2-normalised log counts of its words in hashed slots,
 time linear in the features by the sum-of-squares identity. Labels, language, source and id are never inputs.
 
 Defined results: a null text is scored as the empty one, and the empty one gets the score of its statistics; null
-n_chars counts as the text's own length; equal rows get equal scores; without labelled rows of both kinds every score
+n_chars counts as the text's own length; equal rows get equal scores; labelled rows of one document that differ count as
+label 0; without labelled rows of both kinds every score
 is the share of label 1 (0.5 if there are none); an empty table gives an empty one; other columns are not read.
 """
 
@@ -17,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_crc, labels, small_batches
+from .common import documents, id_crc, labels, one_label, small_batches
 from .words import chunks, shingles
 
 #: Hashed word slots and latent factors.
@@ -133,14 +134,14 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 30, rate: float = 0.02, deca
     return model
 
 
-def labelled_features(docs: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS, more: Callable[[list], list[bytes]] | None = None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def labelled_features(docs: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS, more: Callable[[list], list[bytes]] | None = None, settle: Callable[[Column], Column] = F.min) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Features and labels of at most rows labelled documents (doc_id, label), the least by a hash of the id, and what more makes of their texts.
 
-    The features are made where the texts are; the driver receives them as half floats, at most rows of them.
+    Where a document has several labels, settle takes one of them. The features are made where the texts are; the driver receives them as half floats, at most rows of them.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    chosen = labelled.where("label IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = one_label(labelled, settle(F.col("label"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").select("text", "n_chars", "label", F.xxhash64("doc_id").alias("h"))
 
     def rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

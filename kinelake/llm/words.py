@@ -7,15 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text that are hashed at once; a longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Places in a word that have random numbers of their own for each byte; later ones mix them with how often they came round.
+_PLACES = 64
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -26,19 +25,16 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES + 4096)
-        tables = []
-        for p in (_ODD, _ODD_INVERSE):
-            t = np.full(n, p, np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        if n > 8 * CHUNK_BYTES:
-            return tables[0], tables[1]
-        _powers = tables[0], tables[1]
-    return _powers
+_NUMBERS = mix(np.arange(_PLACES * 256, dtype=np.uint64), 21)
+
+
+def _byte_numbers(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for each byte and its place in its span. Sums of them are hashes without algebraic structure to collide by."""
+    v = _NUMBERS[(place & (_PLACES - 1)) * 256 + data]
+    late = np.flatnonzero(place >= _PLACES)
+    if len(late):
+        v[late] = mix(v[late] + (place[late] // _PLACES).astype(np.uint64) * np.uint64(0xD1342543DE82EF95), 22)
+    return v
 
 
 @dataclass
@@ -57,11 +53,34 @@ class Chunk:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end): a polynomial by prefix sums modulo 2**64, then mixed."""
-    power, inverse = _power_tables(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=prefix[1:])
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+    """64-bit hashes of the byte spans [start, end), which ascend, don't overlap and aren't empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    v = _byte_numbers(data[place + np.repeat(start, size)], place)
+    return mix(np.add.reduceat(v, begin) + size.astype(np.uint64))
+
+
+def prefix_hashes(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each byte of spans of these sizes, one after the other in data, a hash of its span up to and with it."""
+    begin = np.cumsum(size) - size
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_numbers(data, np.arange(len(data)) - np.repeat(begin, size)))])
+    return mix(total[1:] - np.repeat(total[begin], size))
+
+
+def byte_chunks(texts: Sequence[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about limit characters, a longer text by itself."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        n = len(t) if isinstance(t, str) else 0
+        if i > lo and size + n > limit:
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    if len(texts) > lo:
+        yield lo, len(texts)
 
 
 def chunks(texts: Sequence[str | None], lower: bool = True, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:

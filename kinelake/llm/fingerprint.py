@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, cut_points, documents, partitions, small_batches
+from .common import documents, ordered_parts, partitions, small_batches
 from .words import chunks, shingles
 
 EXACT, LIKE = 8, 128
@@ -94,18 +94,19 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, i
     """Partitions of docs (doc_id, text) in descending order of doc_id, each followed by a copy of the next one's first row.
 
     Columns: doc_id, text, part, role (0: a row of its own, 1: such a copy); after the last partition comes the first.
-    The driver gets the greatest doc_id of each range and nothing else; texts are shuffled once.
+    The driver gets the first doc_id of each range (and its text's checksum) and nothing else; texts are shuffled once.
     """
-    cuts = cut_points(docs.select("doc_id"), "doc_id", buckets or partitions(docs.sparkSession))
-    n = len(cuts) + 1
-    part = F.lit(n - 1) - bucket_of("doc_id", cuts)
-    heads = {r.part: r.head for r in docs.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
+    part, n, cut_up = ordered_parts(docs, buckets or partitions(docs.sparkSession), ascending=False)
+    # texts are read for the first rows alone where one doc_id fills ranges; elsewhere rows of one doc_id are few
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if cut_up else F.lit(None).cast("long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), (-F.col("doc_id")).alias("minus"), crc.alias("crc")))
+    heads = {r.part: (None if r.first.void else -r.first.minus, r.first.crc) for r in docs.select(part.alias("part"), "doc_id", "text").groupBy("part").agg(first.alias("first")).collect()}
     filled = sorted(heads)
     before = {p: filled[i - 1] for i, p in enumerate(filled)}
-    head = F.array(*[F.lit(heads.get(p)).cast("long") for p in range(n)])
-    prior = F.array(*[F.lit(before.get(p, 0)) for p in range(n)])
+    table = lambda v, kind: F.array(*[F.lit(v.get(p)).cast(kind) for p in range(n)])
+    head, check, prior = table({p: h for p, (h, _) in heads.items()}, "long"), table({p: c for p, (_, c) in heads.items()}, "long"), table({p: before.get(p, 0) for p in range(n)}, "int")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), part.cast("int").alias("part"))
-    copied = F.col("doc_id").eqNullSafe(F.get(head, F.col("part")))
+    copied = F.col("doc_id").eqNullSafe(F.get(head, F.col("part"))) & (F.get(check, F.col("part")).isNull() | (F.get(check, F.col("part")) == F.crc32(F.col("text").cast("binary"))))
     places = F.array_compact(F.array(F.struct(F.col("part"), F.lit(0).alias("role")), F.when(copied, F.struct(F.get(prior, F.col("part")).alias("part"), F.lit(1).alias("role")))))
     rows = own.withColumn("at", F.explode(places)).select("doc_id", "text", F.col("at.part").alias("part"), F.col("at.role").alias("role"))
     return rows.repartitionById(n, F.col("part")).sortWithinPartitions("role", F.col("doc_id").desc_nulls_last(), F.crc32(F.col("text").cast("binary"))), n

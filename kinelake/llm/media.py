@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, fresh, small_batches
 
 UNIT, BLOCKS_X, BLOCKS_Y = 192, 16, 12
 FPS = 25
@@ -50,8 +50,8 @@ STANDARD_AC = {
     "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a636465666768696a737475767778797a"
     "838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa",
     1: "00020102040403040705040400010277"
-    "0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a636465666768696a737475767778797a".replace(" ", "")
-    + "82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa",
+    "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a636465666768696a737475767778797a"
+    "82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa",
 }
 #: Of our own frames: DC categories by code length (for differences of text), and an AC code that only ends blocks.
 _DC_COUNTS, _DC_VALUES = (0, 1, 4, 2, 1, 1), (4, 2, 3, 5, 7, 0, 1, 6, 8)
@@ -498,7 +498,7 @@ def _means(files: list[bytes | None], strict: bool) -> list[tuple[Avi, list]]:
 
 
 def clips(df: DataFrame, media: str = "media") -> DataFrame:
-    """A row for each shot of each file, in place of the column media: clip, first_frame, n_frames, start_s, end_s, brightness."""
+    """A row for each shot of each file: its other columns, and clip, first_frame, n_frames, start_s, end_s, brightness (which replace columns of those names) in place of media."""
 
     @F.pandas_udf("array<struct<clip:int,first_frame:int,n_frames:int,start_s:double,end_s:double,brightness:double>>")
     def found(col: pd.Series) -> pd.Series:
@@ -510,7 +510,10 @@ def clips(df: DataFrame, media: str = "media") -> DataFrame:
                 out.append([(i, a, b - a, a / rate, b / rate, round(float(np.mean(light[a:b])), 6)) for i, (a, b) in enumerate(shots(histograms(means)))])
         return pd.Series(out)
 
-    return df.withColumn("_clip", F.explode(found(F.col(media)))).drop(media).select("*", "_clip.*").drop("_clip")
+    made = ("clip", "first_frame", "n_frames", "start_s", "end_s", "brightness")
+    rest = [c for c in df.columns if c != media and c not in made]
+    at = fresh("_clip", df)
+    return df.withColumn(at, F.explode(found(F.col(media)))).select(*[f"`{c}`" for c in rest], *[F.col(at)[c].alias(c) for c in made])
 
 
 def _groups(sizes: list[int], most: int) -> Iterator[slice]:
@@ -550,9 +553,12 @@ def media_digest(df: DataFrame) -> DataFrame:
                 out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature))
         return pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return df.withColumn("_read", read("media")).drop("media").select("*", "_read.*").drop("_read")
+    made = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    rest = [c for c in df.columns if c != "media" and c not in made]
+    at = fresh("_read", df)
+    return df.withColumn(at, read("media")).select(*[f"`{c}`" for c in rest], *[F.col(at)[c].alias(c) for c in made])
 
 
 def op6_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    small_batches(spark)
     return media_digest(text_media(documents(spark, sf_dir).select("doc_id", "text")))

@@ -14,17 +14,15 @@ An id range is read by its blocks alone and unpacked by numpy without a step for
 temporary name and moved to their own, so a task that is run again, or twice at once, leaves one whole file.
 
 Defined results: a null text counts as the empty one, which has the end id alone; rows with a null doc_id come first;
-rows of one doc_id are ordered by their texts' checksums, and equal rows keep a row each; an empty table gives no file
+rows of one doc_id are ordered by their texts' checksums (rows equal in both, however many, are in one task), and equal
+rows keep a row each; an empty table gives no file
 and no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -36,29 +34,24 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, cut_points, documents, partitions, scratch_dir, small_batches
-from .words import span_hashes
+from .common import documents, ordered_parts, partitions, scratch_dir, small_batches
+from .words import byte_chunks
 
 BLOCK_IDS = 1 << 16
 MAGIC = b"PKIDS001"
 _FOOTER = struct.Struct("<IIQQQQ8s")
 #: Documents that a task reads back at once.
 READ_DOCS = 4096
-#: Places (a power of two) in which a worker remembers pieces' ids; characters that are split at once.
-CACHE_SLOTS, SPLIT_CHARS = 1 << 21, 1 << 19
-
-# The endings that the byte-level BPE's split takes as pieces of their own, and its special characters' code points.
-ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
-_SPACE, _APOSTROPHE = 0x20, 0x27
-#: Code points on whose classes all engines and Unicode versions agree; a text with others is encoded whole.
-_STABLE_RANGES = ((0x00, 0x1B), (0x20, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC))
-_STABLE = re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in _STABLE_RANGES) + "]*")
-_WHITE, _LETTER, _NUMBER, _OTHER, _END = range(5)
-_CLASS = np.full(0x20AD, _OTHER, np.uint8)
-for _a, _b in _STABLE_RANGES:
-    for _c in range(_a, _b + 1):
-        _kind = unicodedata.category(chr(_c))[0]
-        _CLASS[_c] = _LETTER if _kind == "L" else _NUMBER if _kind == "N" else _WHITE if chr(_c).isspace() else _OTHER
+#: A worker remembers the ids of at most so many pieces of text, each of at most so many bytes.
+CACHE_PIECES, PIECE_BYTES = 1 << 20, 48
+
+#: Bytes that are, or begin, a character which is surely no white space: ASCII ones and those of two bytes from U+00C0 on.
+_BEGINS = np.zeros(256, bool)
+_BEGINS[0x21:0x7F] = _BEGINS[0xC3:0xE0] = True
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+_LINE, _SPACE = 10, 32
 
 
 def width(vocabulary: int) -> int:
@@ -141,140 +134,115 @@ class IdReader:
         if magic != MAGIC:
             raise ValueError("not a file of packed ids")
         self.index_at = at
-        index, lo = self._read(at, size - _FOOTER.size - at), 0
-        parts = []
-        for n, t in ((n_blocks, "<u8"), (self.n_docs, "<i8"), (self.n_docs, "u1"), (self.n_docs + 1, "<u8")):
-            parts.append(np.frombuffer(index, t, n, lo))
-            lo += parts[-1].nbytes
-        self.offsets, self.doc_id, self.null, self.start = parts
+        self.doc_id_at = at + 8 * n_blocks
+        self.null_at = self.doc_id_at + 8 * self.n_docs
+        self.start_at = self.null_at + self.n_docs
 
     def _read(self, at: int, n: int) -> bytes:
         self.stream.seek(at)
         return self.stream.read(n)
 
+    def _index(self, at: int, kind: str, lo: int, hi: int) -> np.ndarray:
+        """Entries lo to hi of one table of the index; the rest of it isn't read."""
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(self._read(at + lo * size, (hi - lo) * size), kind)
+
     def ids(self, start: int, stop: int) -> np.ndarray:
         """The ids start to stop of the file; only their blocks are read."""
         if start >= stop:
             return np.zeros(0, "<u4")
         first, last = start // self.block_ids, (stop - 1) // self.block_ids
-        ends = np.append(self.offsets[1:], self.index_at)
-        lo = int(self.offsets[first])
-        data, out = self._read(lo, int(ends[last]) - lo), []
+        # after the last block comes the index, whose first entry is not an offset
+        begins = np.append(self._index(self.index_at, "<u8", first, last + 1), self.index_at).astype(np.int64)
+        if (last + 1) * self.block_ids < self.n_ids:
+            begins[-1] = self._index(self.index_at, "<u8", last + 1, last + 2)[0]
+        data, out = self._read(int(begins[0]), int(begins[-1] - begins[0])), []
         for b in range(first, last + 1):
             i, j = max(start, b * self.block_ids), min(stop, (b + 1) * self.block_ids)
-            out.append(unpack(data[int(self.offsets[b]) - lo : int(ends[b]) - lo], self.bits, i - b * self.block_ids, j - i))
+            lo, hi = (int(x - begins[0]) for x in begins[b - first : b - first + 2])
+            out.append(unpack(data[lo:hi], self.bits, i - b * self.block_ids, j - i))
         return np.concatenate(out)
 
     def documents(self, lo: int, hi: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, ids of the file before it, its ids) of the documents lo to hi."""
-        at = self.start.astype(np.int64)
-        ids = self.ids(int(at[lo]), int(at[hi]))
-        for k in range(lo, hi):
-            yield None if self.null[k] else int(self.doc_id[k]), int(at[k]), ids[at[k] - at[lo] : at[k + 1] - at[lo]]
-
-
-def pieces(texts: Sequence[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(all texts joined, their code points, where pieces begin and end, the text of each), for texts of stable code points.
-
-    Letters, numbers or other characters make a piece each, with one space before it; white space makes one up to its
-    last character, which is apart; an apostrophe that begins a piece takes one of ENDINGS with it and nothing else.
-    """
-    joined = "".join(t + "\0" for t in texts)
-    code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
-    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-    kind = _CLASS[code]
-    kind[ends] = _END
-    begins = np.ones(len(code), bool)
-    begins[1:] = kind[1:] != kind[:-1]
-    after = np.flatnonzero((kind[1:] != _WHITE) & (kind[1:] != _END) & (kind[:-1] == _WHITE)) + 1
-    begins[after - 1] = True
-    begins[after] = code[after - 1] != _SPACE
-    mark = np.flatnonzero((code == _APOSTROPHE) & begins)
-    for ending in ENDINGS if len(mark) else ():
-        at = mark[mark + len(ending) < len(code)]
-        for k, letter in enumerate(ending, 1):
-            at = at[code[at + k] == ord(letter)]
-        begins[at + 1] = False
-        begins[at + 1 + len(ending)] = True
-    start = np.flatnonzero(begins)
-    stop = np.append(start[1:], len(code))
-    real = kind[start] != _END
-    start, stop = start[real], stop[real]
-    return joined, code, start, stop, np.searchsorted(ends, start)
+        at = self._index(self.start_at, "<u8", lo, hi + 1).astype(np.int64)
+        doc_id, null = self._index(self.doc_id_at, "<i8", lo, hi), self._index(self.null_at, "u1", lo, hi)
+        ids = self.ids(int(at[0]), int(at[-1]))
+        for k in range(hi - lo):
+            yield None if null[k] else int(doc_id[k]), int(at[k]), ids[at[k] - at[0] : at[k + 1] - at[0]]
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    Byte-level BPE encodes the pieces of its split each for itself, so a piece's ids are asked of the library once and
-    remembered under its hash, in a table of fixed size. Texts with characters on whose class Unicode versions differ,
-    or with a special token's name, are encoded whole.
+    Texts are cut where byte-level BPE always begins a new piece: at a single space between two characters that aren't white
+    space, between a letter and a mark such as a comma, and on either side of a single line break between others. So
+    the parts have the ids that they have in the whole. The library is asked once for each part, mostly a word, and what it
+    says is remembered under the part's own bytes; long parts are asked for each time.
     """
 
-    def __init__(self, path: str, slots: int = CACHE_SLOTS):
+    def __init__(self, path: str, most: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.slots = slots
-        self._forget()
-
-    def _forget(self) -> None:
-        self.key = np.zeros(self.slots, np.uint64)
-        self.at, self.size = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int32)
-        self.ids, self.held = np.zeros(4 * self.slots, "<u4"), 0
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mask = np.uint64(self.slots - 1)
-        return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
-
-    def _remember(self, h: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
-        one, two = self._slots(h)
-        slot = np.where((self.key[one] != 0) & (self.key[one] != h), two, one)
-        self.key[slot], self.at[slot], self.size[slot] = h, at, size
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[bytes, bytes] = {}
+        # a line break between a part's end and a space is a piece by itself, so parts without one can be asked for together
+        line = self.tokenizer.encode("a\n b", add_special_tokens=False).ids
+        self.line = line[1] if len(line) == 3 else None
+
+    def _asked(self, parts: list[bytes]) -> list[bytes]:
+        text = {p: p.decode() for p in parts}
+        plain = [p for p in parts if self.line is not None and p[:1] == b" " and b"\n" not in p and not text[p][-1].isspace()]
+        rest = sorted(set(parts).difference(plain))
+        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        got = self.tokenizer.encode_batch_fast(["\n".join(map(text.get, g)) for g in groups] + list(map(text.get, rest)), add_special_tokens=False)
+        found: dict[bytes, bytes] = {}
+        for g, e in zip(groups, got):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(ids == self.line)
+            for p, a, b in zip(g, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
+                found[p] = ids[a:b].tobytes()
+        found |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(rest, got[len(groups) :], strict=True)}
+        return [found[p] for p in parts]
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """For each text its ids, as unsigned 32-bit integers."""
-        plain = [i for i, t in enumerate(texts) if _STABLE.fullmatch(t) and not any(s in t for s in self.special)]
-        out: list = [None] * len(texts)
-        rest = sorted(set(range(len(texts))).difference(plain))
-        for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
-            out[i] = np.array(ids, "<u4")
-        if not plain:
-            return out
-        joined, code, start, stop, doc = pieces([texts[i] for i in plain])
-        h = span_hashes(code, start, stop) | np.uint64(1)
-        one, two = self._slots(h)
-        slot = np.where(self.key[one] == h, one, two)
-        at, size = self.at[slot], self.size[slot].astype(np.int64)
-        missing = np.flatnonzero(self.key[slot] != h)
-        store = self.ids
-        if len(missing):
-            new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            asked = missing[first]
-            got = self._whole([joined[a:b] for a, b in zip(start[asked].tolist(), stop[asked].tolist(), strict=True)])
-            n = np.array([len(g) for g in got], np.int64)
-            flat = np.fromiter(itertools.chain.from_iterable(got), "<u4", int(n.sum()))
-            begin = np.cumsum(n) - n
-            at[missing], size[missing] = begin[back] + self.held, n[back]
-            if self.held + len(flat) <= len(self.ids):
-                self.ids[self.held : self.held + len(flat)] = flat
-                self._remember(new, begin + self.held, n)
-                self.held += len(flat)
-            else:  # full: these ids serve this once, and the table starts anew
-                store = np.concatenate([self.ids[: self.held], flat])
-                self._forget()
-        total = np.cumsum(size)
-        ids = store[np.repeat(at - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
-        cut = np.concatenate([[0], total])[np.searchsorted(doc, np.arange(len(plain) + 1))]
-        for k, i in enumerate(plain):
-            out[i] = ids[cut[k] : cut[k + 1]]
+        out: list[np.ndarray] = []
+        for lo, hi in byte_chunks(texts):
+            out += self._encoded([t.encode() for t in texts[lo:hi]])
         return out
 
+    def _encoded(self, raw: list[bytes]) -> list[np.ndarray]:
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum([len(r) for r in raw])
+        begins = np.zeros(len(data) + 1, bool)
+        cut = np.flatnonzero((data[1:-1] == _SPACE) | _MARK[data[1:-1]] | (data[1:-1] == _LINE)) + 1
+        this, before, wide = data[cut], data[cut - 1], data[np.maximum(cut - 2, 0)]
+        solid = np.where(before < 0x80, _BEGINS[before], (wide >= 0xC3) & (wide < 0xE0))
+        letter = np.where(before < 0x80, _LETTER[before], (wide >= 0xC3) & (wide < 0xC9) & (before != 0x97) & (before != 0xB7))
+        begins[cut[np.where(this == _SPACE, solid & _BEGINS[data[cut + 1]], np.where(this == _LINE, solid, letter))]] = True
+        after = cut[(this == _LINE) & solid] + 1
+        begins[after[_BEGINS[data[after]]]] = True
+        begins[ends - [len(r) for r in raw]] = True
+        begin = np.flatnonzero(begins[:-1])
+        at = begin.tolist()
+        parts = [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)])]
+        got = list(map(self.known.get, parts))
+        missing = list({p for p, g in zip(parts, got, strict=True) if g is None})
+        if missing:
+            new = dict(zip(missing, self._asked(missing), strict=True))
+            got = [new[p] if g is None else g for p, g in zip(parts, got, strict=True)]
+            if len(self.known) + len(new) > self.most:
+                self.known.clear()
+            self.known.update((p, ids) for p, ids in new.items() if len(p) <= PIECE_BYTES)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.frombuffer(b"".join(got), "<u4")
+        edge = total[np.searchsorted(begin, np.concatenate([[0], ends]))]
+        return [ids[a:b] for a, b in zip(edge.tolist(), edge[1:].tolist())]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -314,34 +282,33 @@ class TokenFiles:
 def write_ids(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 0, buckets: int | None = None) -> TokenFiles:
     """Encodes docs (doc_id, text) and writes a file for each range of doc_id, in ascending order.
 
-    The driver gets one row for each file. out_dir is a URI that all executors reach.
+    A doc_id (or the null one) that alone fills a range is cut further by its texts' checksums. The driver gets one row
+    for each file. out_dir is a URI that all executors reach.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    cuts = cut_points(docs.select("doc_id"), "doc_id", buckets or partitions(spark))
-    n = len(cuts) + 1
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket_of("doc_id", cuts).alias("bucket"))
+    part, n, _ = ordered_parts(docs, buckets or partitions(spark))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), part.alias("bucket"))
     rows = rows.repartitionById(n, F.col("bucket")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary")))
     rows = rows.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), "text", "bucket")
     end = np.array([end_id], "<u4")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
         own = encoder(tokenizer)
-        bits = width(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1))
+        bits = width(max(own.tokenizer.get_vocab_size(), end_id + 1))
         writer = None
         for pdf in frames:
-            group = pdf["text"].str.len().cumsum() // SPLIT_CHARS
-            for _, part in pdf.groupby(group, sort=False):
+            texts = pdf["text"].tolist()
+            ids, nulls = pdf["doc_id"].tolist(), pdf["null_id"].tolist()
+            for lo, hi in byte_chunks(texts):
                 if writer is None:
-                    bucket = int(part["bucket"].iloc[0])
+                    bucket = int(pdf["bucket"].iloc[0])
                     system, name = _open(f"{out_dir}/ids-{bucket:06d}.bin")
                     system.create_dir(os.path.dirname(name), recursive=True)
                     raw = system.open_output_stream(held := f"{name}.{uuid.uuid4().hex}.tmp")
                     writer = IdWriter(raw, bits)
-                for doc_id, null_id, ids in zip(part["doc_id"].tolist(), part["null_id"].tolist(), own.encode(part["text"].tolist()), strict=True):
-                    writer.add(None if null_id else doc_id, np.append(ids, end))
+                for doc_id, null_id, own_ids in zip(ids[lo:hi], nulls[lo:hi], own.encode(texts[lo:hi]), strict=True):
+                    writer.add(None if null_id else doc_id, np.append(own_ids, end))
         if writer is not None:
             size = writer.close()
             raw.close()
@@ -355,16 +322,16 @@ def write_ids(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 0, bu
 def read_ids(spark: SparkSession, written: TokenFiles, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each document, from the files.
 
-    With with_ids also the ids themselves. A task reads the blocks of READ_DOCS documents.
+    With with_ids also the ids themselves. The driver sends a row for each file; a task reads READ_DOCS documents by their
+    own blocks and index entries.
     """
-    chunks, start = [], 0
+    files, start = [], 0
     for path, n_docs, n_ids, _ in written.files:
-        chunks += [(path, start, lo, min(lo + READ_DOCS, n_docs)) for lo in range(0, n_docs, READ_DOCS)]
+        files.append((path, start, n_docs))
         start += n_ids
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    todo = spark.createDataFrame(chunks, "path string, start long, lo long, hi long")
-    if len(chunks) > 1:
-        todo = todo.repartition(min(len(chunks), 4 * partitions(spark)))
+    todo = spark.createDataFrame(files, "path string, start long, n_docs long").select("path", "start", "n_docs", F.explode(F.sequence(F.lit(0), F.col("n_docs") - 1, F.lit(READ_DOCS))).alias("lo"))
+    todo = todo.select("path", "start", "lo", F.least(F.col("lo") + READ_DOCS, "n_docs").alias("hi")).repartition(4 * partitions(spark))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

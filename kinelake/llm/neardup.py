@@ -1,16 +1,17 @@
 """Near-duplicate classes by Order MinHash, checked by banded alignment.
 
 A text is the sequence of its runs of SHINGLE_WORDS words, each labelled with its occurrence number in the text, so that
-no element repeats. Each sketch takes the two elements that are least under a hash function and keeps them in text
-order; that sketches of two texts agree is likelier the closer the texts are in edit distance. BANDS bands of ROWS
-sketches give candidates: texts that agree on a band.
+no element repeats. A sketch takes the two elements that are least under a hash function and keeps them in text order;
+that sketches of two texts agree is likelier the closer the texts are in edit distance. Texts that agree on one of
+SKETCHES sketches are candidates. Two texts of n and m words are alike if c / (n + m - c) is SIMILARITY or more, where c
+words of both stand in the same order (a banded alignment, whose band is as wide as any such pair can need), and if they
+share FLOOR or more of the longer one's elements. Replaced words up to a ninth of a text keep a pair alike.
 
 A bucket of texts is never turned into its pairs. Each bucket links its members to the least one, and the components of
 these links hold every candidate pair. Within a component, an index of each text's rarest elements finds the pairs that
-can reach the similarity (a prefix filter, which loses none), and a banded alignment confirms them; a pair that is
-already connected isn't looked at again. The similarity of two texts of n and m elements is ``c / (n + m - c)``, c the
-length of the longest common subsequence; the band is as wide as any pair of SIMILARITY or more can need. A component of
-more than BLOCK_ELEMENTS is cut into blocks, and each pair of its blocks is a task of its own.
+can share FLOOR of them (a prefix filter, which loses none), and the alignment confirms them; a pair that is already
+connected isn't looked at again, and elements that only texts of one class have are not listed. A component of more than
+BLOCK_ELEMENTS is cut into blocks, and each pair of its blocks is a task of its own.
 
 Texts are known by their 128-bit digests, so exact copies are one text from the start, however many there are.
 Everything is distributed: the driver sees row counts and checksums alone.
@@ -24,6 +25,7 @@ an empty one; other columns stay as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -31,14 +33,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, documents, partitions, small_batches, stored, stored_at
+from .common import discard, documents, fresh, partitions, small_batches, stored, stored_at
 from .words import chunks, mix, shingles
 
-SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: With 20 bands of 3 sketches of 2 elements, a pair of similarity 0.8 is a candidate with probability 0.998.
-BANDS, ROWS = 20, 3
+SHINGLE_WORDS, SIMILARITY, FLOOR = 5, 0.8, 0.4
+#: Replacing a tenth of a long text's words leaves 0.59 of its elements; two such texts agree on one of 24 sketches of 2
+#: elements with probability 0.99.
+SKETCHES = 24
 #: Elements of a block: 8 bytes each, and two blocks meet in a task.
 BLOCK_ELEMENTS = 2_000_000
+#: Parts in which the rows of a component of many blocks are dealt.
+_SALTS = 64
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -46,8 +51,25 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def elements(texts: list[str | None], k: int = SHINGLE_WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, number of texts, elements, their texts): whole texts by chunks, elements in text order."""
+@dataclass
+class Elements:
+    """Of texts lo to lo + n: words and elements in text order, with their texts (counted from lo)."""
+
+    lo: int
+    n: int
+    word: np.ndarray
+    word_doc: np.ndarray
+    h: np.ndarray
+    doc: np.ndarray
+
+    def sequences(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each text's words and elements."""
+        cut = lambda v, doc: np.split(v, np.cumsum(np.bincount(doc, minlength=self.n))[:-1])
+        return zip(cut(self.word, self.word_doc), cut(self.h, self.doc), strict=True)
+
+
+def elements(texts: list[str | None], k: int = SHINGLE_WORDS) -> Iterator[Elements]:
+    """Whole texts by chunks."""
     for c in chunks(texts):
         n = c.hi - c.lo
         h, doc = shingles(c.word, c.doc, n, k)
@@ -60,7 +82,8 @@ def elements(texts: list[str | None], k: int = SHINGLE_WORDS) -> Iterator[tuple[
             new[1:] = s[1:] != s[:-1]
             start = np.flatnonzero(new)
             again[order] = np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))
-        yield c.lo, n, np.where(again > 0, mix(h + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 9), h), doc
+        labelled = np.where(again > 0, mix(h + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 9), h)
+        yield Elements(c.lo, n, c.word, c.doc, labelled, doc)
 
 
 def sketches(h: np.ndarray, doc: np.ndarray, n: int, count: int) -> np.ndarray:
@@ -87,26 +110,19 @@ def sketches(h: np.ndarray, doc: np.ndarray, n: int, count: int) -> np.ndarray:
     return out
 
 
-def band_keys(sk: np.ndarray) -> np.ndarray:
-    key = np.zeros((len(sk), BANDS), np.uint64)
-    for r in range(ROWS):
-        key = mix(key * np.uint64(1_000_003) + sk[:, r::ROWS], r)
-    return (key + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64)
-
-
 def _sketched(texts: DataFrame) -> DataFrame:
-    """texts (id, text, copy) with n (elements) and bands in place of text."""
+    """texts (id, text, copy) with n (elements) and keys (a sketch and its number) in place of text."""
+    number = np.arange(SKETCHES, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
 
     def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for lo, n, h, doc in elements(pdf["text"].tolist()):
-                sizes = np.bincount(doc, minlength=n)
-                keys = band_keys(sketches(h, doc, n, BANDS * ROWS))
-                bands = [k if s else k[:0] for k, s in zip(keys, sizes, strict=True)]
-                own = pdf.iloc[lo : lo + n]
-                yield pd.DataFrame({"id": own["id"].tolist(), "copy": own["copy"].tolist(), "n": sizes, "bands": bands})
+            for e in elements(pdf["text"].tolist()):
+                sizes = np.bincount(e.doc, minlength=e.n)
+                keys = (sketches(e.h, e.doc, e.n, SKETCHES) + number).view(np.int64)
+                own = pdf.iloc[e.lo : e.lo + e.n]
+                yield pd.DataFrame({"id": own["id"].tolist(), "copy": own["copy"].tolist(), "n": sizes, "keys": [k if s else k[:0] for k, s in zip(keys, sizes, strict=True)]})
 
-    return texts.select("id", "copy", "text").mapInPandas(made, "id binary, copy long, n long, bands array<long>")
+    return texts.select("id", "copy", "text").mapInPandas(made, "id binary, copy long, n long, keys array<long>")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -130,7 +146,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if earlier:
             discard(spark, earlier)
         earlier = path
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        # the same number of edges and the same two sums of 64-bit hashes: the same edges
+        now = edges.agg(F.count("*"), *[F.sum(F.xxhash64("u", "v", F.lit(i)).cast("decimal(20,0)")) for i in (0, 1)]).first()
         if now == before:
             break
         before = now
@@ -138,37 +155,61 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
-def common_length(x: np.ndarray, y: np.ndarray, band: int) -> int:
-    """Longest common subsequence of two sequences without repeats, of which places further apart than band don't match."""
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    order = np.argsort(i)
-    i, j = i[order], j[order]
-    j = j[np.abs(i - j) <= band]
-    if len(j) < 2 or (np.diff(j) > 0).all():
-        return len(j)
-    tails = np.empty(len(j), np.int64)  # the least end of an ascending run of each length
-    n = 0
-    for v in j:
-        k = int(np.searchsorted(tails[:n], v))
-        tails[k] = v
-        n = max(n, k + 1)
-    return n
-
-
-def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> bool:
+def places(x: np.ndarray) -> dict[int, int]:
+    """For each word of a text, its places as the bits of a number."""
+    out: dict[int, int] = {}
+    for i, w in enumerate(x.tolist()):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def common_length(x: dict[int, int], n: int, y: np.ndarray, band: int) -> int:
+    """Longest common subsequence of a text of n words (given as places) and y, of which places further apart than band don't match.
+
+    All cells of an alignment's row are one number's bits, so a row is a few operations on it.
+    """
+    row = whole = (1 << n) - 1
+    window = (1 << (2 * band + 1)) - 1
+    for j, w in enumerate(y.tolist()):
+        if m := x.get(w):
+            hit = row & m & (window << (j - band) if j >= band else window >> (band - j))
+            row = ((row + hit) | (row - hit)) & whole
+    return n - row.bit_count()
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY, known: dict[int, int] | None = None) -> bool:
+    """Of two texts' words; known: x's places."""
     need = ceil(least * (len(x) + len(y)) / (1 + least) - 1e-9)
     if need > min(len(x), len(y)):
         return False
-    c = common_length(x, y, max(len(x), len(y)) - need)
-    return c >= need
+    return common_length(places(x) if known is None else known, len(x), y, max(len(x), len(y)) - need) >= need
+
+
+class _Classes:
+    """Union of numbered members, each of which knows its class at once."""
 
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.members: list[list[int] | None] = [None] * n
 
-def link(group: np.ndarray, side: np.ndarray, seqs: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that connect all similar texts of each group; only texts of different sides are compared where a group has two.
+    def join(self, x: int, y: int) -> None:
+        a, b = int(self.of[x]), int(self.of[y])
+        own = [self.members[c] or [c] for c in (a, b)]
+        if len(own[0]) > len(own[1]):
+            a, b, own = b, a, own[::-1]
+        self.of[own[0]] = b
+        self.members[b], self.members[a] = own[1] + own[0] if self.members[b] is None else own[1], None
+        if self.members[b] is own[1]:
+            own[1].extend(own[0])
 
-    At most one link for each merge of two components.
+
+def link(group: np.ndarray, side: np.ndarray, words: list[np.ndarray], seqs: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that connect all alike texts of each group; only texts of different sides are compared where a group has two.
+
+    words and seqs: each text's words and elements. At most one link for each merge of two classes. A text is first held
+    against the last one that has an element of its own; what that joins isn't listed, however many texts it has.
     """
-    size = np.array([len(s) for s in seqs], np.int64)
+    size, long = np.array([len(s) for s in seqs], np.int64), np.array([len(w) for w in words], np.int64)
     n = len(seqs)
     if not size.sum():
         return []
@@ -177,49 +218,75 @@ def link(group: np.ndarray, side: np.ndarray, seqs: list[np.ndarray], least: flo
     begin = np.cumsum(size) - size
     df = np.bincount(flat)
     order = np.lexsort((flat, df[flat], of))  # each text's elements, the rarest first
-    prefix = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    need = np.ceil(FLOOR * size - 1e-9).astype(np.int64)
     rank = np.arange(len(flat)) - begin[of]
-    head, head_of = flat[order][rank < prefix[of]], of[rank < prefix[of]]
+    headed = (rank < (size - need + 1)[of]) & (df[flat[order]] > 1)
+    head, head_of = flat[order][headed], of[headed]
     by = np.argsort(head, kind="stable")
     posted, posted_of = head[by], head_of[by]
     first = np.searchsorted(posted, np.arange(len(names)))
     after = np.append(first[1:], len(posted))
     head_begin = np.concatenate([[0], np.cumsum(np.bincount(head_of, minlength=n))])
-    comp = np.arange(n)
     two = np.zeros(n, bool)
     if side.any():
         both = np.bincount(group.astype(np.int64), side, group.max() + 1)
         alone = np.bincount(group.astype(np.int64), 1 - side, group.max() + 1)
         two = ((both > 0) & (alone > 0))[group]
-    mark = np.zeros(len(names), bool)
-    out = []
+    kept, last, mixed = _Classes(n), np.full((2, len(names)), -1, np.int64), np.zeros(len(names), bool)
+    seen, mark, out = np.zeros(n, bool), np.zeros(len(names), bool), []
     for x in range(n):
         h = head[head_begin[x] : head_begin[x + 1]]
-        h = h[after[h] - first[h] > 1]
         if not len(h):
             continue
-        near = np.unique(np.concatenate([posted_of[first[k] : after[k]] for k in h]))
-        near = near[(near < x) & (comp[near] != comp[x])]
-        near = near[(size[near] >= least * size[x]) & (size[x] >= least * size[near])]
+        own = flat[begin[x] : begin[x] + size[x]]
+        known: dict[int, int] | None = None
+
+        def tried(y: int, x: int = x) -> bool:
+            nonlocal known
+            if kept.of[x] == kept.of[y] or min(long[x], long[y]) < least * max(long[x], long[y]) - 1e-9:
+                return False
+            known = known or places(words[x])
+            if not similar(words[x], words[y], least, known):
+                return False
+            out.append((x, y))
+            kept.join(x, y)
+            return True
+
+        def shared(ys: np.ndarray, own: np.ndarray = own) -> np.ndarray:
+            mark[own] = True
+            lens = size[ys]
+            where = np.repeat(begin[ys] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+            got = np.add.reduceat(mark[flat[where]], np.cumsum(lens) - lens, dtype=np.int64)
+            mark[own] = False
+            return got
+
+        before = last[1 - side[x] if two[x] else side[x], h]
+        near, hits = np.unique(before[before >= 0], return_counts=True)
+        if len(near):  # one of each class, that with most elements in common
+            near = near[np.argsort(-hits, kind="stable")]
+            near = near[np.sort(np.unique(kept.of[near], return_index=True)[1])]
+            for y in near[shared(near) >= np.maximum(need[x], need[near])].tolist():
+                tried(y)
+        listed = h[(before >= 0) & (mixed[h] | (kept.of[np.maximum(before, 0)] != kept.of[x]))]
+        for k in listed.tolist():
+            ys = posted_of[first[k] : after[k]]
+            ys = ys[: np.searchsorted(ys, x)]
+            apart = ys[kept.of[ys] != kept.of[x]]
+            mixed[k] = len(apart) > 0
+            seen[apart] = True
+        near = np.flatnonzero(seen[:x]) if len(listed) else near[:0]
+        seen[near] = False
+        near = near[np.minimum(long[near], long[x]) >= least * np.maximum(long[near], long[x]) - 1e-9]
         if two[x]:
             near = near[side[near] != side[x]]
-        if not len(near):
-            continue
-        own = flat[begin[x] : begin[x] + size[x]]
-        mark[own] = True
-        lens = size[near]
-        where = np.repeat(begin[near] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-        shared = np.add.reduceat(mark[flat[where]], np.cumsum(lens) - lens, dtype=np.int64)
-        mark[own] = False
-        enough = shared >= least * (size[x] + lens - shared) - 1e-9
-        near = near[enough][np.argsort(-shared[enough], kind="stable")]
-        while len(near):
-            y = int(near[0])
-            near = near[1:]
-            if similar(seqs[x], seqs[y], least):
-                out.append((x, y))
-                comp[comp == comp[x]] = comp[y]
-                near = near[comp[near] != comp[x]]
+        if len(near):
+            both = shared(near)
+            enough = both >= np.maximum(need[x], need[near])
+            for y in near[enough][np.argsort(-both[enough], kind="stable")].tolist():
+                tried(y)
+        s = side[x]
+        mixed[h] |= (last[s, h] >= 0) & (kept.of[np.maximum(last[s, h], 0)] != kept.of[x])
+        last[s, h] = x
     return out
 
 
@@ -233,26 +300,25 @@ def _verified(members: DataFrame, least: float) -> DataFrame:
         def links() -> pd.DataFrame:
             keys = {k: i for i, k in enumerate(dict.fromkeys(h[0] for h in held))}
             group = np.array([keys[h[0]] for h in held])
-            pairs = link(group, np.array([h[1] for h in held]), [h[3] for h in held], least)
+            pairs = link(group, np.array([h[1] for h in held]), [h[3] for h in held], [h[4] for h in held], least)
             return pd.DataFrame({"a": [held[x][2] for x, _ in pairs], "b": [held[y][2] for _, y in pairs]})
 
         for pdf in frames:
             roots, parts = pdf["root"].tolist(), pdf["part"].tolist()
             sides, ids = pdf["side"].tolist(), pdf["id"].tolist()
-            for lo, n, h, doc in elements(pdf["text"].tolist()):
-                cut = np.split(h, np.cumsum(np.bincount(doc, minlength=n))[:-1])
-                for i, seq in enumerate(cut, lo):
+            for e in elements(pdf["text"].tolist()):
+                for i, (words, seq) in enumerate(e.sequences(), e.lo):
                     key = (bytes(roots[i]), parts[i])
                     if weight > BLOCK_ELEMENTS and key != held[-1][0]:
                         yield links()
                         held, weight = [], 0
-                    held.append((key, sides[i], bytes(ids[i]), seq))
+                    held.append((key, sides[i], bytes(ids[i]), words, seq))
                     weight += len(seq)
         if held:
             yield links()
 
     n = partitions(members.sparkSession)
-    return members.repartition(n, "root", "part").sortWithinPartitions("root", "part").mapInPandas(checked, "a binary, b binary")
+    return members.repartition(n, "root", "part").sortWithinPartitions("root", "part", "side").mapInPandas(checked, "a binary, b binary")
 
 
 def text_classes(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -260,16 +326,19 @@ def text_classes(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     spark = texts.sparkSession
     small_batches(spark)
     signed = stored(_sketched(texts), "sketches")
-    buckets = signed.select("id", F.explode("bands").alias("key"))
+    buckets = signed.select("id", F.explode("keys").alias("key"))
     heads = buckets.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("other")).where("head <> other").select("key", "head")
     edges = buckets.join(heads, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     near = stored(components(edges, "candidates"), "near")
     sizes = near.join(signed.groupBy("id").agg(F.first("n").alias("n")), "id")
-    blocks = sizes.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+    blocks = sizes.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks")).where("blocks > 1")
+    # only components of many blocks are looked up, by parts, so that none is dealt to one task by its root
+    cut = blocks.select("root", "blocks", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    dealt = near.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(_SALTS)).cast("int")).join(cut, ["root", "salt"], "left")
+    many = F.coalesce("blocks", F.lit(1))
     # a member of a component of one block has one place; others meet each block of theirs, themselves included
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = near.join(blocks, "root").select("root", "id", own.alias("own"), other.alias("other"), "blocks")
+    own = F.pmod(F.xxhash64("id"), many).cast("int")
+    placed = dealt.select("root", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), many - 1)).alias("other"), many.alias("blocks"))
     placed = placed.select("root", "id", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("part"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     # one row of each text that is needed, found by id and copy, so that the copies of a text don't meet in a task; texts
     # go by one shuffle at every size: whether the needed ones fit a broadcast isn't left to chance
@@ -294,10 +363,13 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class: the least doc_id's."""
     _, classes = near_duplicate_classes(docs.select("doc_id", "text"), least)
-    chosen = classes.select(F.col("class_id").alias("__first"), F.col("_kept").alias("__id"))
-    held = docs.withColumn("__id", digest(F.col("text"))).join(chosen, "__id").where(F.col("doc_id").eqNullSafe(F.col("__first")))
-    tie = Window.partitionBy("__id").orderBy(F.lit(0))  # rows equal in doc_id and text alone are left here
-    return held.withColumn("__tie", F.row_number().over(tie)).where("__tie = 1").drop("__id", "__first", "__tie").select(*docs.columns)
+    text, void, key, tie = (fresh(n, docs) for n in ("_text", "_void", "_key", "_tie"))
+    named = lambda id: [F.col(id).isNull().alias(void), F.coalesce(id, F.lit(0)).cast("long").alias(key)]
+    chosen = classes.select(F.col("_kept").alias(text), *named("class_id"))
+    # by text and id, so that the copies of a text don't meet
+    held = docs.select("*", digest(F.col("text")).alias(text), *named("doc_id")).join(chosen, [text, void, key], "left_semi")
+    first = Window.partitionBy(text, void, key).orderBy(F.lit(0))  # rows equal in doc_id and text are alike
+    return held.withColumn(tie, F.row_number().over(first)).where(F.col(tie) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,8 @@ _BEGINS = np.zeros(256, bool)
 _BEGINS[0x21:0x7F] = _BEGINS[0xC3:0xE0] = True
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
-_MARK[[ord(c) for c in ".,;:!?"]] = True
+_MARK[0x21:0x7F] = ~_LETTER[0x21:0x7F]
+_MARK[ord("'")] = False
 _LINE, _SPACE = 10, 32
 
 
@@ -176,8 +177,8 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     Texts are cut where byte-level BPE always begins a new piece: at a single space between two characters that aren't white
-    space, between a letter and a mark such as a comma, and on either side of a single line break between others. So
-    the parts have the ids that they have in the whole. The library is asked once for each part, mostly a word, and what it
+    space, between a letter and an ASCII digit or mark other than the apostrophe, and on either side of a single line break between others. So
+    the parts have the ids that they have in the whole (a text with a special token's name stays whole). The library is asked once for each part, mostly a word, and what it
     says is remembered under the part's own bytes; long parts are asked for each time.
     """
 
@@ -187,6 +188,7 @@ class Encoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[bytes, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # a line break between a part's end and a space is a piece by itself, so parts without one can be asked for together
         line = self.tokenizer.encode("a\n b", add_special_tokens=False).ids
         self.line = line[1] if len(line) == 3 else None
@@ -225,6 +227,8 @@ class Encoder:
         begins[cut[np.where(this == _SPACE, solid & _BEGINS[data[cut + 1]], np.where(this == _LINE, solid, letter))]] = True
         after = cut[(this == _LINE) & solid] + 1
         begins[after[_BEGINS[data[after]]]] = True
+        for i in [i for i, r in enumerate(raw) if any(x.encode() in r for x in self.special)]:
+            begins[ends[i] - len(raw[i]) : ends[i]] = False
         begins[ends - [len(r) for r in raw]] = True
         begin = np.flatnonzero(begins[:-1])
         at = begin.tolist()

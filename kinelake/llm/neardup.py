@@ -1,7 +1,7 @@
 """Near-duplicate classes by Order MinHash, checked by banded alignment.
 
 A text is the sequence of its runs of SHINGLE_WORDS words, each labelled with its occurrence number in the text, so that
-no element repeats. A sketch takes the two elements that are least under a hash function and keeps them in text order;
+no element repeats. A sketch takes the SAMPLED elements that are least under a hash function and keeps them in text order;
 that sketches of two texts agree is likelier the closer the texts are in edit distance. Texts that agree on one of
 SKETCHES sketches are candidates. Two texts of n and m words are alike if c / (n + m - c) is SIMILARITY or more, where c
 words of both stand in the same order (a banded alignment, whose band is as wide as any such pair can need), and if they
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -37,9 +36,9 @@ from .common import discard, documents, fresh, partitions, small_batches, stored
 from .words import chunks, mix, shingles
 
 SHINGLE_WORDS, SIMILARITY, FLOOR = 5, 0.8, 0.4
-#: Replacing a tenth of a long text's words leaves 0.59 of its elements; two such texts agree on one of 24 sketches of 2
-#: elements with probability 0.99.
-SKETCHES = 24
+#: Replacing one in twelve of a long text's words leaves 0.65 of its elements; two such texts agree on one of 32 sketches of
+#: 3 elements with probability 0.98 (one in ten: 0.91).
+SKETCHES, SAMPLED = 32, 3
 #: Elements of a block: 8 bytes each, and two blocks meet in a task.
 BLOCK_ELEMENTS = 2_000_000
 #: Parts in which the rows of a component of many blocks are dealt.
@@ -62,28 +61,31 @@ class Elements:
     h: np.ndarray
     doc: np.ndarray
 
-    def sequences(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Each text's words and elements."""
+    def sequences(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Each text's words, its words labelled with their occurrence numbers, and its elements."""
         cut = lambda v, doc: np.split(v, np.cumsum(np.bincount(doc, minlength=self.n))[:-1])
-        return zip(cut(self.word, self.word_doc), cut(self.h, self.doc), strict=True)
+        return zip(cut(self.word, self.word_doc), cut(labelled(self.word, self.word_doc), self.word_doc), cut(self.h, self.doc), strict=True)
+
+
+def labelled(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """h mixed with its occurrence number in its text, so that no text has one twice."""
+    own = h ^ mix(doc.astype(np.uint64), 3)
+    order = np.argsort(own, kind="stable")
+    s = own[order]
+    again = np.zeros(len(s), np.int64)
+    if len(s):
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        start = np.flatnonzero(new)
+        again[order] = np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))
+    return np.where(again > 0, mix(h + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 9), h)
 
 
 def elements(texts: list[str | None], k: int = SHINGLE_WORDS) -> Iterator[Elements]:
     """Whole texts by chunks."""
     for c in chunks(texts):
-        n = c.hi - c.lo
-        h, doc = shingles(c.word, c.doc, n, k)
-        own = h ^ mix(doc.astype(np.uint64), 3)
-        order = np.argsort(own, kind="stable")
-        s = own[order]
-        again = np.zeros(len(s), np.int64)
-        if len(s):
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            start = np.flatnonzero(new)
-            again[order] = np.arange(len(s)) - np.repeat(start, np.diff(np.append(start, len(s))))
-        labelled = np.where(again > 0, mix(h + again.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 9), h)
-        yield Elements(c.lo, n, c.word, c.doc, labelled, doc)
+        h, doc = shingles(c.word, c.doc, c.hi - c.lo, k)
+        yield Elements(c.lo, c.hi - c.lo, c.word, c.doc, labelled(h, doc), doc)
 
 
 def sketches(h: np.ndarray, doc: np.ndarray, n: int, count: int) -> np.ndarray:
@@ -98,15 +100,17 @@ def sketches(h: np.ndarray, doc: np.ndarray, n: int, count: int) -> np.ndarray:
     for s in range(count):
         v = h * (mix(np.array([s], np.uint64), 77)[0] | np.uint64(1))
         at = []
-        for _ in range(2):
+        for _ in range(SAMPLED):
             least = np.minimum.reduceat(v, start)
             hit = np.flatnonzero(v == least[of])
             first = np.zeros(len(have), np.int64)
             first[of[hit]] = hit
             at.append(first)
             v[hit] = _MOST
-        a, b = np.minimum(*at), np.maximum(*at)
-        out[have, s] = mix(h[a] * np.uint64(31) + mix(h[b], 1), 2)
+        key = np.zeros(len(have), np.uint64)
+        for i in np.sort(np.stack(at), 0):
+            key = mix(key * np.uint64(31) + h[i], 2)
+        out[have, s] = key
     return out
 
 
@@ -177,14 +181,41 @@ def common_length(x: dict[int, int], n: int, y: np.ndarray, band: int) -> int:
     return n - row.bit_count()
 
 
+def needed(n: int | np.ndarray, m: int | np.ndarray, least: float) -> int | np.ndarray:
+    """How many words texts of n and m words have to have in the same order to be alike."""
+    return np.ceil(least * (n + m) / (1 + least) - 1e-9).astype(np.int64)
+
+
 def similar(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY, known: dict[int, int] | None = None) -> bool:
     """Of two texts' words; known: x's places."""
-    need = ceil(least * (len(x) + len(y)) / (1 + least) - 1e-9)
+    need = int(needed(len(x), len(y), least))
     if need > min(len(x), len(y)):
         return False
     return common_length(places(x) if known is None else known, len(x), y, max(len(x), len(y)) - need) >= need
 
 
+class _Bags:
+    """Texts as numbers of what they have, none twice."""
+
+    def __init__(self, seqs: list[np.ndarray], key: np.ndarray):
+        self.size = np.array([len(s) for s in seqs], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.names, self.flat = np.unique(np.concatenate(seqs) ^ np.repeat(key, self.size), return_inverse=True)
+        self.mark = np.zeros(len(self.names), bool)
+
+    def shared(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """How many numbers x has in common with each of ys."""
+        if not len(ys):
+            return np.zeros(0, np.int64)
+        own = self.flat[self.begin[x] : self.begin[x] + self.size[x]]
+        self.mark[own] = True
+        lens = self.size[ys]
+        where = np.repeat(self.begin[ys] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        got = np.add.reduceat(self.mark[self.flat[where]], np.cumsum(lens) - lens, dtype=np.int64)
+        self.mark[own] = False
+        return got
+
+
 class _Classes:
     """Union of numbered members, each of which knows its class at once."""
 
@@ -203,19 +234,20 @@ class _Classes:
             own[1].extend(own[0])
 
 
-def link(group: np.ndarray, side: np.ndarray, words: list[np.ndarray], seqs: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
+def link(group: np.ndarray, side: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links that connect all alike texts of each group; only texts of different sides are compared where a group has two.
 
-    words and seqs: each text's words and elements. At most one link for each merge of two classes. A text is first held
-    against the last one that has an element of its own; what that joins isn't listed, however many texts it has.
+    texts: what Elements.sequences gives. At most one link for each merge of two classes. A text is first held against the
+    last one that has an element of its own; what that joins isn't listed, however many texts it has. Texts that share too
+    few elements, or too few words in any order, aren't aligned.
     """
-    size, long = np.array([len(s) for s in seqs], np.int64), np.array([len(w) for w in words], np.int64)
-    n = len(seqs)
-    if not size.sum():
+    n = len(texts)
+    words, key = [w for w, _, _ in texts], mix(group.astype(np.uint64), 4)
+    if not sum(map(len, words)):
         return []
+    runs, bags = _Bags([e for *_, e in texts], key), _Bags([w for _, w, _ in texts], key)
+    size, long, begin, flat, names = runs.size, bags.size, runs.begin, runs.flat, runs.names
     of = np.repeat(np.arange(n), size)
-    names, flat = np.unique(np.concatenate(seqs) ^ mix(group.astype(np.uint64), 4)[of], return_inverse=True)
-    begin = np.cumsum(size) - size
     df = np.bincount(flat)
     order = np.lexsort((flat, df[flat], of))  # each text's elements, the rarest first
     need = np.ceil(FLOOR * size - 1e-9).astype(np.int64)
@@ -233,17 +265,16 @@ def link(group: np.ndarray, side: np.ndarray, words: list[np.ndarray], seqs: lis
         alone = np.bincount(group.astype(np.int64), 1 - side, group.max() + 1)
         two = ((both > 0) & (alone > 0))[group]
     kept, last, mixed = _Classes(n), np.full((2, len(names)), -1, np.int64), np.zeros(len(names), bool)
-    seen, mark, out = np.zeros(n, bool), np.zeros(len(names), bool), []
+    seen, out = np.zeros(n, bool), []
     for x in range(n):
         h = head[head_begin[x] : head_begin[x + 1]]
         if not len(h):
             continue
-        own = flat[begin[x] : begin[x] + size[x]]
         known: dict[int, int] | None = None
 
         def tried(y: int, x: int = x) -> bool:
             nonlocal known
-            if kept.of[x] == kept.of[y] or min(long[x], long[y]) < least * max(long[x], long[y]) - 1e-9:
+            if kept.of[x] == kept.of[y]:
                 return False
             known = known or places(words[x])
             if not similar(words[x], words[y], least, known):
@@ -252,20 +283,21 @@ def link(group: np.ndarray, side: np.ndarray, words: list[np.ndarray], seqs: lis
             kept.join(x, y)
             return True
 
-        def shared(ys: np.ndarray, own: np.ndarray = own) -> np.ndarray:
-            mark[own] = True
-            lens = size[ys]
-            where = np.repeat(begin[ys] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-            got = np.add.reduceat(mark[flat[where]], np.cumsum(lens) - lens, dtype=np.int64)
-            mark[own] = False
-            return got
+        def likely(ys: np.ndarray, x: int = x) -> list[int]:
+            """Those of ys that share enough to be alike, the likeliest first."""
+            common = needed(long[x], long[ys], least)
+            ys = ys[common <= np.minimum(long[x], long[ys])]
+            ys = ys[runs.shared(x, ys) >= np.maximum(need[x], need[ys])]
+            both = bags.shared(x, ys)
+            enough = both >= needed(long[x], long[ys], least)
+            return ys[enough][np.argsort(-both[enough], kind="stable")].tolist()
 
         before = last[1 - side[x] if two[x] else side[x], h]
         near, hits = np.unique(before[before >= 0], return_counts=True)
         if len(near):  # one of each class, that with most elements in common
             near = near[np.argsort(-hits, kind="stable")]
             near = near[np.sort(np.unique(kept.of[near], return_index=True)[1])]
-            for y in near[shared(near) >= np.maximum(need[x], need[near])].tolist():
+            for y in likely(near):
                 tried(y)
         listed = h[(before >= 0) & (mixed[h] | (kept.of[np.maximum(before, 0)] != kept.of[x]))]
         for k in listed.tolist():
@@ -276,14 +308,10 @@ def link(group: np.ndarray, side: np.ndarray, words: list[np.ndarray], seqs: lis
             seen[apart] = True
         near = np.flatnonzero(seen[:x]) if len(listed) else near[:0]
         seen[near] = False
-        near = near[np.minimum(long[near], long[x]) >= least * np.maximum(long[near], long[x]) - 1e-9]
         if two[x]:
             near = near[side[near] != side[x]]
-        if len(near):
-            both = shared(near)
-            enough = both >= np.maximum(need[x], need[near])
-            for y in near[enough][np.argsort(-both[enough], kind="stable")].tolist():
-                tried(y)
+        for y in likely(near):
+            tried(y)
         s = side[x]
         mixed[h] |= (last[s, h] >= 0) & (kept.of[np.maximum(last[s, h], 0)] != kept.of[x])
         last[s, h] = x
@@ -300,20 +328,20 @@ def _verified(members: DataFrame, least: float) -> DataFrame:
         def links() -> pd.DataFrame:
             keys = {k: i for i, k in enumerate(dict.fromkeys(h[0] for h in held))}
             group = np.array([keys[h[0]] for h in held])
-            pairs = link(group, np.array([h[1] for h in held]), [h[3] for h in held], [h[4] for h in held], least)
+            pairs = link(group, np.array([h[1] for h in held]), [h[3] for h in held], least)
             return pd.DataFrame({"a": [held[x][2] for x, _ in pairs], "b": [held[y][2] for _, y in pairs]})
 
         for pdf in frames:
             roots, parts = pdf["root"].tolist(), pdf["part"].tolist()
             sides, ids = pdf["side"].tolist(), pdf["id"].tolist()
             for e in elements(pdf["text"].tolist()):
-                for i, (words, seq) in enumerate(e.sequences(), e.lo):
+                for i, text in enumerate(e.sequences(), e.lo):
                     key = (bytes(roots[i]), parts[i])
                     if weight > BLOCK_ELEMENTS and key != held[-1][0]:
                         yield links()
                         held, weight = [], 0
-                    held.append((key, sides[i], bytes(ids[i]), words, seq))
-                    weight += len(seq)
+                    held.append((key, sides[i], bytes(ids[i]), text))
+                    weight += len(text[0])
         if held:
             yield links()
 

@@ -144,7 +144,7 @@ def test_recall_by_edit_rate(n, rate):
     for x, y in pairs:
         e = next(N.elements([" ".join(x), " ".join(y)]))
         sk = N.sketches(e.h, e.doc, 2, N.SKETCHES)
-        (a, p), (b, q) = e.sequences()
+        (a, _, p), (b, _, q) = e.sequences()
         share = len(np.intersect1d(p, q)) / max(len(p), len(q))
         found += bool((sk[0] == sk[1]).any() and share >= N.FLOOR and N.similar(a, b))
     assert found >= 90
@@ -154,12 +154,33 @@ def test_many_near_copies_are_linked_in_near_linear_time():
     rnd = random.Random(4)
     base = [f"w{i}" for i in range(44)]
     texts = [" ".join(edited(rnd, base, 0.02)) for _ in range(16_000)]
-    words, seqs = [], []
-    for e in N.elements(texts):
-        for w, s in e.sequences():
-            words.append(w)
-            seqs.append(s)
+    seqs = [s for e in N.elements(texts) for s in e.sequences()]
     began = time.time()
     none = np.zeros(len(seqs), np.int64)
-    links = N.link(none, none, words, seqs)
+    links = N.link(none, none, seqs)
     assert len(links) > 15_500 and time.time() - began < 60
+
+
+def test_far_copies_of_one_text_are_counted_before_they_are_aligned(monkeypatch):
+    rnd, tried = random.Random(4), []
+    base = [f"w{i}" for i in range(60)]
+    seqs = [s for e in N.elements([" ".join(edited(rnd, base, 0.12)) for _ in range(1500)]) for s in e.sequences()]
+    plain = N.similar
+    monkeypatch.setattr(N, "similar", lambda *a: tried.append(1) or plain(*a))
+    none = np.zeros(len(seqs), np.int64)
+    links = N.link(none, none, seqs)
+    root = list(range(len(seqs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        assert find(i) != find(j)
+        root[find(i)] = find(j)
+    assert len(tried) < 3 * len(seqs)
+    for i, j in ((rnd.randrange(1500), rnd.randrange(1500)) for _ in range(3000)):
+        (x, _, e), (y, _, f) = seqs[i], seqs[j]
+        if find(i) != find(j):
+            assert not (plain(x, y) and len(np.intersect1d(e, f)) >= N.FLOOR * max(len(e), len(f)))

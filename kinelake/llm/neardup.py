@@ -132,15 +132,19 @@ def _sketched(texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, root): the least id of each vertex's component. edges: (a, b), in any order; only vertices with edges appear.
 
-    Alternating large and small stars until nothing changes; each round is written to the shared folder.
+    Alternating large and small stars until only stars are left; each round is written to the shared folder.
     """
 
     def smallest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
-    spark, earlier = edges.sparkSession, None
+    def stars(pairs: DataFrame) -> bool:
+        """Whether each u has one v, and no v is a u: then each v is the least id of its component."""
+        ends = pairs.select("u", F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(pairs.select(F.col("v").alias("u"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+        return ends.groupBy("u").agg(F.sum("as_u").alias("n"), F.max("as_v").alias("v")).where("n > 1 OR (n = 1 AND v = 1)").isEmpty()
+
+    spark, earlier, before = edges.sparkSession, None, None
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
@@ -150,9 +154,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if earlier:
             discard(spark, earlier)
         earlier = path
-        # the same number of edges and the same two sums of 64-bit hashes: the same edges
-        now = edges.agg(F.count("*"), *[F.sum(F.xxhash64("u", "v", F.lit(i)).cast("decimal(20,0)")) for i in (0, 1)]).first()
-        if now == before:
+        now = edges.count()
+        if before in (None, now) and stars(edges):
             break
         before = now
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
@@ -235,9 +238,10 @@ class _Classes:
 
 
 def link(group: np.ndarray, side: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that connect all alike texts of each group; only texts of different sides are compared where a group has two.
+    """Links of each text to the first of its class, where alike texts of a group are in one class; only texts of different
+    sides are compared where a group has two.
 
-    texts: what Elements.sequences gives. At most one link for each merge of two classes. A text is first held against the
+    texts: what Elements.sequences gives. A text is first held against the
     last one that has an element of its own; what that joins isn't listed, however many texts it has. Texts that share too
     few elements, or too few words in any order, aren't aligned.
     """
@@ -265,7 +269,7 @@ def link(group: np.ndarray, side: np.ndarray, texts: list[tuple[np.ndarray, np.n
         alone = np.bincount(group.astype(np.int64), 1 - side, group.max() + 1)
         two = ((both > 0) & (alone > 0))[group]
     kept, last, mixed = _Classes(n), np.full((2, len(names)), -1, np.int64), np.zeros(len(names), bool)
-    seen, out = np.zeros(n, bool), []
+    seen = np.zeros(n, bool)
     for x in range(n):
         h = head[head_begin[x] : head_begin[x + 1]]
         if not len(h):
@@ -279,7 +283,6 @@ def link(group: np.ndarray, side: np.ndarray, texts: list[tuple[np.ndarray, np.n
             known = known or places(words[x])
             if not similar(words[x], words[y], least, known):
                 return False
-            out.append((x, y))
             kept.join(x, y)
             return True
 
@@ -315,7 +318,8 @@ def link(group: np.ndarray, side: np.ndarray, texts: list[tuple[np.ndarray, np.n
         s = side[x]
         mixed[h] |= (last[s, h] >= 0) & (kept.of[np.maximum(last[s, h], 0)] != kept.of[x])
         last[s, h] = x
-    return out
+    _, first, back = np.unique(kept.of, return_index=True, return_inverse=True)
+    return [(x, y) for x, y in enumerate(first[back].tolist()) if x != y]
 
 
 def _verified(members: DataFrame, least: float) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_crc, small_batches, stored
+from .common import documents, fresh, id_crc, small_batches, stored
 from .words import Chunk, chunks, mix
 
 TOP, SUFFIXES, STATES = 2048, 1024, 6
@@ -376,13 +376,14 @@ def _expected(classes: DataFrame, model: Model) -> tuple[Counts, float]:
 def score_texts(docs: DataFrame, lm: LanguageModel) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) in place of text.
 
-    Columns of those names are replaced, and columns whose names begin with an underscore are left out.
+    Columns of those names are replaced; the others stay.
     """
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast((lm.model, lm.frequent, lm.top, lm.log_class, lm.log_all))
     made = {"text", "n_tokens", "n_known", "train_tokens", "base_score", "score"}
-    kept = [f for f in docs.schema.fields if f.name not in made and not f.name.startswith("_")]
+    kept = [f for f in docs.schema.fields if f.name not in made]
+    known_at, base_at, logs_at, words_at, suffix_at, times_at, row_at = (fresh(f"_{k}", docs) for k in ("known", "base", "logs", "h", "s", "n", "row"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     ends = lm.vocabulary.where(F.col("h") == END).select("c").first()
     n_ends = ends.c if ends else 0
@@ -414,28 +415,29 @@ def score_texts(docs: DataFrame, lm: LanguageModel) -> DataFrame:
                 columns = [rows.column(f.name) for f in kept]
                 n_known = np.bincount(c.doc[known], minlength=n) + (n_ends > 0)
                 columns += [pa.array(x) for x in (lengths.astype(np.int64), n_known.astype(np.int64), base, logs)] + lists
-                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["n_tokens", "_known", "_base", "_logs", "_h", "_s", "_n"])
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["n_tokens", known_at, base_at, logs_at, words_at, suffix_at, times_at])
 
-    own = docs.mapInArrow(scored, (fields + ", " if fields else "") + "n_tokens long, _known long, _base double, _logs double, _h array<long>, _s array<int>, _n array<int>")
-    first = stored(own.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    rare = first.select("_row", F.explode(F.arrays_zip("_h", "_s", "_n")).alias("w")).select("_row", F.col("w._h").alias("h"), F.col("w._s").alias("s"), F.col("w._n").alias("n"))
+    own = docs.mapInArrow(scored, (fields + ", " if fields else "") + f"n_tokens long, {known_at} long, {base_at} double, {logs_at} double, {words_at} array<long>, {suffix_at} array<int>, {times_at} array<int>")
+    first = stored(own.withColumn(row_at, F.monotonically_increasing_id()), "scored")
+    rare = first.select(F.col(row_at).alias("row"), F.explode(F.arrays_zip(F.col(words_at).alias("h"), F.col(suffix_at).alias("s"), F.col(times_at).alias("n"))).alias("w")).select("row", "w.*")
     c = F.coalesce("c", F.lit(0))
     log_class = F.array(*[F.lit(float(x)) for x in lm.log_class])
     looked = rare.join(lm.vocabulary.select("h", "c"), "h", "left").select(
-        "_row",
+        "row",
         F.when(c > 0, F.col("n")).otherwise(0).alias("k"),
         (F.col("n") * (F.log10(c + SMOOTH) - lm.log_all)).alias("b"),
         (F.col("n") * (F.log(c + SMOOTH) - F.get(log_class, F.col("s"))) / float(np.log(10))).alias("m"),
     )
-    sums = looked.groupBy("_row").agg(F.sum("k").alias("_k"), F.sum("b").alias("_b"), F.sum("m").alias("_m"))
-    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return first.drop("_h", "_s", "_n").join(sums, "_row", "left").select(
+    sums = looked.groupBy("row").agg(F.struct(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("m").alias("m")).alias("sums"))
+    more = fresh("_more", first)
+    zero = lambda name: F.coalesce(F.col(more)[name], F.lit(0))
+    return first.drop(words_at, suffix_at, times_at).join(sums.select(F.col("row").alias(row_at), F.col("sums").alias(more)), row_at, "left").select(
         *[F.col(f"`{f.name}`") for f in kept],
         "n_tokens",
-        (F.col("_known") + zero("_k")).cast("long").alias("n_known"),
+        (F.col(known_at) + zero("k")).cast("long").alias("n_known"),
         F.lit(lm.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("_base") + zero("_b")).alias("base_score"),
-        (F.col("_logs") + zero("_m")).alias("score"),
+        (F.col(base_at) + zero("b")).alias("base_score"),
+        (F.col(logs_at) + zero("m")).alias("score"),
     )
 
 

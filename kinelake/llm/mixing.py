@@ -265,7 +265,7 @@ def _shares(targets: Mapping[str, float]) -> np.ndarray:
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, whole: DataFrame | None = None, lowered: Collection[str] = ()) -> DataFrame:
-    """docs with __p, __n, __rate and __copies: the rate's whole part, and one more with the rest's probability, by a hash.
+    """docs with __p, __n, __rate and __copies (which replace columns of those names): the rate's whole part, and one more with the rest's probability, by a hash.
 
     The classifier is fitted on the labelled rows of whole (doc_id, text, n_chars; docs if None), so that it knows domains
     of which docs has little left; the domains in lowered are not raised to their targets, only brought down.
@@ -280,8 +280,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = T
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, whole: DataFrame | None = None, lowered: Collection[str] = ()) -> DataFrame:
     """docs in the target weights: each row as many times as its rate says, or not at all."""
-    rows = mixed(docs, labelled, targets, whole, lowered).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "n_chars")
+    rows = mixed(own, labelled, targets, docs if whole is None else whole, lowered).where("__copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("row.*")
 
 
 def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

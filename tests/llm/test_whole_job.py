@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,29 +13,47 @@ from kinelake.llm import hmm, mixing, toxicity
 from .test_mix_pack import plain_rates
 
 
-def test_op10_trains_its_toxic_dictionary_on_toxic_windows():
+def kinds_of_text():
     rng = np.random.default_rng(0)
-    kinds = [[b" ".join(rng.choice(words, 60)) for _ in range(90)] for words in ([b"toxic%dword" % i for i in range(40)], [b"plain%dtext" % i for i in range(40)])]
-    pair = toxicity.fit(*kinds)
-    held = lambda word: pair.savings(toxicity.windows([b"%s%dword" % (word, i) for i in range(8)]))
-    assert pair.toxic == toxicity.trained([d for i, d in enumerate(kinds[0]) if i % 3]) != pair.ordinary
-    assert held(b"toxic")[:, 0].min() > 8
-
-
-def test_op10_marking_words_have_no_fixed_number():
-    # 200 words, each in three toxic texts and in no ordinary one
-    toxic = [b" ".join(b"%dmark" % (i % 200) for i in range(k * 4, k * 4 + 4)) for k in range(150)]
-    assert len(toxicity.marking_words(toxic, [b"plain text"] * 150)) >= 200
-
-
-def test_op10_fits_on_all_parts_of_long_texts_and_all_documents(monkeypatch):
-    words = toxicity.fitted_words(" ".join(f"{i}x" + "y" * 500 for i in range(1000))).split()
-    assert len(words) == 1000 and words[-1].startswith(b"999x") and sum(map(len, words)) <= toxicity.FIT_BYTES
-    seen = []
-    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or toxicity.zstandard.ZstdCompressionDict(b"x" * 100))
-    toxicity.trained([b" ".join(b"d%dw%d" % (d, i) for i in range(2000)) for d in range(200)])
-    assert len(seen) <= toxicity.FIT_WINDOWS
-    assert toxicity.windows([b"d199w%d" % i for i in range(2000)])[0][:8] in {w[:8] for w in seen[-125:]} or seen[-1] in toxicity.windows([b"d199w%d" % i for i in range(2000)])
+    vocabulary = ([f"toxic{i}word" for i in range(40)], [f"plain{i}text" for i in range(40)])
+    return [[" ".join(rng.choice(words, 60)) for _ in range(90)] for words in vocabulary]
+
+
+def test_op10_dictionaries_are_trained_on_their_own_class_alone():
+    toxic, ordinary = (toxicity.sampled(texts) for texts in kinds_of_text())
+    pairs = toxicity.fit(toxic, ordinary)
+    assert [p for p in pairs.contents] == [(toxicity.trained(toxic, a), toxicity.trained(ordinary, b)) for a, b in toxicity.SIZES]
+    p = pairs.score([*kinds_of_text()[0][:20], *kinds_of_text()[1][:20]])
+    assert (p[:20] > 0.5).all() and (p[20:] < 0.5).all()
+
+
+def test_op10_scores_equal_a_plain_loop_over_windows():
+    toxic, ordinary = (toxicity.sampled(texts) for texts in kinds_of_text())
+    pairs = toxicity.fit(toxic, ordinary)
+    texts = ["", None, "One, two;  three", kinds_of_text()[0][0], "x" * 5000, kinds_of_text()[1][3] + " " + kinds_of_text()[0][1]]
+    rows = []
+    for t in texts:
+        w = toxicity.windows([t])
+        pieces, row = w.pieces(), []
+        assert len(pieces) == -(-len(re.findall(r"\w+", (t or "").lower())) // toxicity.WINDOW_WORDS) == w.count[0]
+        for bad, good in pairs.contents:
+            a, b = toxicity.Compressor(good).own, toxicity.Compressor(bad + good).own
+            s = np.array([len(a.compress(p)) - len(b.compress(p)) for p in pieces] or [0])
+            best = np.minimum(np.sort(s)[-3:], 12)
+            row += [np.clip(s, -4, 8).mean(), best.mean()]
+            for step in toxicity.STEPS:
+                row += [(s >= step).mean(), np.log1p((s >= step).sum())]
+            row += [(s <= -4).mean(), (s <= -8).mean()]
+        rows.append([*row, np.log(max(len(pieces), 1))])
+    assert np.allclose(pairs.score(texts), pairs.probability(np.array(rows)))
+
+
+def test_op10_fits_on_all_parts_of_long_texts():
+    (s,) = toxicity.sampled([" ".join(f"{i}x" for i in range(100_000))])
+    (short,) = toxicity.sampled(["a b c d e"])
+    assert s.count == 25_000 and 0.5 * toxicity.FIT_WINDOWS < len(s.pieces) <= toxicity.FIT_WINDOWS
+    last = toxicity.windows([" ".join(f"{i}x" for i in range(98_000, 100_000))]).pieces()
+    assert s.pieces[-1] in last and short.count == len(short.pieces) == 2
 
 
 def test_op8_trains_on_every_text_in_every_round(spark):

@@ -40,21 +40,20 @@ def pad_truncate_tokens(spark, sf_dir):
     return rows.select("conv_id", "turn", F.posexplode(F.arrays_zip("p.tokens", "p.mask")).alias("pos", "v")).select("conv_id", "turn", "pos", F.col("v.tokens").alias("token"), F.col("v.mask").alias("mask"))
 
 
-@query(f"""WITH {_TOKENS}, n AS (SELECT conv_id, turn, least(len(t), 12) AS n FROM t), q AS (SELECT range AS i FROM range(12))
-SELECT conv_id, turn, a.i::INTEGER AS i, b.i::INTEGER AS j FROM n, q a, q b WHERE a.i < n AND b.i < n AND greatest(b.i - 3, 0) <= greatest(a.i - 3, 0)""")
+@query(f"""WITH {_TOKENS}, n AS (SELECT conv_id, turn, len(t) AS n FROM t)
+SELECT conv_id, turn, i::INTEGER AS i, least(n, greatest(i, 3) + 1)::INTEGER AS seen FROM n, LATERAL (SELECT unnest(range(n)) AS i)""")
 def attention_mask(spark, sf_dir):
-    """A prefix of four tokens that see each other, and later ones that see what is before them: pairs that are seen."""
-    tokens = F.slice(F.split(text.strip(F.col("text")), "[ \n]+"), 1, 12)
-    breaks = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: (i > 3).cast("int"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", arrays.attention_mask(arrays.valid_mask(tokens, 12), breaks).alias("m"))
-    rows = rows.select("conv_id", "turn", F.posexplode("m").alias("i", "r")).select("conv_id", "turn", "i", F.posexplode("r").alias("j", "seen"))
-    return rows.where("seen").drop("seen")
+    """A prefix of four tokens that see each other, and later ones that see what is before them: how many each token sees."""
+    tokens = F.split(text.strip(F.col("text")), "[ \n]+")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(tokens, lambda _: F.lit(True)).alias("valid"), F.transform(tokens, lambda _, i: (i > 3).cast("int")).alias("breaks"))
+    rows = rows.select("conv_id", "turn", F.posexplode(arrays.attention_mask(F.col("valid"), F.col("breaks"))).alias("i", "r"))
+    return rows.select("conv_id", "turn", "i", F.size(F.filter("r", lambda x: x)).alias("seen"))
 
 
-@query(f"WITH {_TOKENS}, l AS (SELECT conv_id, turn, [len(x) FOR x IN t[1:6]] AS a, len(t[1:6]) AS n FROM t) SELECT conv_id, turn, array_to_string(list_concat(a[4:6], a[1:3]), ',') AS aligned, array_to_string([CASE WHEN i = 1 THEN -1 ELSE a[i] END FOR i IN range(1, n + 1)], ',') AS put FROM l")
+@query(f"WITH {_TOKENS}, l AS (SELECT conv_id, turn, [len(x) FOR x IN t] AS a, len(t) AS n FROM t) SELECT conv_id, turn, array_to_string(list_concat(a[4:], a[1:3]), ',') AS aligned, array_to_string([CASE WHEN i = 1 THEN -1 ELSE a[i] END FOR i IN range(1, n + 1)], ',') AS put FROM l")
 def aligned_tokens(spark, sf_dir):
     """The first three lengths moved to the right, and a value put at the first place."""
-    a = F.transform(F.slice(F.split(text.strip(F.col("text")), "[ \n]+"), 1, 6), lambda t: F.length(t))
+    a = F.transform(F.split(text.strip(F.col("text")), "[ \n]+"), lambda t: F.length(t))
     joined = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", joined(arrays.align_right(a, F.least(F.lit(3), F.size(a)))).alias("aligned"), joined(arrays.put_at(a, F.lit(0), F.lit(-1))).alias("put"))
 

@@ -336,9 +336,9 @@ def episode_reward(spark, sf_dir):
     return steps(spark, sf_dir).where("step < 40").groupBy("user_id").agg(F.count("*").alias("n_steps"), F.max("value").alias("reward"))
 
 
-@query(f"WITH {STEPS} SELECT user_id, step, 'u' || user_id || '--' || event_type || '--' || step AS step_id FROM s WHERE step % 3 = 0")
+@query(f"WITH {STEPS} SELECT user_id, step, 'u' || user_id || '--' || event_type || '--' || step AS step_id FROM s")
 def step_ids(spark, sf_dir):
     from ..functions.text import step_id
 
     own = step_id(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.col("event_type"), F.col("step"))
-    return steps(spark, sf_dir).where("step % 3 = 0").select("user_id", "step", own.alias("step_id"))
+    return steps(spark, sf_dir).select("user_id", "step", own.alias("step_id"))

@@ -105,3 +105,41 @@ def test_mixing_stage_meets_its_targets_without_poor_rows(spark):
     count = F.sum(F.when(F.col("doc_id").isin(list(poor)), 1).otherwise(0)) / F.count("*")
     mixed = corpus_pipeline.mix(spark, own, sf_dir)
     assert own.agg(count).first()[0] > 0.04 and mixed.agg(count).first()[0] < 0.02
+
+
+def test_op4_ids_are_the_library_s_for_texts_made_to_collide_or_to_split_badly():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from kinelake.llm import tokenids, words
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library, rnd = tokenids.Encoder(path), Tokenizer.from_file(path), random.Random(1)
+    one = "a"
+    for _ in range(11):
+        one += one.translate({97: 98, 98: 97})
+    two = one.translate({97: 98, 98: 97})  # the pair that polynomial hashes modulo 2**64 can't tell apart
+    data = np.frombuffer((one + " " + two).encode(), np.uint8)
+    assert len(set(words.span_hashes(data, np.array([0, len(one) + 1]), np.array([len(one), len(data)])).tolist())) == 2
+    texts = [one, two, "", "a <|endoftext|> b c", "x" * 100_000, *("".join(rnd.choice("ab s'é1<$#\n\t .,中|") for _ in range(rnd.randint(1, 30))) for _ in range(5000))]
+    for t, ids in zip(texts, own.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t[:40]
+
+
+def test_rows_of_one_doc_id_are_cut_up_in_order(spark):
+    from kinelake.llm.common import ordered_parts
+
+    rows = [(None, f"n{i}") for i in range(60)] + [(5, f"h{i}") for i in range(200)] + [(i, "t") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for ascending in (True, False):
+        part, n, cut_up = ordered_parts(df, 8, ascending)
+        got = sorted((r.part, r.doc_id is not None, r.doc_id or 0, r.crc) for r in df.select(part.alias("part"), "doc_id", F.crc32(F.col("text").cast("binary")).alias("crc")).collect())
+        key = (lambda r: (r[1], r[2], r[3])) if ascending else (lambda r: (not r[1], -r[2], r[3]))
+        bounds = {}
+        for r in got:
+            bounds.setdefault(r[0], []).append(key(r))
+        ordered = [bounds[p] for p in sorted(bounds)]
+        assert cut_up and max(got)[0] < n and all(max(a) <= min(b) for a, b in zip(ordered, ordered[1:]))
+        assert len({r[0] for r in got if r[2] == 5}) > 4

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +30,18 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*[_quoted(p).alias(p) for p in leaves(df.schema)])
 
 
-def _nest(columns: Mapping[str, Column]) -> list[Column]:
+def _nest(columns: Iterable[tuple[str, Column]]) -> list[Column]:
+    """Columns that hold the paths' structs; fails for a path that comes twice, or is a leaf and a node."""
     tree: dict = {}
-    for path, c in columns.items():
+    for path, c in columns:
         *inner, last = path.split(SEPARATOR)
         node = tree
         for part in inner:
             node = node.setdefault(part, {})
             if not isinstance(node, dict):
                 raise ValueError(f"Key '{path}' lies under a leaf")
+        if isinstance(node.get(last), dict):
+            raise ValueError(f"Key '{path}' has others under it; none may lie under a leaf")
         if last in node:
             raise ValueError(f"Key '{path}' already exists in output")
         node[last] = c
@@ -51,7 +54,7 @@ def _nest(columns: Mapping[str, Column]) -> list[Column]:
 
 def unflatten(df: DataFrame) -> DataFrame:
     """The inverse of flatten: paths in column names become structs."""
-    return df.select(*_nest({c: F.col(f"`{c}`") for c in df.columns}))
+    return df.select(*_nest((c, F.col(f"`{c}`")) for c in df.columns))
 
 
 def repack(df: DataFrame, structure: Mapping) -> DataFrame:
@@ -71,23 +74,14 @@ def repack(df: DataFrame, structure: Mapping) -> DataFrame:
 
 def rename(df: DataFrame, patterns: Mapping[str, str | None]) -> DataFrame:
     """Leaves whose whole path matches a pattern get the path it maps to, or go where that is None; the first match holds."""
-    out: dict[str, Column] = {}
-    for path in leaves(df.schema):
-        new: str | None = path
-        for pattern, to in patterns.items():
-            if m := re.fullmatch(pattern, path):
-                new = None if to is None else m.expand(to)
-                break
-        if new is None:
-            continue
-        if new in out:
-            raise ValueError(f"Key '{new}' already exists in output")
-        out[new] = _quoted(path)
-    ordered = sorted(out)
-    for a, b in zip(ordered, ordered[1:]):
-        if b.startswith(a + SEPARATOR):
-            raise ValueError(f"Leaf '{a}' aliases a node of '{b}'")
-    return df.select(*_nest(out))
+
+    def target(path: str) -> str | None:
+        hits = ((re.fullmatch(pattern, path), to) for pattern, to in patterns.items())
+        hit, to = next(((h, to) for h, to in hits if h), (None, path))
+        return hit.expand(to) if hit and to is not None else to
+
+    moved = [(target(path), _quoted(path)) for path in leaves(df.schema)]
+    return df.select(*_nest([(path, c) for path, c in moved if path is not None]))
 
 
 def apply_leaves(df: DataFrame, functions: Mapping[str, Callable[[Column], Column]], strict: bool = False) -> DataFrame:
@@ -95,7 +89,7 @@ def apply_leaves(df: DataFrame, functions: Mapping[str, Callable[[Column], Colum
     known = leaves(df.schema)
     if strict and (gone := set(functions) - set(known)):
         raise ValueError(f"not found: {sorted(gone)}")
-    return df.select(*_nest({p: functions[p](_quoted(p)) if p in functions else _quoted(p) for p in known}))
+    return df.select(*_nest((p, functions[p](_quoted(p)) if p in functions else _quoted(p)) for p in known))
 
 
 def select_paths(df: DataFrame, pattern: str) -> list[str]:

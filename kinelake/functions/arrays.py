@@ -151,6 +151,11 @@ def mean_square(a: Column, b: Column) -> Column:
     return F.aggregate(d, F.lit(0.0), lambda s, v: s + v) / F.size(a)
 
 
+def mean_absolute(a: Column, b: Column) -> Column:
+    """Mean of the absolute differences of two vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v) / F.size(a)
+
+
 def gated_residual(x: Column, y: Column, gate: Column | None) -> Column:
     """x + y * gate; without a gate x + y, and without y x."""
     scaled = F.zip_with(y, gate, lambda v, g: v * F.coalesce(g, F.lit(1.0))) if gate is not None else y

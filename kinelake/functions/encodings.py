@@ -26,6 +26,28 @@ def undigitize(token: Column, bins: int = 256) -> Column:
     return token / bins * 2 - 1
 
 
+# Bins by dimension for a codebook of 2**k codes.
+CODEBOOK_BINS = {
+    8: (8, 6, 5),
+    10: (8, 5, 5, 5),
+    12: (7, 5, 5, 5, 5),
+    14: (8, 8, 8, 6, 5),
+    16: (8, 8, 8, 5, 5, 5),
+}
+
+
+def codebook_bins(kind: str, size: int) -> tuple[int, ...]:
+    """Bins by dimension. fsq: the table's; square: two dimensions of the same; signs: two bins in each of log2(size) dimensions."""
+    power = size.bit_length() - 1
+    if size < 2 or size != 1 << power:
+        raise ValueError(f"{size} is not a power of two")
+    if kind == "signs":
+        return (2,) * power
+    if kind not in ("fsq", "square") or power not in CODEBOOK_BINS:
+        raise ValueError(f"no {kind} codebook of {size}")
+    return CODEBOOK_BINS[power] if kind == "fsq" else (1 << power // 2,) * 2
+
+
 def codebook_index(z: Column, bins: Sequence[int]) -> Column:
     """A vector in [-1, 1] quantised to bins levels by dimension, as one mixed-radix number; ties go to the even level."""
     place, total = 1, F.lit(0)
@@ -69,6 +91,15 @@ def sincos(position: Column, dims: int, shortest: float, longest: float) -> Colu
     return F.array(*[F.sin(position * r) for r in rates], *[F.cos(position * r) for r in rates])
 
 
+def sincos_grid(x: Column, y: Column, dims: int, base: float = 10_000.0) -> Column:
+    """Sines and cosines of x, then of y, each at dims / 4 rates from 1 down to 1 / base."""
+    if dims % 4:
+        raise ValueError("dims must be a multiple of four")
+    n = dims // 4
+    rates = [base ** (-i / max(n - 1, 1)) for i in range(n)]
+    return F.array(*[wave(place * r) for place in (x, y) for wave in (F.sin, F.cos) for r in rates])
+
+
 def rotary(x: Column, position: Column, dims: int, base: float = 10_000.0) -> Column:
     """The two halves of x rotated by position / base**(2 i / dims)."""
     half = dims // 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +30,55 @@ def unrescale(x: Column, low: float, high: float) -> Column:
     return x * (high - low) + low
 
 
+@dataclass(frozen=True)
+class Gripper:
+    """A gripper's limits, shut and open: of a finger's position in metres, of its motor's angle in radians."""
+
+    position: tuple[float, float]
+    joint: tuple[float, float]
+
+    def position_share(self, x: Column) -> Column:
+        """A position as 0 (shut) to 1 (open)."""
+        return rescale(x, *self.position)
+
+    def position_of(self, share: Column) -> Column:
+        return unrescale(share, *self.position)
+
+    def joint_share(self, x: Column) -> Column:
+        return rescale(x, *self.joint)
+
+    def joint_of(self, share: Column) -> Column:
+        return unrescale(share, *self.joint)
+
+    def velocity_share(self, v: Column) -> Column:
+        """A speed of the finger in strokes a second."""
+        return v / (self.position[1] - self.position[0])
+
+    def joint_at(self, position: Column) -> Column:
+        return self.joint_of(self.position_share(position))
+
+    def position_at(self, joint: Column) -> Column:
+        return self.position_of(self.joint_share(joint))
+
+    @property
+    def joint_mid(self) -> float:
+        return sum(self.joint) / 2
+
+
+# Limits of the grippers of the two-arm robot's leading and following arms.
+LEADER = Gripper((0.01244, 0.02417), (-0.6842, 0.3083))
+FOLLOWER = Gripper((0.01844, 0.05800), (-0.6213, 1.4910))
+
+
+def followed_position(x: Column) -> Column:
+    """The following gripper's position for the leading one's."""
+    return FOLLOWER.position_of(LEADER.position_share(x))
+
+
+def followed_joint(x: Column) -> Column:
+    return FOLLOWER.joint_of(LEADER.joint_share(x))
+
+
 def gripper_to_angular(opening: Column) -> Column:
     """A gripper's opening, 0 to 1, as the angle, 0 to 1, of the motor that makes it."""
     p = unrescale(opening, *LINEAR_RANGE)

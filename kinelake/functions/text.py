@@ -65,6 +65,11 @@ def last_part(file_name: Column) -> Column:
     return F.substring_index(F.substring_index(file_name, ".", 1), "_", -1)
 
 
+def from_bytes(raw: Column) -> Column:
+    """UTF-8 bytes as text."""
+    return F.decode(raw, "UTF-8")
+
+
 def slug(text: Column) -> Column:
     return F.replace(text, F.lit(" "), F.lit("_"))
 

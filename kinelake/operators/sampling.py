@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from .numbering import with_row_index
 
 _PRIME, _MODULUS = 2_654_435_761, 1 << 32
@@ -42,12 +43,33 @@ def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(uniform(F.col(key), seed), key)
 
 
-def batches(df: DataFrame, key: str, size: int, drop_last: bool = False) -> DataFrame:
-    """df with index and batch (index // size); drop_last leaves out a batch that isn't full."""
+def chosen_code(logits: Column, temperature: float, draw: Column) -> Column:
+    """The place of the greatest logit where temperature is 0 or less; else a place drawn with softmax(logits / temperature).
+
+    draw: a number in [0, 1); the place is the first one up to which the probabilities add up to more.
+    """
+    if temperature <= 0:
+        return arrays.arg_max(logits)
+    shares = arrays.softmax(F.transform(logits, lambda v: v / temperature))
+    step = lambda s, p: F.struct((s["sum"] + p).alias("sum"), (s["at"] + (s["sum"] + p <= draw).cast("int")).alias("at"))
+    passed = F.aggregate(shares, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at")), step, lambda s: s["at"])
+    return F.least(passed, F.size(logits) - 1)
+
+
+def batches(df: DataFrame, key: str, size: int, drop_last: bool = False, most_rows: int | None = None) -> DataFrame:
+    """df with index and batch (index // size); drop_last leaves out a batch that isn't full; most_rows // size batches at most."""
     out = with_row_index(df, key).withColumn("batch", F.floor(F.col("index") / size).cast("long"))
     if drop_last:
         out = out.where(F.col("batch") < df.count() // size)
-    return out
+    return out if most_rows is None else out.where(F.col("batch") < most_rows // size)
+
+
+def loaded(df: DataFrame, key: str, size: int, times: int = 1) -> DataFrame:
+    """Full batches, times over (column epoch); fails where there are fewer rows than a batch takes."""
+    if (n := df.count()) < size:
+        raise ValueError(f"a batch of {size} is more than the {n} rows there are")
+    full = with_row_index(df, key).where(F.col("index") < n // size * size).withColumn("batch", F.floor(F.col("index") / size).cast("long"))
+    return repeated(full, times)
 
 
 def rank_shard(df: DataFrame, key: str, world: int, rank: int, drop_last: bool = True) -> DataFrame:

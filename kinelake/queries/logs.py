@@ -95,14 +95,13 @@ def block_masks(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT vec_id, label % 2 = 0 AS second, vec_id % 5 AS n FROM embeddings)
-SELECT vec_id, (4 + 4 * second::INTEGER + n + 4)::INTEGER AS n_valid, 3 + 5 + 1 + 4 - 3 + 4 - 4 + 2 AS length, 2 AS n_blocks FROM c""")
+SELECT vec_id, range::INTEGER AS place, CASE WHEN range < 4 OR range >= 12 THEN true WHEN range < 8 THEN second ELSE range - 8 < n END AS valid, (range IN (12, 13))::INTEGER AS ar FROM c, range(16)""")
 def prefix_masks(spark, sf_dir):
     """Two images of four patches, the second one at times missing, up to three prompt tokens of four, a state token, three actions."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.lit(True), F.col("label") % 2 == 0).alias("m"), (F.col("vec_id") % 5).cast("int").alias("n"))
     prompt = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: i < F.col("n"))
     masks = rows.select("vec_id", arrays.model_masks(F.col("m"), 4, prompt, 3, True).alias("v"))
-    true = F.size(F.filter("v.valid", lambda x: x))
-    return masks.select("vec_id", true.alias("n_valid"), (F.size("v.ar") - 4).alias("length"), F.size(F.filter("v.ar", lambda x: x == 1)).alias("n_blocks"))
+    return masks.select("vec_id", F.posexplode(F.arrays_zip("v.valid", "v.ar")).alias("place", "z")).select("vec_id", "place", "z.valid", "z.ar")
 
 
 @query("""WITH d AS (SELECT vec_id, label, unnest(embedding[1:4])::DOUBLE AS x, unnest(embedding[5:8])::DOUBLE AS y, unnest(embedding[9:12])::DOUBLE AS g FROM embeddings)

@@ -15,10 +15,44 @@ RANGES = "map<string, array<array<int>>>"
 STATS = "struct<mean:array<double>,std:array<double>,q01:array<double>,q99:array<double>>"
 
 
-def read_steps(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """An episode dataset; partition folders such as episode_index=3 become columns, and filters on them prune files."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(path)
+def read_steps(spark: SparkSession, path: str, schema: T.StructType | None = None, skip_corrupt: bool = False) -> DataFrame:
+    """An episode dataset; partition folders such as episode_index=3 become columns, and filters on them prune files.
+
+    skip_corrupt leaves out files that can't be read; else one of them ends the job.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", str(skip_corrupt).lower())
+    return (reader.schema(schema) if schema else reader).parquet(path)
+
+
+def read_dataset_info(spark: SparkSession, folder: str) -> tuple[float, dict[int, str]]:
+    """A dataset's frames a second and its tasks by index, from meta/info.json and meta/tasks.jsonl (a row for each task)."""
+    base = f"{folder.rstrip('/')}/meta"
+    fps = spark.read.schema("fps double").json(f"{base}/info.json", multiLine=True).first().fps
+    rows = spark.read.schema("task_index int, task string").json(f"{base}/tasks.jsonl").collect()
+    return fps, {r.task_index: r.task for r in rows}
+
+
+def window_steps(seconds: Iterable[float], fps: float, tolerance: float = 1e-4) -> list[int]:
+    """Offsets in time as offsets in frames; fails for one that lies on no frame."""
+    out = []
+    for s in seconds:
+        k = round(s * fps)
+        if abs(k / fps - s) > tolerance:
+            raise ValueError(f"{s} s is no multiple of a frame at {fps} a second")
+        out.append(k)
+    return out
+
+
+def probed(schema: T.StructType) -> tuple[list[str], bool, bool]:
+    """An episode file's cameras without depth ones, and whether it has velocity and effort."""
+    inner = lambda s, name: next((f.dataType for f in s.fields if f.name == name and isinstance(f.dataType, T.StructType)), T.StructType([]))
+    seen = inner(schema, "observations")
+    return [n for n in inner(seen, "images").names if "depth" not in n], "qvel" in seen.names, "effort" in seen.names
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """One JSON object a line, after what is there."""
+    df.write.mode("append").json(path)
 
 
 def write_steps(df: DataFrame, path: str, episode: str = "episode_index", step: str = "frame_index", episodes_per_file: int = 64) -> None:

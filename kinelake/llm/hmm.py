@@ -144,10 +144,9 @@ def walk(tokens: np.ndarray, lengths: np.ndarray, model: Model, counts: Counts |
     alive = np.searchsorted(-size, -np.arange(steps), side="left")  # segments longer than each step
     is_first = index[order] == 0
     many = parts[doc[order]] > 1
-    last = len(tokens) - 1
-    seen = np.empty((steps, len(order)), np.int32)
+    seen = np.zeros((steps, len(order)), np.int32)
     for t in range(steps):
-        seen[t] = tokens[np.minimum(begin + t, last)]
+        seen[t, : alive[t]] = tokens[begin[: alive[t]] + t]
 
     ahead = np.ones((len(order), STATES))  # of what follows each segment, given the state at its end
     entry = np.tile(model.start, (len(order), 1))  # the state of each segment's first token, given what came before
@@ -188,9 +187,11 @@ def walk(tokens: np.ndarray, lengths: np.ndarray, model: Model, counts: Counts |
                 b[:live] /= b[:live].max(1, keepdims=True)
                 ahead[place[base[docs[:live]] + j - 1]] = b[:live]
 
-    ones = np.ones(STATES)
+    # expected counts need no more than single precision, as every step is scaled; likelihoods that are returned alone do
+    kind = np.float64 if counts is None else np.float32
+    a, emit, entry, left, ahead, ones = (v.astype(kind, copy=False) for v in (a, emit, entry, left, ahead, np.ones(STATES)))
     scale = np.ones((steps, len(order)))
-    keep = np.zeros((steps, len(order), STATES)) if counts is not None else None
+    keep = np.empty((steps, len(order), STATES), kind) if counts is not None else None
     x = entry * emit[seen[0]]
     for t in range(steps):
         n = int(alive[t])
@@ -205,27 +206,26 @@ def walk(tokens: np.ndarray, lengths: np.ndarray, model: Model, counts: Counts |
     if counts is None:
         return logs
 
-    b = np.zeros((len(order), STATES))
+    b = np.zeros((len(order), STATES), kind)
+    inverse = (1 / scale).astype(kind)
     for t in range(steps - 1, -1, -1):
         n, ends = int(alive[t]), int(alive[t + 1]) if t + 1 < steps else 0
         if n > ends:  # segments whose last token this is
             z = ahead[ends:n]
             b[ends:n] = z / (keep[t, ends:n] * z).sum(1, keepdims=True)
-        w = emit.take(seen[t, :n], axis=0) * b[:n]
-        keep_t = keep[t, :n] * b[:n]
+        # what follows is scaled as what came before was, so that both together sum to one
+        w = emit.take(seen[t, :n], axis=0)
+        w *= b[:n]
+        w *= inverse[t, :n, None]
+        keep[t, :n] *= b[:n]
         if t:
-            before = keep[t - 1, :n]
-            w /= (((before @ a) * w) @ ones)[:, None]
-            counts.move += a * (before.T @ w)
+            counts.move += a * (keep[t - 1, :n].T @ w)
             b[:n] = w @ a.T
         else:
             inner = ~is_first
             if inner.any():
-                before, wi = left[inner], w[inner]
-                wi = wi / ((before @ a) * wi).sum(1, keepdims=True)
-                counts.move += a * (before.T @ wi)
-            counts.start += keep_t[is_first].sum(0)
-        keep[t, :n] = keep_t
+                counts.move += a * (left[inner].T @ w[inner])
+            counts.start += keep[0, is_first].sum(0)
     mask = np.arange(steps)[:, None] < size[None, :]
     which, share = seen[mask], keep[mask]
     for s in range(STATES):

@@ -116,7 +116,8 @@ def has_words(words: list[np.ndarray], told: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, words: list[np.ndarray], y: np.ndarray, domains: int, epochs: int = 25, rate: float = 0.05, decay: float = 2e-5, seed: int = 3) -> Classifier:
+def fit(x: np.ndarray, words: list[np.ndarray], y: np.ndarray, domains: int, steps: int = 400, rate: float = 0.05, decay: float = 2e-5, seed: int = 3) -> Classifier:
+    """At least so many steps of at most 512 rows, whatever the number of rows: few rows are gone through more often."""
     rng = np.random.default_rng(seed)
     n = len(y)
     stats, told = x[:, SLOTS:], telling_words(words, y, domains)
@@ -132,7 +133,7 @@ def fit(x: np.ndarray, words: list[np.ndarray], y: np.ndarray, domains: int, epo
     x, target = own.inputs(x), np.eye(domains, dtype=np.float32)[y]
     params = [own.weights, own.bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    step = 0
+    step, epochs = 0, -(-steps // -(-n // 512))
     for epoch in range(epochs):
         order, eta = rng.permutation(n), rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
         for lo in range(0, n, 512):

@@ -76,6 +76,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return stored_at(df, name)[0]
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder as it is dealt over partitions: the same rows, in order, stay in the same ones."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "checkpoints"))
+    return df.checkpoint()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a scratch folder through Spark's own file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .audit import OP12_SQL, op12_filter_audit
 from .fingerprint import op7_paragraph_multiset_hash
 from .hmm import op8_hidden_markov
+from .levels import op13_sum_of_squares
+from .manifest import OP11_SQL, op11_merkle_manifest
 from .media import op6_avi_clips
 from .mixing import op2_soft_mixing
 from .neardup import op3_order_minhash
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_hidden_markov": op8_hidden_markov,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op10_compression_toxicity": op10_compression_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_sum_of_squares": op13_sum_of_squares,
 }
-ORACLE_SQL: dict[str, str] = {"op9_rendezvous_shards": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_rendezvous_shards": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_filter_audit": OP12_SQL}

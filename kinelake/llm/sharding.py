@@ -85,11 +85,20 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COSTS = {n: ", ".join(f"-ln((('0x' || substr(md5(k || ':{i}'), 1, 12))::BIGINT + 0.5) / 281474976710656.0)" for i in range(n)) for n in (8, 9)}
 _CRC_STEP = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+#: Of CRC-32 in SQL: common table expressions (recursive) that make its table t, and its value of a text.
+CRC_CTES = f"""bits AS (SELECT range AS i, range AS c, 0 AS k FROM range(256) UNION ALL SELECT i, {_CRC_STEP}, k + 1 FROM bits WHERE k < 8),
+t AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    bytes_of = f"[('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode({text})), '..')]"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_of}), lambda a, b: xor(a // 256, t[(xor(a, b) % 256) + 1])), 4294967295)"
+
+
 OP9_SQL = f"""
-WITH RECURSIVE bits AS (SELECT range AS i, range AS c, 0 AS k FROM range(256) UNION ALL SELECT i, {_CRC_STEP}, k + 1 FROM bits WHERE k < 8),
-t AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
-d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, strlen(coalesce(text, '')) + 1 AS size, [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS bytes FROM documents),
-c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, b: xor(a // 256, t[(xor(a, b) % 256) + 1])), 4294967295) AS text_crc32, [{_COSTS[8]}] AS a, [{_COSTS[9]}] AS b FROM d, t),
+WITH RECURSIVE {CRC_CTES},
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, size, {crc_sql('text')} AS text_crc32, [{_COSTS[8]}] AS a, [{_COSTS[9]}] AS b FROM d, t),
 s AS (SELECT doc_id, size, text_crc32, (list_position(a, list_min(a)) - 1)::INTEGER AS shard, (list_position(b, list_min(b)) - 1)::INTEGER AS grown_shard FROM c)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1)::BIGINT AS slot, grown_shard FROM s
 """

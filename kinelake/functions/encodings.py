@@ -140,11 +140,6 @@ def adapter_scale(alpha: float, rank: int, stabilised: bool = False) -> float:
     return alpha / math.sqrt(rank) if stabilised else alpha / rank
 
 
-def flow_time(seed: int) -> Column:
-    """A random time Beta(1.5, 1), moved off 0."""
-    return F.pow(F.rand(seed), F.lit(1 / 1.5)) * 0.999 + 0.001
-
-
 def euler_steps(x: Column, velocity: Callable[[Column, Column], Column], steps: int = 10) -> Column:
     """x carried from time 1 to 0 by velocity(x, t) in equal steps."""
     dt = -1.0 / steps

@@ -1,6 +1,6 @@
 """Images as structs of height, width, channels and bytes (uint8, row by row): resizing, layout, colour, augmentation.
 
-Catalyst has no pixel functions, so these are Arrow-batched UDFs over numpy. Defined results: a null image stays null.
+Catalyst has no pixel functions, so these are Arrow-batched UDFs over numpy; a batch's images of one shape are one array. Defined results: a null image stays null.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IMAGE = "struct<height:int,width:int,channels:int,data:binary>"
+FLOAT_IMAGE = "struct<height:int,width:int,channels:int,data:array<float>>"
 
 
 def to_array(row) -> np.ndarray:
@@ -29,85 +30,162 @@ def _axis(size: int, out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.clip(lo, 0, size - 1), np.clip(lo + 1, 0, size - 1), at - lo
 
 
-def _triangle(size: int, out: int) -> np.ndarray:
-    """Weights [out, size] of a triangle filter that widens where the line shrinks."""
+def _cubic(x: np.ndarray) -> np.ndarray:
+    """Keys' cubic of a = -0.5."""
+    x = np.abs(x)
+    return np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0.0))
+
+
+def _lanczos(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+
+
+#: Kernels of resampling over the distance from a sample's centre.
+KERNELS = {
+    "box": lambda x: ((x >= -0.5) & (x < 0.5)).astype(float),
+    "linear": lambda x: np.maximum(0, 1 - np.abs(x)),
+    "cubic": _cubic,
+    "lanczos": _lanczos,
+}
+
+
+def kernel_weights(size: int, out: int, kernel: str = "linear") -> np.ndarray:
+    """Weights [out, size]: a kernel that widens where the line shrinks, cut at the ends, each row summing to 1."""
     scale = max(size / out, 1.0)
     centre = (np.arange(out) + 0.5) * size / out
-    w = np.maximum(0, 1 - np.abs((np.arange(size)[None, :] + 0.5 - centre[:, None]) / scale))
+    w = KERNELS[kernel]((np.arange(size)[None, :] + 0.5 - centre[:, None]) / scale)
     return w / w.sum(1, keepdims=True)
 
 
-def resize(a: np.ndarray, height: int, width: int, antialias: bool = True) -> np.ndarray:
-    """Bilinear, as floats."""
+def resize(a: np.ndarray, height: int, width: int, antialias: bool = True, kernel: str = "linear") -> np.ndarray:
+    """Images [..., h, w, c] resampled by a separable kernel, as floats; without antialias bilinear between neighbours."""
     x = a.astype(np.float64)
+    h, w = a.shape[-3:-1]
     if antialias:
-        return np.einsum("yh,hwc,xw->yxc", _triangle(a.shape[0], height), x, _triangle(a.shape[1], width), optimize=True)
-    y0, y1, fy = _axis(a.shape[0], height)
-    x0, x1, fx = _axis(a.shape[1], width)
-    rows = x[y0] * (1 - fy)[:, None, None] + x[y1] * fy[:, None, None]
-    return rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None]
+        return np.einsum("yh,...hwc,xw->...yxc", kernel_weights(h, height, kernel), x, kernel_weights(w, width, kernel), optimize=True)
+    y0, y1, fy = _axis(h, height)
+    x0, x1, fx = _axis(w, width)
+    rows = x[..., y0, :, :] * (1 - fy)[:, None, None] + x[..., y1, :, :] * fy[:, None, None]
+    return rows[..., :, x0, :] * (1 - fx)[None, :, None] + rows[..., :, x1, :] * fx[None, :, None]
 
 
-def resize_with_pad(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    """As large as fits without distortion, centred on black; the rest of an odd border is at the bottom and right."""
-    h, w = a.shape[:2]
+def resize_with_pad(a: np.ndarray, height: int, width: int, kernel: str = "linear") -> np.ndarray:
+    """As large as fits without distortion, centred; the rest of an odd border is at the bottom and right.
+
+    Images [..., h, w, c] of bytes, on 0, or of floats in [-1, 1], on -1 and kept within.
+    """
+    h, w = a.shape[-3:-1]
     if (h, w) == (height, width):
         return a
+    whole = a.dtype == np.uint8
     ratio = max(w / width, h / height)
     nh, nw = max(1, int(h / ratio)), max(1, int(w / ratio))
-    out = np.zeros((height, width, a.shape[2]), np.uint8)
+    out = np.full((*a.shape[:-3], height, width, a.shape[-1]), 0 if whole else -1, a.dtype)
     top, left = (height - nh) // 2, (width - nw) // 2
-    out[top : top + nh, left : left + nw] = np.clip(np.rint(resize(a, nh, nw)), 0, 255).astype(np.uint8)
+    made = resize(a, nh, nw, kernel=kernel)
+    out[..., top : top + nh, left : left + nw, :] = np.clip(np.rint(made), 0, 255) if whole else np.clip(made, -1, 1)
     return out
 
 
+def _stacks(frame: pd.DataFrame, dtype=np.uint8):
+    """(places, images [n, h, w, c]) of a batch's images of each shape; nulls are in none."""
+    there = frame["data"].notna().to_numpy()
+    shape = frame[["height", "width", "channels"]].to_numpy(dtype=float, na_value=0).astype(int)
+    for own in np.unique(shape[there], axis=0):
+        at = np.flatnonzero(there & (shape == own).all(1))
+        data = frame["data"].to_numpy()[at]
+        flat = np.frombuffer(b"".join(data), dtype) if dtype == np.uint8 else np.concatenate([np.asarray(d, dtype) for d in data])
+        yield at, flat.reshape(len(at), *own)
+
+
+def _from_stacks(n: int, made, floats: bool = False) -> pd.DataFrame:
+    """A batch of n images from (places, images); what no place names is null."""
+    out = np.full((n, 4), None, object)
+    for at, a in made:
+        a = np.ascontiguousarray(a, np.float32 if floats else np.uint8)
+        out[at, :3] = a.shape[1:]
+        for k, i in enumerate(at.tolist()):
+            out[i, 3] = a[k].ravel() if floats else a[k].tobytes()
+    frame = pd.DataFrame(out, columns=["height", "width", "channels", "data"])
+    return frame.astype({"height": "Int32", "width": "Int32", "channels": "Int32"})
+
+
 def _mapped(f):
+    """f over stacks of images [n, h, w, c] of equal shape, each of them one operation; a null image stays null."""
+
     @F.pandas_udf(IMAGE)
     def run(images: pd.DataFrame) -> pd.DataFrame:
-        rows = [to_row(f(to_array(r))) if r["data"] is not None else (None,) * 4 for r in images.to_dict("records")]
-        return pd.DataFrame(rows, columns=["height", "width", "channels", "data"]).astype({"height": "Int32", "width": "Int32", "channels": "Int32"})
+        return _from_stacks(len(images), ((at, f(a)) for at, a in _stacks(images)))
 
     return lambda c: F.when(c.isNotNull(), run(c))
 
 
-def resized(image: Column, height: int, width: int) -> Column:
-    return _mapped(lambda a: resize_with_pad(a, height, width))(image)
+def resized(image: Column, height: int, width: int, kernel: str = "linear") -> Column:
+    return _mapped(lambda a: resize_with_pad(a, height, width, kernel))(image)
+
+
+def resized_exactly(image: Column, height: int, width: int, kernel: str = "cubic") -> Column:
+    """To height and width whatever the proportions; rounded to whole samples after either direction."""
+
+    def run(a: np.ndarray) -> np.ndarray:
+        whole = lambda x: np.clip(np.floor(x + 0.5), 0, 255).astype(np.uint8)
+        return whole(resize(whole(resize(a, a.shape[1], width, kernel=kernel)), height, width, kernel=kernel))
+
+    return _mapped(run)(image)
+
+
+def resized_floats(image: Column, height: int, width: int, kernel: str = "linear") -> Column:
+    """A float image (FLOAT_IMAGE, samples in [-1, 1]) as large as fits, centred on -1."""
+
+    @F.pandas_udf(FLOAT_IMAGE)
+    def run(images: pd.DataFrame) -> pd.DataFrame:
+        return _from_stacks(len(images), ((at, resize_with_pad(a, height, width, kernel)) for at, a in _stacks(images, np.float32)), floats=True)
+
+    return F.when(image.isNotNull(), run(image))
 
 
 def flipped_channels(image: Column) -> Column:
     """Blue, green, red as red, green, blue, and back."""
-    return _mapped(lambda a: a[:, :, ::-1])(image)
+    return _mapped(lambda a: a[..., ::-1])(image)
 
 
 def without_alpha(image: Column) -> Column:
-    return _mapped(lambda a: a[:, :, :3])(image)
+    return _mapped(lambda a: a[..., :3])(image)
 
 
 def turned(image: Column) -> Column:
     """By half a turn."""
-    return _mapped(lambda a: a[::-1, ::-1])(image)
+    return _mapped(lambda a: a[:, ::-1, ::-1])(image)
 
 
 def channels_last(image: Column) -> Column:
     """An image whose height field is a channel count of 3 (channels first) in the usual layout."""
-    return _mapped(lambda a: a.transpose(1, 2, 0) if a.shape[0] == 3 else a)(image)
+    return _mapped(lambda a: a.transpose(0, 2, 3, 1) if a.shape[1] == 3 else a)(image)
+
+
+def channels_first(image: Column) -> Column:
+    """The layout that channels_last takes, its fields being channels, height and width."""
+    return _mapped(lambda a: a.transpose(0, 3, 1, 2))(image)
 
 
 def left_half(image: Column) -> Column:
-    return _mapped(lambda a: a[:, : a.shape[1] // 2])(image)
+    return _mapped(lambda a: a[:, :, : a.shape[2] // 2])(image)
 
 
 def right_half(image: Column) -> Column:
-    return _mapped(lambda a: a[:, a.shape[1] // 2 :])(image)
+    return _mapped(lambda a: a[:, :, a.shape[2] // 2 :])(image)
 
 
 def beside(a: Column, b: Column) -> Column:
-    """Two images of equal height next to each other."""
+    """Two images of equal height next to each other; null where one of them is."""
 
     @F.pandas_udf(IMAGE)
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        rows = [to_row(np.concatenate([to_array(p), to_array(q)], 1)) for p, q in zip(x.to_dict("records"), y.to_dict("records"), strict=True)]
-        return pd.DataFrame(rows, columns=["height", "width", "channels", "data"])
+        made = []
+        for at, left in _stacks(x):
+            for own, right in _stacks(y.iloc[at]):
+                made.append((at[own], np.concatenate([left[own], right], 2)))
+        return _from_stacks(len(x), made)
 
     return run(a, b)
 
@@ -117,7 +195,12 @@ def scaled(image: Column) -> Column:
 
     @F.pandas_udf("array<float>")
     def run(images: pd.DataFrame) -> pd.Series:
-        return pd.Series([np.frombuffer(d, np.uint8).astype(np.float32) / 255 * 2 - 1 if d is not None else None for d in images["data"]])
+        out = np.full(len(images), None, object)
+        for at, a in _stacks(images):
+            made = a.reshape(len(at), -1).astype(np.float32) / 255 * 2 - 1
+            for k, i in enumerate(at.tolist()):
+                out[i] = made[k]
+        return pd.Series(out)
 
     return run(image)
 
@@ -127,8 +210,9 @@ def to_uint8(samples: Column, height: int, width: int, channels: int = 3) -> Col
 
     @F.pandas_udf(IMAGE)
     def run(x: pd.Series) -> pd.DataFrame:
-        rows = [(height, width, channels, (255 * np.asarray(v, np.float64)).astype(np.uint8).tobytes()) for v in x]
-        return pd.DataFrame(rows, columns=["height", "width", "channels", "data"])
+        at = np.flatnonzero(x.notna())
+        made = [] if not len(at) else [(at, (255 * np.stack(x.to_numpy()[at]).astype(np.float64)).astype(np.uint8).reshape(len(at), height, width, channels))]
+        return _from_stacks(len(x), made)
 
     return run(samples)
 
@@ -182,13 +266,16 @@ def resized_map(views: Column, height: int, width: int) -> Column:
 
     @F.pandas_udf(f"array<{IMAGE}>")
     def run(values: pd.Series) -> pd.Series:
-        out = []
-        for row in values:
-            if row is None:
-                out.append(None)
-                continue
-            made = [to_row(resize_with_pad(to_array(r), height, width)) if r is not None and r["data"] else None for r in row]
-            out.append([dict(zip(("height", "width", "channels", "data"), m, strict=True)) if m else None for m in made])
+        # the views of all rows as one batch, and the rows again
+        counts = [-1 if v is None else len(v) for v in values]
+        fields = ["height", "width", "channels", "data"]
+        flat = pd.DataFrame([[None] * 4 if r is None else [r[f] for f in fields] for v in values if v is not None for r in v], columns=fields)
+        made = _from_stacks(len(flat), ((at, resize_with_pad(a, height, width)) for at, a in _stacks(flat))).astype(object)
+        rows = [None if r["data"] is None else r for r in made.where(made.notna(), None).to_dict("records")]
+        out, at = [], 0
+        for n in counts:
+            out.append(None if n < 0 else rows[at : at + n])
+            at += max(n, 0)
         return pd.Series(out, dtype=object)
 
     return F.map_from_arrays(F.map_keys(views), run(F.map_values(views)))

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 def range_of(key: Column, cuts: list) -> Column:
     """How many of the ascending cut points are at or below key (null: none), by halving: a few comparisons for each row."""
-    if not cuts:
-        return F.lit(0)
-    points, steps = F.array(*[F.lit(c) for c in cuts]), [1 << b for b in reversed(range(len(cuts).bit_length()))]
+    return place_among(key, F.array(*[F.lit(c) for c in cuts]), len(cuts)) if cuts else F.lit(0)
+
+
+def place_among(key: Column, points: Column, n: int) -> Column:
+    """range_of for an ascending array of n points."""
+    steps = [1 << b for b in reversed(range(n.bit_length()))]
     step = lambda place, s: place + F.when(F.get(points, place + s - 1) <= key, s).otherwise(0)
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 

@@ -55,7 +55,8 @@ def repeated_classes(facts: DataFrame, first: int = FIRST_BLOCK) -> DataFrame:
     left, blocks = facts.select(*_KEY), 1 + max(0, math.ceil(math.log(max(longest, 1) / first, GROWTH)))
     for k in range(min(blocks, BLOCKS) + 1):
         on = _KEY[: k + 1]
-        several = left.groupBy(*on).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+        # written first: a join of two tables as they are can be split where a length is hot, one under an aggregate cannot
+        several = stored(left.groupBy(*on).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "several")
         left = stored(_met(left, several, on, "left_semi"), "survivors")
     return left.groupBy(*_KEY).agg(F.count("*").alias("members"))
 

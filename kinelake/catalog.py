@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import codes, cut, draws, logs, tables, trajectory  # noqa: F401
+from .queries import codes, cut, draws, logs, records, tables, trajectory  # noqa: F401
 from .queries.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

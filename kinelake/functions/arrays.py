@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,16 +108,36 @@ def put_at(x: Column, index: Column, value: Column) -> Column:
 
 
 def prefix_sums(x: Column) -> Column:
-    """Running totals of an array of numbers."""
-    start = F.struct(F.array().cast("array<double>").alias("all"), F.lit(0.0).alias("sum"))
-    step = lambda s, v: F.struct(F.array_append(s["all"], s["sum"] + v).alias("all"), (s["sum"] + v).alias("sum"))
-    return F.aggregate(F.transform(x, lambda v: v.cast("double")), start, step, lambda s: s["all"])
+    """Running totals of an array of numbers, in time that grows with its length."""
+
+    @F.pandas_udf("array<double>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda v: np.cumsum(np.asarray(v, np.float64)), na_action="ignore")
+
+    return run(x)
+
+
+def visible_ends(breaks: Column) -> Column:
+    """For each place one past the last place of its block: it sees the valid places before that. breaks: over 0 where a block begins.
+
+    All that an attention mask says, in one number a place (see also operators.masks, for texts in rows).
+    """
+
+    def ends(v) -> np.ndarray:
+        starts = np.flatnonzero(np.asarray(v) > 0)
+        return np.append(starts, len(v))[np.searchsorted(starts, np.arange(len(v)), side="right")].astype(np.int32)
+
+    @F.pandas_udf("array<int>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(ends, na_action="ignore")
+
+    return run(breaks)
 
 
 def attention_mask(valid: Column, breaks: Column) -> Column:
-    """Which place may see which: both valid, and the seen one's block not after its own. breaks: 1 where a block begins."""
-    row = lambda s, i: F.transform(s["block"], lambda b, j: (b <= F.get(s["block"], i)) & F.get(s["valid"], i) & F.get(s["valid"], j))
-    return let(F.struct(prefix_sums(breaks).alias("block"), valid.alias("valid")), lambda s: F.transform(s["block"], lambda _, i: row(s, i)))
+    """Which place may see which, written out place by place: both valid, and the seen one's block not after its own."""
+    row = lambda s, i: F.transform(s["valid"], lambda v, j: (j < F.get(s["end"], i)) & F.get(s["valid"], i) & v)
+    return let(F.struct(visible_ends(breaks).alias("end"), valid.alias("valid")), lambda s: F.transform(s["end"], lambda _, i: row(s, i)))
 
 
 def softmax(x: Column) -> Column:

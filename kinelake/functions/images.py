@@ -217,6 +217,37 @@ def to_uint8(samples: Column, height: int, width: int, channels: int = 3) -> Col
     return run(samples)
 
 
+def parsed(image: Column, floats: bool = False) -> Column:
+    """A camera's picture as an image: channels first becomes last; floats in [0, 1] (FLOAT_IMAGE) become bytes, cut to whole numbers."""
+
+    @F.pandas_udf(IMAGE)
+    def run(images: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        for at, a in _stacks(images, np.float32 if floats else np.uint8):
+            a = (255 * a).astype(np.uint8) if floats else a
+            made.append((at, a.transpose(0, 2, 3, 1) if a.shape[1] == 3 and a.shape[3] != 3 else a))
+        return _from_stacks(len(images), made)
+
+    return F.when(image.isNotNull(), run(image))
+
+
+def black_like(image: Column) -> Column:
+    """An image of zeros of another one's size."""
+    size = image["height"] * image["width"] * image["channels"]
+    return F.struct(image["height"].alias("height"), image["width"].alias("width"), image["channels"].alias("channels"), F.unhex(F.repeat(F.lit("00"), size)).alias("data"))
+
+
+def floats_map(views: Column) -> Column:
+    """A map's images as FLOAT_IMAGEs in [-1, 1]."""
+
+    @F.pandas_udf(f"array<{FLOAT_IMAGE}>")
+    def run(values: pd.Series) -> pd.Series:
+        one = lambda r: None if r is None or r["data"] is None else {**r, "data": np.frombuffer(r["data"], np.uint8).astype(np.float32) / 255 * 2 - 1}
+        return pd.Series([None if v is None else [one(r) for r in v] for v in values], dtype=object)
+
+    return F.map_from_arrays(F.map_keys(views), run(F.map_values(views)))
+
+
 def augment(a: np.ndarray, rng: np.random.Generator, wrist: bool) -> np.ndarray:
     """A random crop of 95 %, resized back, and a turn of up to 5 degrees, but for wrist views; and brightness, contrast, saturation."""
     h, w = a.shape[:2]

@@ -58,8 +58,9 @@ def unflatten(df: DataFrame) -> DataFrame:
 
 
 def repack(df: DataFrame, structure: Mapping) -> DataFrame:
-    """A new record from paths of the old: structure's leaves name them; what it doesn't name is dropped."""
-    known = leaves(df.schema)
+    """A new record from paths of the old, to leaves or whole structs: structure's leaves name them; what it doesn't name is dropped."""
+    known = set(leaves(df.schema))
+    known |= {"/".join(p.split(SEPARATOR)[:k]) for p in known for k in range(1, p.count(SEPARATOR) + 1)}
 
     def build(node: Mapping) -> list[Column]:
         out = []

@@ -83,7 +83,7 @@ def time_offset_windows(spark, sf_dir):
     from ..operators import time_windows as W
 
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", (F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1e6).alias("t"))
-    found = W.at_offsets(e, "user_id", "t", "value", _OFFSETS, _TOLERANCE, most=BLOCK)
+    found = W.at_offsets(e, "user_id", "t", "value", _OFFSETS, _TOLERANCE, most=16 * BLOCK)
     return found.join(e.select("user_id", "t", "event_id"), ["user_id", "t"]).select("user_id", "event_id", "k", "is_pad", "value")
 
 

@@ -66,3 +66,23 @@ def sketched_statistics(spark, sf_dir):
     daily = sketch.states(e, ["key", "day"], k=16_384)
     s = sketch.statistics(sketch.merged(daily, ["key"], k=16_384), ["key"])
     return s.select("key", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "q01", "q99")
+
+
+_S = "s AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1)::INTEGER AS step FROM events)"
+_DRAW = lambda seed: _uniform_sql(f"'{seed}:step:' || user_id || ':' || step")
+
+
+@query(f"""WITH {_S}, c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_DRAW(0)}, step) AS k FROM s),
+j AS (SELECT user_id, step, event_type, event_id % 97 <> 5 AS shown, event_id FROM c WHERE k <= 30),
+u AS (SELECT *, bool_and(shown) OVER (PARTITION BY user_id ORDER BY step) AS so_far FROM j), m AS (SELECT * FROM u WHERE so_far AND event_type <> 'error'),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_DRAW(1)}, step) AS k FROM m)
+SELECT user_id, step, event_id * 10 AS frame FROM f WHERE k <= 20""")
+def sampled_trajectories(spark, sf_dir):
+    """20 of each episode's steps, of 30 that were drawn first; up to the first drawn one without a frame, without idle ones."""
+    from ..operators import trajectories
+    from .trajectory import steps
+
+    s = steps(spark, sf_dir).withColumn("moving", F.when(F.col("event_type") == "error", False).when(F.col("event_type") == "view", True))
+    frames = s.where("event_id % 97 <> 5").select("user_id", "step", (F.col("event_id") * 10).alias("frame"))
+    draw = lambda seed: noise.uniform_by_digest(seed, "step", F.col("user_id"), F.col("step"))
+    return trajectories.sampled_trajectories(s.select("user_id", "step", "moving"), frames, "user_id", "step", 20, 1.5, "moving", draw).select("user_id", "step", "frame")

@@ -15,10 +15,15 @@ from .registry import query, table
 from .trajectory import KEEP, STEPS, _ranges, steps
 
 
+#: Steps that are put into one row at most.
+_STRETCH = 4096
+
+
 @query(f'WITH {KEEP} SELECT user_id::VARCHAR AS episode, start, "end" FROM r')
 def ranges_through_json(spark, sf_dir):
     """Ranges as one JSON text for each episode, and back."""
-    rows = _ranges(steps(spark, sf_dir)).groupBy("user_id").agg(F.collect_list(F.array("start", "end")).alias("ranges"))
+    # an episode's ranges in texts of a stretch of steps each, so that none grows with its episode
+    rows = _ranges(steps(spark, sf_dir)).groupBy("user_id", F.floor(F.col("start") / _STRETCH)).agg(F.collect_list(F.array("start", "end")).alias("ranges"))
     text = rows.select(F.to_json(F.create_map(F.col("user_id").cast("string"), "ranges")).alias("value"))
     each = text.select(F.explode(F.from_json("value", files.RANGES)).alias("episode", "ranges")).select("episode", F.explode("ranges").alias("r"))
     return each.select("episode", F.get("r", F.lit(0)).alias("start"), F.get("r", F.lit(1)).alias("end"))
@@ -26,10 +31,11 @@ def ranges_through_json(spark, sf_dir):
 
 @query(f"WITH {STEPS} SELECT user_id, step, value, event_type AS kind FROM s")
 def episodes_to_frames(spark, sf_dir):
-    """Episodes with arrays of equal lengths, one row each, as frames again."""
-    rows = steps(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("step", "value", "event_type"))).alias("s"))
-    wide = files.equal_lengths(rows.select("user_id", F.col("s.value").alias("value"), F.col("s.event_type").alias("kind")), "value", "kind").drop("length")
-    return files.frames_of(wide, "value", "kind").select("user_id", "step", "value", "kind")
+    """Episodes with arrays of equal lengths, a row for each stretch of steps, as frames again."""
+    stretch = F.floor(F.col("step") / _STRETCH).cast("int").alias("stretch")
+    rows = steps(spark, sf_dir).groupBy("user_id", stretch).agg(F.sort_array(F.collect_list(F.struct("step", "value", "event_type"))).alias("s"))
+    wide = files.equal_lengths(rows.select("user_id", "stretch", F.col("s.value").alias("value"), F.col("s.event_type").alias("kind")), "value", "kind").drop("length")
+    return files.frames_of(wide, "value", "kind").select("user_id", (F.col("stretch") * _STRETCH + F.col("step")).alias("step"), "value", "kind")
 
 
 @query(f"""WITH {STEPS}, a AS (SELECT user_id, step, value, 0 AS source_index FROM s WHERE user_id % 2 = 0), b AS (SELECT user_id, step, value, 1 AS source_index FROM s WHERE user_id % 2 = 1),

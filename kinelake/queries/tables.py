@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, encodings, text
-from ..operators import reshape, sampling
+from ..operators import masks, reshape, sampling
 from ..operators import statistics as S
 from ..operators.numbering import with_row_index
 from ..streaming import episodes as live
@@ -45,9 +45,8 @@ SELECT conv_id, turn, i::INTEGER AS i, least(n, greatest(i, 3) + 1)::INTEGER AS
 def attention_mask(spark, sf_dir):
     """A prefix of four tokens that see each other, and later ones that see what is before them: how many each token sees."""
     tokens = F.split(text.strip(F.col("text")), "[ \n]+")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(tokens, lambda _: F.lit(True)).alias("valid"), F.transform(tokens, lambda _, i: (i > 3).cast("int")).alias("breaks"))
-    rows = rows.select("conv_id", "turn", F.posexplode(arrays.attention_mask(F.col("valid"), F.col("breaks"))).alias("i", "r"))
-    return rows.select("conv_id", "turn", "i", F.size(F.filter("r", lambda x: x)).alias("seen"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(tokens).alias("i", "token"))
+    return masks.visible(rows, ["conv_id", "turn"], "i", F.lit(True), (F.col("i") > 3).cast("int")).select("conv_id", "turn", "i", "seen")
 
 
 @query(f"WITH {_TOKENS}, l AS (SELECT conv_id, turn, [len(x) FOR x IN t] AS a, len(t) AS n FROM t) SELECT conv_id, turn, array_to_string(list_concat(a[4:], a[1:3]), ',') AS aligned, array_to_string([CASE WHEN i = 1 THEN -1 ELSE a[i] END FOR i IN range(1, n + 1)], ',') AS put FROM l")

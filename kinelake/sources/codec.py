@@ -23,20 +23,43 @@ def unpack_array(data: bytes, dtype: str, shape) -> np.ndarray:
 
 
 def decoded(wire: Column) -> Column:
-    """Numeric arrays from the wire, flat, as doubles."""
+    """Numeric arrays from the wire, flat, as doubles; a null stays null. Those of one type and size are read as one array."""
 
     @F.pandas_udf("array<double>")
     def run(w: pd.DataFrame) -> pd.Series:
-        return pd.Series([unpack_array(r["data"], r["dtype"], r["shape"]).astype(float).ravel() for r in w.to_dict("records")])
+        out = np.full(len(w), None, object)
+        there = np.flatnonzero(w["data"].notna())
+        size = w["data"].str.len().to_numpy()
+        kinds = w["dtype"].to_numpy()
+        for kind, n in dict.fromkeys(zip(kinds[there].tolist(), size[there].tolist())):
+            at = there[(kinds[there] == kind) & (size[there] == n)]
+            values = np.frombuffer(b"".join(w["data"].to_numpy()[at]), np.dtype(kind)).astype(float).reshape(len(at), -1)
+            for k, i in enumerate(at.tolist()):
+                if int(np.prod(w["shape"].iloc[i])) != values.shape[1]:
+                    raise ValueError("an array whose bytes don't fill its shape")
+                out[i] = values[k]
+        return pd.Series(out)
 
     return run(wire)
 
 
 def encoded(values: Column, dtype: str = "<f4") -> Column:
-    """Array columns for the wire."""
+    """Array columns for the wire; a null stays null. Rows of one length are converted as one array."""
+    kind = np.dtype(dtype)
+    if kind.kind in "VOc":
+        raise ValueError(f"unsupported element type {kind}")
 
     @F.pandas_udf(WIRE)
     def run(v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([pack_array(np.asarray(x, np.dtype(dtype))) for x in v], columns=["data", "dtype", "shape"])
+        data, shape = np.full(len(v), None, object), np.full(len(v), None, object)
+        there = np.flatnonzero(v.notna())
+        size = np.array([len(x) for x in v.to_numpy()[there]], np.int64)
+        for n in np.unique(size).tolist():
+            at = there[size == n]
+            raw = np.stack(v.to_numpy()[at]).astype(kind).tobytes() if n else b""
+            step = n * kind.itemsize
+            for k, i in enumerate(at.tolist()):
+                data[i], shape[i] = raw[k * step : (k + 1) * step], [n]
+        return pd.DataFrame({"data": data, "dtype": np.where(v.notna(), kind.str, None), "shape": shape})
 
-    return run(values)
+    return F.when(values.isNotNull(), run(values))

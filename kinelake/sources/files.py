@@ -97,14 +97,16 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, written under another name and then moved, on any store that Spark reaches."""
+    """One small file, written under another name and then moved over what is there, on any store that Spark reaches."""
     system, final = _file_system(spark, path)
     held = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.partial")
     out = system.create(held, True)
     out.write(bytearray(text.encode()))
     out.close()
-    system.delete(final, False)
-    system.rename(held, final)
+    over = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(over, 1)
+    options[0] = over.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration()).rename(held, final, options)
 
 
 def write_norm_stats(spark: SparkSession, folder: str, stats: DataFrame) -> None:

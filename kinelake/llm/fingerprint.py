@@ -99,8 +99,9 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, i
     part, n, cut_up = ordered_parts(docs, buckets or partitions(docs.sparkSession), ascending=False)
     # texts are read for the first rows alone where one doc_id fills ranges; elsewhere rows of one doc_id are few
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) if cut_up else F.lit(None).cast("long")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), (-F.col("doc_id")).alias("minus"), crc.alias("crc")))
-    heads = {r.part: (None if r.first.void else -r.first.minus, r.first.crc) for r in docs.select(part.alias("part"), "doc_id", "text").groupBy("part").agg(first.alias("first")).collect()}
+    # the greatest id has the least complement, which every id has
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.bitwise_not(F.col("doc_id").cast("long")).alias("turned"), crc.alias("crc")))
+    heads = {r.part: (None if r.first.void else ~r.first.turned, r.first.crc) for r in docs.select(part.alias("part"), "doc_id", "text").groupBy("part").agg(first.alias("first")).collect()}
     filled = sorted(heads)
     before = {p: filled[i - 1] for i, p in enumerate(filled)}
     table = lambda v, kind: F.array(*[F.lit(v.get(p)).cast(kind) for p in range(n)])

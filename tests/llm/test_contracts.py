@@ -251,3 +251,17 @@ def test_classifiers_on_held_out_rows(spark, name, column, m, k):
     rows = [r for r in QUERIES[name](spark, d).collect() if r.doc_id in label]
     assert all(r.held_out == (fold(r.doc_id, m) == k) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert np.mean([r.predicted == label[r.doc_id] for r in rows if r.held_out]) > 0.9
+
+
+def test_op7_takes_the_least_and_the_greatest_id(spark):
+    from kinelake.llm import fingerprint
+
+    rows = [(-(1 << 63), "least id here"), (0, "zero"), ((1 << 63) - 1, "greatest"), (None, "none at all")]
+    got = {r.doc_id: r for r in fingerprint.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = [(1 << 63) - 1, 0, -(1 << 63), None]
+    text = dict(rows)
+    for i, d in enumerate(order):
+        after = text[order[(i + 1) % 4]]
+        t = text[d]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()

@@ -90,9 +90,9 @@ def joined_until_missing(steps: DataFrame, frames: DataFrame, episode: str, step
     return there.withColumn("_so_far", so_far).where("_so_far").drop("_there", "_so_far")
 
 
-def sampled_steps(df: DataFrame, episode: str, step: str, n: int, seed: int = 0) -> DataFrame:
-    """n steps of each episode (or all), without replacement, by a hash of episode and step."""
-    w = Window.partitionBy(episode).orderBy(F.xxhash64(F.lit(seed), episode, step), step)
+def sampled_steps(df: DataFrame, episode: str, step: str, n: int, seed: int = 0, draw: Column | None = None) -> DataFrame:
+    """n steps of each episode (or all), without replacement: those of the least draw, by default a hash of episode and step."""
+    w = Window.partitionBy(episode).orderBy(F.xxhash64(F.lit(seed), episode, step) if draw is None else draw, step)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 

@@ -118,8 +118,20 @@ FIELD_ARM_REPACK = {
 
 
 def repacked(structure: Mapping) -> Group:
-    """What comes from a dataset under the names that a robot itself uses; not for requests at run time."""
-    return Group((lambda df: reshape.repack(df, structure),))
+    """What comes from a dataset under the names that a robot itself uses; not for requests at run time.
+
+    A table that has none of the dataset's columns is taken to be in the robot's terms already; one with some of them has to
+    have all.
+    """
+
+    def sources(node: Mapping) -> list[str]:
+        return [x for v in node.values() for x in ([v] if isinstance(v, str) else sources(v))]
+
+    def run(df: DataFrame) -> DataFrame:
+        foreign = {s.split("/")[0] for s in sources(structure)}
+        return reshape.repack(df, structure) if foreign & set(df.columns) else df
+
+    return Group((run,))
 
 
 def _picture(df: DataFrame, column: Column) -> Column:

@@ -99,3 +99,42 @@ def frame_offset_windows(spark, sf_dir):
     rows = W.at_frames(s, blocks, "value", _FRAMES)
     each = rows.select("user_id", "step", F.posexplode(F.arrays_zip("window", "window_is_pad")).alias("k", "z"))
     return each.select("user_id", "step", "k", F.col("z.window").alias("value"), F.col("z.window_is_pad").alias("is_pad"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share: under spark.checkpoint.dir, or in a local session a temporary one."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='kinelake-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {trajectory.STEPS} SELECT user_id, step, event_type AS kind, round(value, 4) AS value, user_id % 3 = 0 AS marked FROM s WHERE user_id >= 20 AND user_id < 90 AND step <> 5")
+def record_files(spark, sf_dir):
+    """Steps written as framed records and read by a named format, of which files of other episodes stay shut."""
+    from ..sources import registry
+
+    s = trajectory.steps(spark, sf_dir).select("user_id", "step", F.col("event_type").alias("kind"), (F.col("value") * 10_000).cast("long").alias("scaled"), F.array(F.col("value").cast("float")).alias("values"), (F.col("user_id") % 3 == 0).alias("marked"))
+    path = _folder(spark, "records")
+    registry.write_records(s, path, "user_id")
+    back = spark.read.format("episode_records").schema(s.schema).option("episode", "user_id").load(path)
+    rows = back.where("user_id >= 20 AND user_id < 90 AND step <> 5")
+    return rows.select("user_id", "step", "kind", F.round(F.get("values", F.lit(0)).cast("double"), 4).alias("value"), "marked")
+
+
+@query(f"WITH {trajectory.STEPS} SELECT user_id, step, event_id FROM s WHERE user_id % 4 <> 3 UNION ALL SELECT user_id, step, -event_id FROM s WHERE user_id % 4 = 1")
+def versioned_steps(spark, sf_dir):
+    """A table of versions: two micro-batches of one run, of which the first comes again, and one of another run."""
+    from ..sources.versions import Versions
+
+    s = trajectory.steps(spark, sf_dir).select("user_id", "step", "event_id")
+    v = Versions(spark, _folder(spark, "versions"))
+    part = lambda k, sign=1: {"steps": s.where(f"user_id % 4 = {k}").withColumn("event_id", F.col("event_id") * sign)}
+    for run, batch, made in (("a", 0, part(0)), ("a", 1, part(1)), ("a", 0, part(0)), ("b", 0, part(2)), ("b", 1, part(1, -1)), ("a", 1, part(3))):
+        v.append(made, run, batch)
+    return v.read("steps")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, encodings, images
 from ..operators import episodes as E
-from ..operators import reshape
+from ..operators import reshape, trajectories
 from ..sources import codec, convert, files
 from .registry import query, table
 from .trajectory import KEEP, STEPS, _ranges, steps
@@ -22,11 +22,7 @@ _STRETCH = 4096
 @query(f'WITH {KEEP} SELECT user_id::VARCHAR AS episode, start, "end" FROM r')
 def ranges_through_json(spark, sf_dir):
     """Ranges as one JSON text for each episode, and back."""
-    # an episode's ranges in texts of a stretch of steps each, so that none grows with its episode
-    rows = _ranges(steps(spark, sf_dir)).groupBy("user_id", F.floor(F.col("start") / _STRETCH)).agg(F.collect_list(F.array("start", "end")).alias("ranges"))
-    text = rows.select(F.to_json(F.create_map(F.col("user_id").cast("string"), "ranges")).alias("value"))
-    each = text.select(F.explode(F.from_json("value", files.RANGES)).alias("episode", "ranges")).select("episode", F.explode("ranges").alias("r"))
-    return each.select("episode", F.get("r", F.lit(0)).alias("start"), F.get("r", F.lit(1)).alias("end"))
+    return files.ranges_of(files.range_lines(_ranges(steps(spark, sf_dir)).withColumnRenamed("user_id", "episode")))
 
 
 @query(f"WITH {STEPS} SELECT user_id, step, value, event_type AS kind FROM s")
@@ -61,7 +57,7 @@ def metrics_table(spark, sf_dir):
     """Records in flat columns, then as a row for each metric."""
     s = steps(spark, sf_dir).withColumn("total", F.col("value") * 2)
     flat = files.recorded(s, ["value", "user_id"], ["total"])
-    return flat.unpivot([F.col("`inputs/user_id`").alias("user_id"), "step"], [F.col("`inputs/value`"), F.col("`outputs/total`")], "name", "value")
+    return files.metric_rows(flat, [F.col("`inputs/user_id`").alias("user_id"), "step"], "inputs/value", "outputs/total")
 
 
 @query("""SELECT page_id, CASE WHEN regexp_full_match(url, 'https?://m\\..*') THEN page_id % 50 <= 10 WHEN regexp_full_match(url, 'https://.*') THEN page_id % 50 <= 30 ELSE false END AS stale FROM pages""")
@@ -129,7 +125,8 @@ def log_spaced_positions(spark, sf_dir):
 @query("SELECT event_id, user_id, value FROM events WHERE event_type NOT LIKE '%view%'")
 def dropped_columns(spark, sf_dir):
     """Camera views whose name holds a word are left out, and so are columns of text."""
-    rows = table(spark, sf_dir, "events").where(~F.contains("event_type", F.lit("view"))).drop("ts")
+    views = trajectories.cameras(F.create_map("event_type", "event_id"), ["view"])
+    rows = table(spark, sf_dir, "events").withColumn("left", views).where(F.size("left") > 0).drop("ts", "left")
     return reshape.without_strings(rows)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays, encodings, text
-from ..operators import masks, reshape, sampling
+from ..operators import episodes, masks, reshape, sampling, trajectories
 from ..operators import statistics as S
 from ..operators.numbering import with_row_index
 from ..streaming import episodes as live
@@ -67,6 +67,16 @@ def action_tokens(spark, sf_dir):
     return rows.select("conv_id", "turn", "token", "back", F.size("m.ar").alias("n_ar"), F.size(F.filter("m.loss", lambda v: v)).alias("n_loss"))
 
 
+@query(f"""WITH {_TOKENS}, n AS (SELECT conv_id, turn, len(t) AS n, turn % 3 + 1 AS m FROM t)
+SELECT conv_id, turn, i::INTEGER AS place, (i >= n)::INTEGER AS ar, i >= n AS loss FROM n, LATERAL (SELECT unnest(range(n + m)) AS i)""")
+def sequence_masks(spark, sf_dir):
+    """Place by place: a prefix of a text's tokens, and a suffix of one to three."""
+    prefix = F.split(text.strip(F.col("text")), "[ \n]+")
+    own = text.sequence_masks(prefix, F.array_repeat(F.lit(0), (F.col("turn") % 3 + 1).cast("int")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", own.alias("m"))
+    return rows.select("conv_id", "turn", F.posexplode(F.arrays_zip("m.ar", "m.loss")).alias("place", "z")).select("conv_id", "turn", "place", "z.ar", "z.loss")
+
+
 @query("""WITH t AS (SELECT conv_id, turn, [len(x)::DOUBLE FOR x IN string_split(text, ' ')] AS v FROM conversations)
 SELECT conv_id, turn, round(coalesce(list_sum(list_filter(v, lambda x: x > 3)), 0) / greatest(len(list_filter(v, lambda x: x > 3)), 1), 6) AS loss FROM t""")
 def token_loss(spark, sf_dir):
@@ -78,7 +88,7 @@ def token_loss(spark, sf_dir):
 SELECT page_id, p[3] || '_x' AS slug, string_split(string_split(p[3], '.')[1], '_')[-1] AS part, CASE WHEN contains(url, 'page=') THEN string_split(string_split(url, 'page=')[-1], '&')[1] END AS after FROM s JOIN pages USING (page_id)""")
 def name_parts(spark, sf_dir):
     host = F.get(F.split(F.get(F.split("url", r"\?"), F.lit(0)), "/"), F.lit(2))
-    after = F.when(F.contains("url", F.lit("page=")), F.substring_index(F.substring_index("url", "page=", -1), "&", 1))
+    after = text.action_part(F.replace(F.replace("url", F.lit("page="), F.lit("Action: ")), F.lit("&"), F.lit("|")))
     return table(spark, sf_dir, "pages").select("page_id", text.slug(F.concat(host, F.lit(" x"))).alias("slug"), text.last_part(host).alias("part"), after.alias("after"))
 
 
@@ -99,7 +109,7 @@ def language_default_join(spark, sf_dir):
 
 @query("SELECT page_id FROM pages WHERE regexp_full_match(url, '.*example\\.org.*')")
 def success_episode_filter(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.col("url").rlike(r"^.*example\.org.*$")).select("page_id")
+    return trajectories.successful(table(spark, sf_dir, "pages"), "url", "example.org").select("page_id")
 
 
 def _uniform_sql(key: str, seed: int) -> str:
@@ -132,9 +142,8 @@ def hash_choice(spark, sf_dir):
 @query("""WITH s AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1)::INTEGER AS step FROM events),
 r AS (SELECT user_id, step, row_number() OVER (PARTITION BY user_id ORDER BY (event_id * 7919) % 10007, step) AS n FROM s) SELECT user_id, step FROM r WHERE n <= 5""")
 def sampled_steps(spark, sf_dir):
-    s = table(spark, sf_dir, "events").withColumn("step", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1).cast("int"))
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("event_id") * 7919 % 10007, "step"))
-    return s.withColumn("n", n).where("n <= 5").select("user_id", "step")
+    s = episodes.with_step_index(table(spark, sf_dir, "events"), "user_id", "ts")
+    return episodes.sampled_steps(s, "user_id", "step", 5, draw=F.col("event_id") * 7919 % 10007).select("user_id", "step")
 
 
 @query(f"SELECT doc_id, row_number() OVER (ORDER BY {_uniform_sql('doc_id', 5)}, doc_id) - 1 AS place FROM documents")

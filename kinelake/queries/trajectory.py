@@ -318,6 +318,13 @@ def interval_means(spark, sf_dir):
     return S.interval_means(s, "step", 100, "value", "norm").select("interval", "n", F.round("value", 6).alias("value"), F.round("norm", 6).alias("norm"))
 
 
+@query(f"""WITH {STEPS}, t AS (SELECT user_id, (step // 7)::BIGINT AS interval, CASE WHEN event_type = 'view' THEN NULL ELSE value END AS norm FROM s)
+SELECT interval, count(*) AS n, round(avg(norm), 6) AS norm FROM t GROUP BY interval""")
+def interval_averages(spark, sf_dir):
+    s = steps(spark, sf_dir).withColumn("norm", F.when(F.col("event_type") != "view", F.col("value")))
+    return S.interval_means(s, "step", 7, "norm").select("interval", "n", F.round("norm", 6).alias("norm"))
+
+
 @query(f"""WITH RECURSIVE {STEPS}, e AS (SELECT user_id, step, value AS average FROM s WHERE step = 0 UNION ALL
 SELECT s.user_id, s.step, 0.9 * e.average + (1 - 0.9) * s.value FROM e JOIN s ON s.user_id = e.user_id AND s.step = e.step + 1)
 SELECT user_id, round(arg_max(average, step), 4) AS average FROM e GROUP BY user_id""")

@@ -75,14 +75,28 @@ def read_ranges(spark: SparkSession, path: str) -> DataFrame:
     return each.select("episode", F.get("r", F.lit(0)).alias("start"), F.get("r", F.lit(1)).alias("end"))
 
 
+#: Steps whose ranges stand in one line at most, so that no line grows with its episode.
+LINE_STEPS = 1 << 20
+
+
+def range_lines(ranges: DataFrame) -> DataFrame:
+    """Ranges (episode, start, end) as JSON texts (value) of one episode each; a long one has several."""
+    rows = ranges.groupBy("episode", F.floor(F.col("start") / LINE_STEPS)).agg(F.sort_array(F.collect_list(F.array("start", "end"))).alias("ranges"))
+    return rows.select(F.to_json(F.create_map(F.col("episode").cast("string"), "ranges")).alias("value"))
+
+
 def write_ranges(ranges: DataFrame, path: str) -> None:
-    """Ranges (episode, start, end) as JSON lines of one episode each, which read_range_lines reads."""
-    rows = ranges.groupBy("episode").agg(F.sort_array(F.collect_list(F.array("start", "end"))).alias("ranges"))
-    rows.select(F.to_json(F.create_map(F.col("episode").cast("string"), "ranges")).alias("value")).write.mode("append").text(path)
+    """Ranges as JSON lines, which read_range_lines reads, after what is there."""
+    range_lines(ranges).write.mode("append").text(path)
 
 
 def read_range_lines(spark: SparkSession, path: str) -> DataFrame:
-    each = spark.read.text(path).select(F.explode(F.from_json("value", RANGES)).alias("episode", "ranges")).select("episode", F.explode("ranges").alias("r"))
+    return ranges_of(spark.read.text(path))
+
+
+def ranges_of(lines: DataFrame) -> DataFrame:
+    """The inverse of range_lines."""
+    each = lines.select(F.explode(F.from_json("value", RANGES)).alias("episode", "ranges")).select("episode", F.explode("ranges").alias("r"))
     return each.select("episode", F.get("r", F.lit(0)).alias("start"), F.get("r", F.lit(1)).alias("end"))
 
 
@@ -166,10 +180,15 @@ def by_axis(records: DataFrame, column: str) -> DataFrame:
     return records.select("step", F.posexplode(F.col(f"`{column}`")).alias("axis", "value"))
 
 
+def metric_rows(df: DataFrame, keys: Iterable[Column | str], *metrics: str) -> DataFrame:
+    """keys, name, value: a row for each metric of a row that isn't null."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("name"), F.col(f"`{m}`").cast("double").alias("value")) for m in metrics])).alias("_m")
+    return df.select(*keys, pairs).select("*", "_m.name", "_m.value").drop("_m").where("value IS NOT NULL")
+
+
 def append_metrics(df: DataFrame, path: str, run_id: str, step: str, *metrics: str) -> None:
     """(run_id, step, name, value) rows at the end of a metrics table."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("name"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")
-    df.select(F.lit(run_id).alias("run_id"), step, pairs).select("run_id", step, "m.*").where("value IS NOT NULL").write.mode("append").parquet(path)
+    metric_rows(df, [F.lit(run_id).alias("run_id"), step], *metrics).write.mode("append").parquet(path)
 
 
 def write_eval(df: DataFrame, path: str) -> None:

@@ -131,7 +131,9 @@ class RecordReader(FolderReader):
     def partitions(self) -> Sequence[Split]:
         return [Split(p, lo, min(lo + self.split, size), size) for p, size in self.files() for lo in range(0, size, self.split)]
 
-    def read(self, part: Split) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Split | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # Spark's stand-in where no file is left
+            return
         with self._stream(part.path) as stream:
             for bodies in records.read_records(stream, part.size, part.lo, part.hi, self.skip):
                 for lo in range(0, len(bodies), BATCH_ROWS):
@@ -153,7 +155,9 @@ class ParquetReader(FolderReader):
             out += [Split(path, lo, min(lo + step, groups), size) for lo in range(0, groups, step)]
         return out
 
-    def read(self, part: Split) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Split | None) -> Iterator[pa.RecordBatch]:
+        if part is None:
+            return
         import pyarrow.parquet as pq
 
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -182,7 +186,9 @@ class FakeReader(D.DataSourceReader):
         edges = [self.rows * i // self.parts for i in range(self.parts + 1)]
         return [Split("", lo, hi, self.rows) for lo, hi in zip(edges, edges[1:]) if hi > lo]
 
-    def read(self, part: Split) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Split | None) -> Iterator[pa.RecordBatch]:
+        if part is None:
+            return
         from pyspark.sql.pandas.types import to_arrow_schema
 
         want = to_arrow_schema(self.columns)

@@ -193,6 +193,7 @@ def test_episode_filters_leave_files_unopened(spark, folder):
     few = back.where("episode >= 20 AND episode < 40 AND done")
     assert few.rdd.getNumPartitions() <= 3 and few.count() == 10
     assert back.where("episode IN (1, 199)").rdd.getNumPartitions() == 2
+    assert back.where("episode > 5000").count() == 0  # no file is left
 
 
 def test_named_sources(spark, folder, tmp_path):

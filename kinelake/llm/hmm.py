@@ -151,19 +151,29 @@ def walk(tokens: np.ndarray, lengths: np.ndarray, model: Model, counts: Counts |
     ahead = np.ones((len(order), STATES))  # of what follows each segment, given the state at its end
     entry = np.tile(model.start, (len(order), 1))  # the state of each segment's first token, given what came before
     left = np.zeros((len(order), STATES))  # the state at the end of the segment before
+    kind = np.float64 if counts is None else np.float32
+    forth, emit_by_state = np.ascontiguousarray(a.T, kind), np.ascontiguousarray(model.emit, kind)
     if many.any():
-        own = np.flatnonzero(many)
-        m = np.repeat(np.eye(STATES)[:, None, :], len(own), 1)  # by the state before a segment, segment, the state at its end
-        running = np.searchsorted(own, alive)
-        for t in range(steps):
-            n = int(running[t])
-            now = (m[:, :n].reshape(-1, STATES) @ a).reshape(STATES, n, STATES)
-            now *= emit.take(seen[t, own[:n]], axis=0)
-            if t % 16 == 15:
-                now /= now.sum((0, 2))[:, None]
-            m[:, :n] = now
+        # a seam's state needs the segments between the first and it; what follows one needs the last as well
+        needed = many & ~is_first
+        if counts is None:
+            needed &= index[order] < parts[doc[order]] - 1
+        own = np.flatnonzero(needed)
+        m = np.zeros((STATES, STATES, len(own)), kind)  # by the state at a segment's end, the state before it, segment
+        m[np.arange(STATES), np.arange(STATES)] = 1
         transfer = np.zeros((len(order), STATES, STATES))
-        transfer[own] = m.transpose(1, 0, 2)
+        running = np.searchsorted(own, alive)
+        for t in range(steps + 1):
+            n = int(running[t]) if t < steps else 0
+            if n < m.shape[2]:
+                transfer[own[n : m.shape[2]]] = m[:, :, n:].transpose(2, 1, 0)
+                m = np.ascontiguousarray(m[:, :, :n])
+            if not n:
+                break
+            m = (forth @ m.reshape(STATES, -1)).reshape(STATES, STATES, n)
+            m *= emit_by_state.take(seen[t, own[:n]], axis=1)[:, None, :]
+            if t % 8 == 7:
+                m /= m.sum((0, 1))
         base = np.cumsum(parts) - parts
         docs = np.flatnonzero(parts > 1)
         docs = docs[np.argsort(-parts[docs], kind="stable")]
@@ -177,7 +187,7 @@ def walk(tokens: np.ndarray, lengths: np.ndarray, model: Model, counts: Counts |
             left[at] = v
             entry[at] = v @ a
             v = np.einsum("ns,nst->nt", v, transfer[at])
-            v /= v.sum(1, keepdims=True)
+            v /= np.maximum(v.sum(1, keepdims=True), np.finfo(float).tiny)
         if counts is not None:
             b = np.ones((len(docs), STATES))
             for j in range(int(parts[docs[0]]) - 1, 0, -1):
@@ -188,48 +198,49 @@ def walk(tokens: np.ndarray, lengths: np.ndarray, model: Model, counts: Counts |
                 ahead[place[base[docs[:live]] + j - 1]] = b[:live]
 
     # expected counts need no more than single precision, as every step is scaled; likelihoods that are returned alone do
-    kind = np.float64 if counts is None else np.float32
-    a, emit, entry, left, ahead, ones = (v.astype(kind, copy=False) for v in (a, emit, entry, left, ahead, np.ones(STATES)))
-    scale = np.ones((steps, len(order)))
-    keep = np.empty((steps, len(order), STATES), kind) if counts is not None else None
-    x = entry * emit[seen[0]]
+    # by state first, then by segment: each operation runs along the segments
+    a, emit, entry, left, ahead = (np.ascontiguousarray(v, kind) for v in (a, emit_by_state, entry.T, left.T, ahead.T))
+    scale = np.ones((steps, len(order)), kind)
+    keep = np.empty((steps, STATES, len(order)), kind) if counts is not None else None
+    x = entry * emit.take(seen[0], axis=1)
     for t in range(steps):
         n = int(alive[t])
         if t:
-            x = (x[:n] @ a) * emit.take(seen[t, :n], axis=0)
-        s = x @ ones
+            x = forth @ x[:, :n]
+            x *= emit.take(seen[t, :n], axis=1)
+        s = x.sum(0)
         scale[t, :n] = s
-        x /= s[:, None]
+        x /= s
         if keep is not None:
-            keep[t, :n] = x
-    logs = np.bincount(doc[order], weights=np.log(scale).sum(0), minlength=n_docs)
+            keep[t, :, :n] = x
+    logs = np.bincount(doc[order], weights=np.log(scale).sum(0, dtype=np.float64), minlength=n_docs)
     if counts is None:
         return logs
 
-    b = np.zeros((len(order), STATES), kind)
-    inverse = (1 / scale).astype(kind)
+    b = np.zeros((STATES, len(order)), kind)
+    inverse = 1 / scale
     for t in range(steps - 1, -1, -1):
         n, ends = int(alive[t]), int(alive[t + 1]) if t + 1 < steps else 0
         if n > ends:  # segments whose last token this is
-            z = ahead[ends:n]
-            b[ends:n] = z / (keep[t, ends:n] * z).sum(1, keepdims=True)
+            z = ahead[:, ends:n]
+            b[:, ends:n] = z / (keep[t, :, ends:n] * z).sum(0)
         # what follows is scaled as what came before was, so that both together sum to one
-        w = emit.take(seen[t, :n], axis=0)
-        w *= b[:n]
-        w *= inverse[t, :n, None]
-        keep[t, :n] *= b[:n]
+        w = emit.take(seen[t, :n], axis=1)
+        w *= b[:, :n]
+        w *= inverse[t, :n]
+        keep[t, :, :n] *= b[:, :n]
         if t:
-            counts.move += a * (keep[t - 1, :n].T @ w)
-            b[:n] = w @ a.T
+            counts.move += a * (keep[t - 1, :, :n] @ w.T)
+            b[:, :n] = a @ w
         else:
             inner = ~is_first
             if inner.any():
-                counts.move += a * (left[inner].T @ w[inner])
-            counts.start += keep[0, is_first].sum(0)
+                counts.move += a * (left[:, inner] @ w[:, inner].T)
+            counts.start += keep[0][:, is_first].sum(1)
     mask = np.arange(steps)[:, None] < size[None, :]
-    which, share = seen[mask], keep[mask]
+    which = seen[mask]
     for s in range(STATES):
-        counts.emit[s] += np.bincount(which, weights=share[:, s], minlength=CLASSES)
+        counts.emit[s] += np.bincount(which, weights=keep[:, s][mask], minlength=CLASSES)
     return logs
 
 

@@ -152,14 +152,15 @@ def walk(tokens: np.ndarray, lengths: np.ndarray, model: Model, counts: Counts |
     entry = np.tile(model.start, (len(order), 1))  # the state of each segment's first token, given what came before
     left = np.zeros((len(order), STATES))  # the state at the end of the segment before
     kind = np.float64 if counts is None else np.float32
-    forth, emit_by_state = np.ascontiguousarray(a.T, kind), np.ascontiguousarray(model.emit, kind)
     if many.any():
+        # in double precision whatever is wanted: between two scalings products fall far below what single precision has
+        forth, emit_by_state = np.ascontiguousarray(a.T), np.ascontiguousarray(model.emit)
         # a seam's state needs the segments between the first and it; what follows one needs the last as well
         needed = many & ~is_first
         if counts is None:
             needed &= index[order] < parts[doc[order]] - 1
         own = np.flatnonzero(needed)
-        m = np.zeros((STATES, STATES, len(own)), kind)  # by the state at a segment's end, the state before it, segment
+        m = np.zeros((STATES, STATES, len(own)))  # by the state at a segment's end, the state before it, segment
         m[np.arange(STATES), np.arange(STATES)] = 1
         transfer = np.zeros((len(order), STATES, STATES))
         running = np.searchsorted(own, alive)
@@ -172,7 +173,7 @@ def walk(tokens: np.ndarray, lengths: np.ndarray, model: Model, counts: Counts |
                 break
             m = (forth @ m.reshape(STATES, -1)).reshape(STATES, STATES, n)
             m *= emit_by_state.take(seen[t, own[:n]], axis=1)[:, None, :]
-            if t % 8 == 7:
+            if t % 16 == 15:
                 m /= m.sum((0, 1))
         base = np.cumsum(parts) - parts
         docs = np.flatnonzero(parts > 1)
@@ -199,7 +200,8 @@ def walk(tokens: np.ndarray, lengths: np.ndarray, model: Model, counts: Counts |
 
     # expected counts need no more than single precision, as every step is scaled; likelihoods that are returned alone do
     # by state first, then by segment: each operation runs along the segments
-    a, emit, entry, left, ahead = (np.ascontiguousarray(v, kind) for v in (a, emit_by_state, entry.T, left.T, ahead.T))
+    a, emit, entry, left, ahead = (np.ascontiguousarray(v, kind) for v in (a, model.emit, entry.T, left.T, ahead.T))
+    forth = np.ascontiguousarray(a.T)
     scale = np.ones((steps, len(order)), kind)
     keep = np.empty((steps, STATES, len(order)), kind) if counts is not None else None
     x = entry * emit.take(seen[0], axis=1)
@@ -347,6 +349,8 @@ def train_model(train: DataFrame, tolerance: float = TOLERANCE) -> LanguageModel
     classes = stored(train.select("text").mapInPandas(sequences, "classes binary"), "classes") if n else None
     while n:
         counts, logs = _expected(classes, model)
+        if not np.isfinite(logs):
+            raise ArithmeticError("the texts' likelihood is no number")
         model = maximised(counts, unigram)
         if not logs - before >= tolerance * n:
             break

@@ -265,3 +265,25 @@ def test_op7_takes_the_least_and_the_greatest_id(spark):
         t = text[d]
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
         assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
+def test_op8_recursion_of_rare_classes_stays_a_number():
+    """Emissions of 1e-9 and less over many segments: single precision has no such products."""
+    rng = np.random.default_rng(4)
+    emit = np.full((hmm.STATES, hmm.CLASSES), 1e-12)
+    emit[:, :7] = rng.dirichlet(np.ones(7), hmm.STATES)
+    emit[:, 100:200] = 10.0 ** rng.uniform(-12, -8, (hmm.STATES, 100))
+    model = hmm.Model(np.full(hmm.STATES, 1 / hmm.STATES), rng.dirichlet(np.ones(hmm.STATES), hmm.STATES), emit / emit.sum(1, keepdims=True))
+    lengths = np.array([3000, 1, 255, 256, 257, 900, 40])
+    tokens = np.where(rng.random(lengths.sum()) < 0.7, rng.integers(100, 200, lengths.sum()), rng.integers(0, 7, lengths.sum()))
+    counts = hmm.Counts.zero()
+    fitted, scored = hmm.walk(tokens, lengths, model, counts), hmm.walk(tokens, lengths, model)
+    assert np.isfinite(counts.flat()).all() and np.allclose(fitted, scored, rtol=1e-5)
+    assert np.isclose(counts.start.sum(), len(lengths), rtol=1e-4) and np.isclose(counts.emit.sum(), lengths.sum(), rtol=1e-4) and np.isclose(counts.move.sum(), lengths.sum() - len(lengths), rtol=1e-4)
+    # the likelihood by one plain pass
+    for text, want in zip(np.split(tokens, np.cumsum(lengths)[:-1]), scored, strict=True):
+        v, logs = model.start * model.emit[:, text[0]], 0.0
+        for c in text[1:]:
+            logs += math.log(v.sum())
+            v = (v / v.sum()) @ model.move * model.emit[:, c]
+        assert np.isclose(logs + math.log(v.sum()), want, rtol=1e-9)

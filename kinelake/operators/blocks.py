@@ -127,6 +127,8 @@ def running(df: DataFrame, blocks: Strided | Cuts, values: Mapping[str, tuple[st
     over = lambda kind, c, at: (F.last(c, ignorenulls=True) if kind == "last" else _KINDS[kind](c)).over(at)
     sums = cut.groupBy(e, _BLOCK).agg(*[total(kind, F.col(f"_v_{k}")).alias(f"_t_{k}") for k, (kind, _) in values.items()])
     carried = sums.select(F.col(e).alias("_e"), F.col(_BLOCK).alias("_b"), *[over(kind, F.col(f"_t_{k}"), earlier).alias(f"_c_{k}") for k, (kind, _) in values.items()])
+    # whole episodes and first blocks carry nothing, so what is joined are the later blocks of long episodes
+    carried = carried.where(reduce(lambda a, b: a | b, [F.col(f"_c_{k}").isNotNull() for k in values]))
     out = cut.select("*", *[over(kind, F.col(f"_v_{k}"), w).alias(f"_w_{k}") for k, (kind, _) in values.items()])
     out = out.join(carried, (F.col(e) == F.col("_e")) & (F.col(_BLOCK) == F.col("_b")), "left")
     both = {

@@ -18,17 +18,18 @@ def place_among(key: Column, points: Column, n: int) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 
 
-def with_row_index(df: DataFrame, key: str, name: str = "index", ranges: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+def with_row_index(df: DataFrame, key: str, name: str = "index", ranges: int | None = None, ties: tuple[str, ...] = (), total: str | None = None) -> DataFrame:
     """df with name: its rows' places from 0 in ascending order of key (a number), then of ties; nulls come first.
 
     Ranges of the key are numbered each for itself and start at the number of rows before them. The driver receives the
-    ranges' borders, and a row for each range is broadcast; neither grows with the input.
+    ranges' borders, and a row for each range is broadcast; neither grows with the input. total: a column for the number of rows.
     """
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 50 * n)).first()[0] or [])) if n > 1 else []
     placed = df.withColumn("_range", range_of(F.col(key), cuts))
     sums = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("_range", before.alias("_before"))  # as many rows as there are ranges
+    whole = [F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(total)] if total else []
+    starts = sums.select("_range", before.alias("_before"), *whole)  # as many rows as there are ranges
     own = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), *ties))
     return placed.withColumn("_row", own).join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_row") - 1).drop("_range", "_row", "_before")

@@ -58,10 +58,10 @@ def chosen_code(logits: Column, temperature: float, draw: Column) -> Column:
 
 def batches(df: DataFrame, key: str, size: int, drop_last: bool = False, most_rows: int | None = None) -> DataFrame:
     """df with index and batch (index // size); drop_last leaves out a batch that isn't full; most_rows // size batches at most."""
-    out = with_row_index(df, key).withColumn("batch", F.floor(F.col("index") / size).cast("long"))
+    out = with_row_index(df, key, total="_all").withColumn("batch", F.floor(F.col("index") / size).cast("long"))
     if drop_last:
-        out = out.where(F.col("batch") < df.count() // size)
-    return out if most_rows is None else out.where(F.col("batch") < most_rows // size)
+        out = out.where(F.col("batch") < F.floor(F.col("_all") / size))
+    return (out if most_rows is None else out.where(F.col("batch") < most_rows // size)).drop("_all")
 
 
 def loaded(df: DataFrame, key: str, size: int, times: int = 1) -> DataFrame:
@@ -74,8 +74,8 @@ def loaded(df: DataFrame, key: str, size: int, times: int = 1) -> DataFrame:
 
 def rank_shard(df: DataFrame, key: str, world: int, rank: int, drop_last: bool = True) -> DataFrame:
     """Every world-th row from rank on; drop_last gives all ranks the same number."""
-    out = with_row_index(df, key).where(F.col("index") % world == rank)
-    return out.where(F.col("index") < df.count() // world * world) if drop_last else out
+    out = with_row_index(df, key, total="_all").where(F.col("index") % world == rank)
+    return (out.where(F.col("index") < F.floor(F.col("_all") / world) * world) if drop_last else out).drop("_all")
 
 
 def collated(df: DataFrame, batch: str, order: str, *columns: str) -> DataFrame:

@@ -73,14 +73,14 @@ def wire_roundtrip(spark, sf_dir):
     return packed.select("vec_id", F.posexplode(codec.decoded(F.col("w"))).alias("dim", "x"))
 
 
-@query("""WITH p AS (SELECT vec_id, [floor(255 * greatest(0, least(1, v::DOUBLE + 0.5)))::INTEGER FOR v IN embedding[1:48]] AS p FROM embeddings), i AS (SELECT range AS i FROM range(48))
-SELECT vec_id, i::INTEGER AS i, p[(15 - i // 3) * 3 + (2 - i % 3) + 1] AS v FROM p, i""")
+@query("""WITH p AS (SELECT vec_id, [floor(255 * greatest(0, least(1, v::DOUBLE + 0.5)))::INTEGER FOR v IN embedding] AS p FROM embeddings), i AS (SELECT range AS i FROM range(64))
+SELECT vec_id, i::INTEGER AS i, p[(15 - i // 4) * 4 + (3 - i % 4) + 1] AS v FROM p, i""")
 def image_views(spark, sf_dir):
-    """4 x 4 pictures of a vector, turned by half a turn, their channels reversed: every byte."""
-    samples = F.transform(F.slice("embedding", 1, 48), lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v.cast("double") + 0.5)))
-    turned = images.flipped_channels(images.turned(images.to_uint8(samples, 4, 4)))
+    """4 x 4 pictures of a vector in four channels, turned by half a turn, their channels reversed: every byte."""
+    samples = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v.cast("double") + 0.5)))
+    turned = images.flipped_channels(images.turned(images.to_uint8(samples, 4, 4, 4)))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", turned.alias("image")).select("vec_id", F.hex("image.data").alias("h"))
-    cells = rows.select("vec_id", "h", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("i"))
+    cells = rows.select("vec_id", "h", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     return cells.select("vec_id", "i", F.conv(F.substring("h", F.col("i") * 2 + 1, F.lit(2)), 16, 10).cast("int").alias("v"))
 
 
@@ -90,10 +90,10 @@ def server_timing(spark, sf_dir):
     return s.select("user_id", "step", F.col("value").alias("infer_ms"), "prev_total_ms")
 
 
-@query("SELECT q.range AS q, k.range AS k, (q.range // 3) >= (k.range // 4) AS seen FROM range(24) q, range(24) k")
+@query("SELECT o_orderkey, q, k, (q // 3) >= (k // 4) AS seen FROM (SELECT o_orderkey, o_orderkey % 24 AS q, o_custkey % 24 AS k FROM orders)")
 def block_masks(spark, sf_dir):
-    both = spark.range(24).select(F.col("id").alias("q")).join(spark.range(24).select(F.col("id").alias("k")), F.lit(True))
-    return both.select("q", "k", encodings.block_mask(F.col("q"), F.col("k"), 4, 3).alias("seen"))
+    both = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 24).alias("q"), (F.col("o_custkey") % 24).alias("k"))
+    return both.select("o_orderkey", "q", "k", encodings.block_mask(F.col("q"), F.col("k"), 4, 3).alias("seen"))
 
 
 @query("""WITH c AS (SELECT vec_id, label % 2 = 0 AS second, vec_id % 5 AS n FROM embeddings)
@@ -106,12 +106,12 @@ def prefix_masks(spark, sf_dir):
     return masks.select("vec_id", F.posexplode(F.arrays_zip("v.valid", "v.ar")).alias("place", "z")).select("vec_id", "place", "z.valid", "z.ar")
 
 
-@query("""WITH d AS (SELECT vec_id, label, unnest(embedding[1:4])::DOUBLE AS x, unnest(embedding[5:8])::DOUBLE AS y, unnest(embedding[9:12])::DOUBLE AS g FROM embeddings)
+@query("""WITH d AS (SELECT vec_id, label, unnest(embedding[1:21])::DOUBLE AS x, unnest(embedding[22:42])::DOUBLE AS y, unnest(embedding[43:63])::DOUBLE AS g FROM embeddings)
 SELECT vec_id, round(sum(CASE WHEN label % 4 = 0 THEN x ELSE x + y * (CASE WHEN label % 3 = 0 THEN 1 ELSE g END) END), 6) AS total FROM d GROUP BY vec_id""")
 def gated_sums(spark, sf_dir):
-    cut = lambda i: F.transform(F.slice("embedding", i, 4), lambda v: v.cast("double"))
-    gate = F.transform(cut(9), lambda v: F.when(F.col("label") % 3 != 0, v))
-    out = arrays.gated_residual(cut(1), F.when(F.col("label") % 4 != 0, cut(5)), gate)
+    cut = lambda i: F.transform(F.slice("embedding", i, 21), lambda v: v.cast("double"))
+    gate = F.transform(cut(43), lambda v: F.when(F.col("label") % 3 != 0, v))
+    out = arrays.gated_residual(cut(1), F.when(F.col("label") % 4 != 0, cut(22)), gate)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(out, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 

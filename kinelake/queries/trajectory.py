@@ -181,9 +181,10 @@ def fsq_codes(spark, sf_dir):
     return out.select("vec_id", "code", *[F.round(F.get(levels, F.lit(i)), 6).alias(f"z{i}") for i in range(4)])
 
 
-@query("SELECT vec_id, list_sum([CASE WHEN embedding[i + 1] > 0 THEN 2**i ELSE 0 END FOR i IN range(10)])::BIGINT AS code FROM embeddings")
+@query("SELECT vec_id, w::INTEGER AS word, list_sum([CASE WHEN embedding[16 * w + i + 1] > 0 THEN 2**i ELSE 0 END FOR i IN range(16)])::BIGINT AS code FROM embeddings, range(4) t(w)")
 def sign_codes(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", encodings.bits_index(F.slice("embedding", 1, 10)).alias("code"))
+    words = F.array(*[encodings.bits_index(F.slice("embedding", 16 * w + 1, 16)) for w in range(4)])
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(words).alias("word", "code"))
 
 
 @query("""WITH p AS (SELECT vec_id, greatest(0.05, least(1, abs(embedding[1]::DOUBLE) * 2)) AS g FROM embeddings),
@@ -239,40 +240,41 @@ def rotary_positions(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(v).alias("dim", "v")).select("vec_id", "dim", F.round("v", 6).alias("v"))
 
 
-@query(f"""WITH {_DIMS}, x AS (SELECT vec_id, dim, x * 8 AS x FROM d WHERE dim < 10), m AS (SELECT vec_id, max(x) AS m, sum(exp(x)) AS s, arg_max(dim, x) AS best FROM x GROUP BY vec_id)
+@query(f"""WITH {_DIMS}, x AS (SELECT vec_id, dim, x * 8 AS x FROM d), m AS (SELECT vec_id, max(x) AS m, sum(exp(x)) AS s, arg_max(dim, x) AS best FROM x GROUP BY vec_id)
 SELECT vec_id, dim, round(exp(x) / s, 6) AS p, round(x - ln(s), 6) AS logp, (dim = best)::INTEGER AS best FROM x JOIN m USING (vec_id)""")
 def softmax_logits(spark, sf_dir):
-    x = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * 8)
-    z = F.arrays_zip(arrays.softmax(x).alias("p"), arrays.log_softmax(x).alias("l"), arrays.one_hot(arrays.arg_max(x), 10).alias("b"))
+    x = F.transform("embedding", lambda v: v.cast("double") * 8)
+    z = F.arrays_zip(arrays.softmax(x).alias("p"), arrays.log_softmax(x).alias("l"), arrays.one_hot(arrays.arg_max(x), 64).alias("b"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(z).alias("dim", "z"))
     return rows.select("vec_id", "dim", F.round("z.p", 6).alias("p"), F.round("z.l", 6).alias("logp"), F.col("z.b").alias("best"))
 
 
-@query("""WITH d AS (SELECT vec_id, (vec_id % 10) / 10.0 AS t, unnest(range(8))::INTEGER AS dim, unnest(embedding[1:8])::DOUBLE AS a, unnest(embedding[9:16])::DOUBLE AS n FROM embeddings)
+@query("""WITH d AS (SELECT vec_id, (vec_id % 10) / 10.0 AS t, unnest(range(32))::INTEGER AS dim, unnest(embedding[1:32])::DOUBLE AS a, unnest(embedding[33:64])::DOUBLE AS n FROM embeddings)
 SELECT vec_id, round(sum(t * n + (1 - t) * a), 6) AS x, round(sum(n - a), 6) AS u, round(avg((n - a) * (n - a)), 6) AS mse FROM d GROUP BY vec_id""")
 def flow_targets(spark, sf_dir):
-    cut = lambda i: F.transform(F.slice("embedding", i, 8), lambda v: v.cast("double"))
+    cut = lambda i: F.transform(F.slice("embedding", i, 32), lambda v: v.cast("double"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    a, n, t = cut(1), cut(9), (F.col("vec_id") % 10) / 10.0
+    a, n, t = cut(1), cut(33), (F.col("vec_id") % 10) / 10.0
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.round(total(arrays.interpolate(n, a, t)), 6).alias("x"), F.round(total(arrays.difference(n, a)), 6).alias("u"), F.round(arrays.mean_square(n, a), 6).alias("mse")
     )
 
 
-@query("SELECT vec_id, round(list_sum(embedding[1:4])::DOUBLE * pow(0.9, 10), 5) AS total FROM embeddings")
+@query("SELECT vec_id, round(list_sum([x::DOUBLE FOR x IN embedding]) * pow(0.9, 10), 5) AS total FROM embeddings")
 def euler_decay(spark, sf_dir):
     """Ten steps of x' = x, from time 1 to 0."""
-    x = encodings.euler_steps(F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double")), lambda v, t: v)
+    x = encodings.euler_steps(F.transform("embedding", lambda v: v.cast("double")), lambda v, t: v)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), 5).alias("total"))
 
 
-@query("""WITH k AS (SELECT range AS step FROM range(0, 40000, 100))
-SELECT step, round(CASE WHEN step < 1000 THEN 2.5e-5 / 1001 + (2.5e-5 - 2.5e-5 / 1001) * step / 1000 ELSE 2.5e-6 + (2.5e-5 - 2.5e-6) * 0.5 * (1 + cos(pi() * least(1, (step - 1000) / 29000.0))) END * 1e9, 3) AS cosine,
+@query("""WITH k AS (SELECT o_orderkey, o_orderkey % 4000 * 10 AS step FROM orders)
+SELECT o_orderkey, step, round(CASE WHEN step < 1000 THEN 2.5e-5 / 1001 + (2.5e-5 - 2.5e-5 / 1001) * step / 1000 ELSE 2.5e-6 + (2.5e-5 - 2.5e-6) * 0.5 * (1 + cos(pi() * least(1, (step - 1000) / 29000.0))) END * 1e9, 3) AS cosine,
 round(CASE WHEN step < 1000 THEN 5e-5 / 1001 + (5e-5 - 5e-5 / 1001) * step / 1000 ELSE 5e-5 / sqrt((10000 + step - 1000) / 10000.0) END * 1e9, 3) AS rsqrt FROM k""")
 def lr_schedule(spark, sf_dir):
     step = F.col("step")
     cosine, rsqrt = encodings.warmup_cosine(step, 1000, 2.5e-5, 30_000, 2.5e-6), encodings.warmup_rsqrt(step, 1000, 5e-5, 10_000)
-    return spark.range(0, 40_000, 100).select(F.col("id").alias("step")).select("step", F.round(cosine * 1e9, 3).alias("cosine"), F.round(rsqrt * 1e9, 3).alias("rsqrt"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4000 * 10).alias("step"))
+    return rows.select("o_orderkey", "step", F.round(cosine * 1e9, 3).alias("cosine"), F.round(rsqrt * 1e9, 3).alias("rsqrt"))
 
 
 @query("SELECT user_id, arg_max(value, ts) AS value, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id")

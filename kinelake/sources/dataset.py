@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .files import write_steps, write_text
+from ..operators.blocks import SIZE, Strided
+from ..operators.reshape import with_task_prompt
+from ..operators.time_windows import at_frames
+from .files import read_dataset_info, window_steps, write_steps, write_text
 
 
 def declared(df: DataFrame, features: T.StructType, exact: bool = True) -> DataFrame:
@@ -74,3 +77,17 @@ def with_checkpoint(df: DataFrame, environment: str, checkpoints: Mapping[str, t
     known = F.when(found.isNotNull(), found).otherwise(F.raise_error(F.concat(F.lit("no checkpoint for "), F.coalesce(F.col(environment), F.lit("null")))).cast("struct<config:string,checkpoint:string>"))
     chosen = known if own is None else F.coalesce(own, known)
     return df.withColumn("_c", chosen).select(*df.columns, "_c.config", "_c.checkpoint")
+
+
+def read_windows(spark: SparkSession, folder: str, seconds: Mapping[str, Sequence[float]], episode: str = "episode_index", step: str = "frame_index", block: int = SIZE) -> DataFrame:
+    """A dataset's steps with columns as windows at offsets in seconds (the dataset's rate makes them frames), each with <column>_is_pad.
+
+    Offsets may be uneven and negative, but have to lie on frames; outside its episode a window repeats the first or the last frame.
+    With task_index among the features the task's text is the prompt.
+    """
+    fps, tasks = read_dataset_info(spark, folder)
+    rows = read_dataset(spark, folder)
+    for column, own in seconds.items():
+        made = at_frames(rows, Strided(episode, step, block), column, window_steps(own, fps), "_window")
+        rows = made.drop(column).withColumnsRenamed({"_window": column, "_window_is_pad": f"{column}_is_pad"})
+    return with_task_prompt(rows, tasks) if tasks and "task_index" in rows.columns else rows

@@ -8,8 +8,8 @@
 
 A file that says in its name which episodes it holds (`...-e<first>-<last>.<ext>`, as both writers name theirs) is not opened
 when a filter on the episode column rules it out; parquet row groups are ruled out by their statistics too. All filters are
-checked again by Spark, so a wrong name could hide rows, but no row that fails a filter ever shows. A scan's description in
-the plan says how many files are left.
+checked again by Spark, so a wrong name could hide rows, but no row that fails a filter ever shows. What is left open shows
+as the scan's partitions.
 
 `SOURCES` names datasets: which format, and which columns take part. `open_source` reads one.
 """

@@ -77,11 +77,11 @@ def test_two_arm_cameras(spark):
     with pytest.raises(ValueError, match="cam_odd"):
         data.incoming()(named)
     # the dataset's names are repacked for training alone
-    lerobot = df.where("id = 0").select(F.col("images")["cam_high"].alias("observation.images.top"), F.col("state").alias("observation.state"), F.array("state").alias("action"))
-    made = P.pipeline("two_arm_flow", model=P.model_group("flow", 32, "fold", None)).training()(lerobot).first()
+    stored = df.where("id = 0").select(F.col("images")["cam_high"].alias("observation.images.top"), F.col("state").alias("observation.state"), F.array("state").alias("action"))
+    made = P.pipeline("two_arm_flow", model=P.model_group("flow", 32, "fold", None)).training()(stored).first()
     assert made.prompt_text == "fold\n" and len(made.actions[0]) == 32
     with pytest.raises(KeyError):  # a dataset's table has to have all its columns
-        data.training()(lerobot.drop("action"))
+        data.training()(stored.drop("action"))
     assert data.training()(df.where("id = 0")).count() == 1  # in the robot's terms already
 
 
@@ -272,6 +272,13 @@ def test_datasets_declare_what_they_hold(spark, tmp_path):
             dataset.write_dataset(bad, folder, features, 15)
     with pytest.raises(Exception, match="3 elements, not 2"):
         dataset.checked_sizes(df.withColumn("state", F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))), {"state": 2}).collect()
+    seen = {(r.episode_index, r.frame_index): r for r in dataset.read_windows(spark, folder, {"state": [-2 / 15, 0.0, 1 / 15, 4 / 15]}, block=3).collect()}
+    for (e, f), r in seen.items():
+        at = [f - 2, f, f + 1, f + 4]
+        assert [v[0] for v in r.state] == [e * 10.0 + min(max(k, 0), 9) for k in at] and list(r.state_is_pad) == [not 0 <= k < 10 for k in at] and r.prompt == "fold"
+    assert len(seen) == 40
+    with pytest.raises(ValueError):
+        dataset.read_windows(spark, folder, {"state": [0.05]})
     sizes = dataset.folder_sizes(files.find_files(spark, folder, "*.parquet"), len(tmp_path.parts) + 1).collect()
     assert [r.folder for r in sizes] == [f"{folder[1:]}/data"] and sizes[0].files >= 1 and sizes[0].bytes > 0
 

@@ -26,17 +26,18 @@ def lower_prompt(text: Column) -> Column:
     return F.translate(strip(F.lower(text)), "_", " ")
 
 
-def state_text(state: Column) -> Column:
-    """A normalised state's bins, with spaces between."""
-    return F.array_join(F.transform(state, lambda v: digitize(v.cast("double")).cast("string")), " ")
+def state_text(state: Column, closed: bool = True) -> Column:
+    """A normalised state's bins, with spaces between; those beyond [-1, 1) are -1 and 255, or go on in equal steps if not closed."""
+    own = (lambda v: digitize(v)) if closed else (lambda v: F.floor((v + 1) * 128).cast("int"))
+    return F.array_join(F.transform(state, lambda v: own(v.cast("double")).cast("string")), " ")
 
 
 # The prompt formats that models are trained on.
 ACTION_PROMPT, ACTION_PREFIX = "Task: %s, State: %s;\nAction: ", "Task: %s, State: %s;\n"
 
 
-def action_prompt(prompt: Column, state: Column) -> Column:
-    return F.format_string(ACTION_PROMPT, clean_prompt(prompt), state_text(state))
+def action_prompt(prompt: Column, state: Column, closed: bool = True) -> Column:
+    return F.format_string(ACTION_PROMPT, clean_prompt(prompt), state_text(state, closed))
 
 
 def action_prefix(prompt: Column, state: Column) -> Column:

@@ -25,13 +25,14 @@ def norm_stats(values: DataFrame, by: Sequence[str] = ("key", "dim"), low: float
     """n, mean, std (of the population), q01 and q99 of x for each group.
 
     A quantile is the left edge of the first of bins equal parts of [min, max] at which the cumulated count reaches its
-    share, so it is exact to one part. Two passes, each an aggregate of a few numbers (and of bins) for a group.
+    share, so it is exact to one part. Two passes, each an aggregate of a few numbers (and of bins) for a group. The values
+    meet their group's range by a broadcast of one row for each group, so that they are never shuffled by group.
     """
     by = list(by)
     whole = values.groupBy(*by).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("_min"), F.max("x").alias("_max"))
     width = (F.col("_max") - F.col("_min")) / bins
     part = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("_min")) / width), F.lit(bins - 1))).otherwise(0)
-    histogram = values.where("x IS NOT NULL").join(whole.select(*by, "_min", "_max"), by).groupBy(*by, part.alias("_part")).agg(F.count("*").alias("_count"))
+    histogram = values.where("x IS NOT NULL").join(F.broadcast(whole.select(*by, "_min", "_max")), by).groupBy(*by, part.alias("_part")).agg(F.count("*").alias("_count"))
     so_far = F.sum("_count").over(Window.partitionBy(*by).orderBy("_part"))
     reached = histogram.withColumn("_so_far", so_far).join(whole.select(*by, "n"), by).groupBy(*by).agg(
         *[F.min(F.when(F.col("_so_far") >= F.col("n") * q, F.col("_part"))).alias(name) for q, name in ((low, "_low"), (high, "_high"))]

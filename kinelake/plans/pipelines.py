@@ -15,6 +15,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import small_batches
 from ..functions import arrays, images, robots, text, tokenizers
 from ..operators import reshape
 
@@ -145,6 +146,7 @@ def _slots(df: DataFrame, views: Mapping[str, Column | None], always: bool) -> D
 
     always: missing views count as there too, as token models take them.
     """
+    small_batches(df.sparkSession)
     first, base = next(iter(views.items()))
     pictures = {k: None if v is None else _picture(df, v) for k, v in views.items()}
     base = F.coalesce(pictures[first], F.raise_error(F.lit(f"no picture for {first}")).cast(images.IMAGE))
@@ -186,7 +188,13 @@ def one_arm_views(base: str, wrist: str, model: str, wrist_last: bool) -> Transf
 
 
 def resized_views(height: int, width: int) -> Transform:
-    return lambda df: df.withColumn("image", images.resized_map(F.col("image"), height, width)) if "image" in df.columns else df
+    def run(df: DataFrame) -> DataFrame:
+        if "image" not in df.columns:
+            return df
+        small_batches(df.sparkSession)
+        return df.withColumn("image", images.resized_map(F.col("image"), height, width))
+
+    return run
 
 
 @dataclass(frozen=True)

@@ -44,7 +44,8 @@ def _bytes_weighed(image: Column) -> Column:
 def _told(made: DataFrame, back: DataFrame) -> DataFrame:
     """Long rows: state, actions, each view (its bytes weighed, dim 0, and its mask, dim 1) and what goes out."""
     place = lambda df, part, column: df.select("vec_id", F.lit(part).alias("part"), F.posexplode(column).alias("step", "_a")).select("vec_id", "part", "step", F.posexplode("_a").alias("dim", "v"))
-    views = made.select("vec_id", F.explode("image").alias("part", "_i"), "image_mask").select("vec_id", "part", F.lit(0).alias("step"), F.posexplode(F.array(_bytes_weighed(F.col("_i")).cast("double"), F.col("image_mask")[F.col("part")].cast("double"))).alias("dim", "v"))
+    # an outer explode: before a plain one Spark puts a filter on the map's size, which makes every view a second time
+    views = made.select("vec_id", F.explode_outer("image").alias("part", "_i"), "image_mask").select("vec_id", "part", F.lit(0).alias("step"), F.posexplode(F.array(_bytes_weighed(F.col("_i")).cast("double"), F.col("image_mask")[F.col("part")].cast("double"))).alias("dim", "v"))
     rows = place(made, "state", F.array("state")).unionByName(place(made, "actions", "actions")).unionByName(views).unionByName(place(back, "out", "actions"))
     return rows.select("vec_id", "part", "step", "dim", F.round("v", 6).alias("v"))
 

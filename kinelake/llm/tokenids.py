@@ -53,6 +53,11 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _MARK[0x21:0x7F] = ~_LETTER[0x21:0x7F]
 _MARK[ord("'")] = False
 _LINE, _SPACE = 10, 32
+#: Slots for parts of up to _SHORT bytes, and ids that are kept for them.
+SLOT_BITS, STORED_IDS, _SHORT = 20, 1 << 22, 15
+#: The first n bytes of eight, and factors that mix them.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def width(vocabulary: int) -> int:
@@ -179,7 +184,8 @@ class Encoder:
     Texts are cut where byte-level BPE always begins a new piece: at a single space between two characters that aren't white
     space, between a letter and an ASCII digit or mark other than the apostrophe, and on either side of a single line break between others. So
     the parts have the ids that they have in the whole (a text with a special token's name stays whole). The library is asked once for each part, mostly a word, and what it
-    says is remembered under the part's own bytes; long parts are asked for each time.
+    says is remembered under the part's own bytes; long parts are asked for each time. Parts of up to 15 bytes, which are nearly all, are
+    looked up many at once: a hash finds a part's slot, and the bytes and the length that are kept there decide.
     """
 
     def __init__(self, path: str, most: int = CACHE_PIECES):
@@ -188,23 +194,27 @@ class Encoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[bytes, bytes] = {}
+        # a slot for a part of few bytes: the part itself and its length as two numbers, and where its ids are in the store
+        self.key, self.length_key = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint64)
+        self.first, self.count = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
+        self.store, self.stored = np.zeros(1 << 16, "<u4"), 0
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # a line break between a part's end and a space is a piece by itself, so parts without one can be asked for together
+        # a line break between a part's end and a space, or what is no white space, is a piece by itself, so parts without one can be asked for together
         line = self.tokenizer.encode("a\n b", add_special_tokens=False).ids
         self.line = line[1] if len(line) == 3 else None
 
     def _asked(self, parts: list[bytes]) -> list[bytes]:
         text = {p: p.decode() for p in parts}
-        plain = [p for p in parts if self.line is not None and p[:1] == b" " and b"\n" not in p and not text[p][-1].isspace()]
+        plain = [p for p in parts if self.line is not None and b"\n" not in p and (p[:1] == b" " or not text[p][0].isspace()) and not text[p][-1].isspace() and not any(x in text[p] for x in self.special)]
         rest = sorted(set(parts).difference(plain))
         groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
         got = self.tokenizer.encode_batch_fast(["\n".join(map(text.get, g)) for g in groups] + list(map(text.get, rest)), add_special_tokens=False)
         found: dict[bytes, bytes] = {}
         for g, e in zip(groups, got):
             ids = np.array(e.ids, "<u4")
-            cut = np.flatnonzero(ids == self.line)
-            for p, a, b in zip(g, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
-                found[p] = ids[a:b].tobytes()
+            cut, raw = 4 * np.flatnonzero(ids == self.line), ids.tobytes()
+            for p, a, b in zip(g, [0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True):
+                found[p] = raw[a:b]
         found |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(rest, got[len(groups) :], strict=True)}
         return [found[p] for p in parts]
 
@@ -231,21 +241,51 @@ class Encoder:
             begins[ends[i] - len(raw[i]) : ends[i]] = False
         begins[ends - [len(r) for r in raw]] = True
         begin = np.flatnonzero(begins[:-1])
-        at = begin.tolist()
-        parts = [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)])]
+        first, count = self._looked_up(joined, begin)
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = self.store[np.repeat(first - total[:-1], count) + np.arange(total[-1])]
+        if self.stored > STORED_IDS:
+            self.stored, self.length_key[:] = 0, 0
+        edge = total[np.searchsorted(begin, np.concatenate([[0], ends]))]
+        return [ids[a:b] for a, b in zip(edge.tolist(), edge[1:].tolist())]
+
+    def _looked_up(self, joined: bytes, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the store the ids of the parts that begin there are, and how many."""
+        size = np.diff(begin, append=len(joined))
+        eight = np.ndarray(len(joined) + 8, "<u8", joined + bytes(16), strides=(1,))  # the eight bytes from each place on
+        key = eight[begin] & _FIRST[np.minimum(size, 8)]
+        length_key = eight[begin + 8] & _FIRST[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+        slot = ((key ^ length_key * _ODD[0]) * _ODD[1] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        short = size <= _SHORT
+        first, count = self.first[slot], self.count[slot]
+        miss = np.flatnonzero(~(short & (self.key[slot] == key) & (self.length_key[slot] == length_key)))
+        if len(miss):
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(joined[a:b], len(number)) for a, b in zip(begin[miss].tolist(), (begin + size)[miss].tolist())])
+            got = self._ids(list(number))
+            lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
+            ends = self.stored + np.cumsum(lengths)
+            if ends[-1] > len(self.store):
+                self.store = np.concatenate([self.store[: self.stored], np.zeros(2 * int(ends[-1]) - self.stored, "<u4")])
+            self.store[self.stored : ends[-1]] = np.frombuffer(b"".join(got), "<u4")
+            self.stored = int(ends[-1])
+            first[miss], count[miss] = (ends - lengths)[which], lengths[which]
+            put = miss[short[miss]]
+            for table, own in ((self.key, key), (self.length_key, length_key), (self.first, first), (self.count, count)):
+                table[slot[put]] = own[put]
+        return first, count
+
+    def _ids(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts."""
         got = list(map(self.known.get, parts))
-        missing = list({p for p, g in zip(parts, got, strict=True) if g is None})
+        missing = [p for p, g in zip(parts, got, strict=True) if g is None]
         if missing:
             new = dict(zip(missing, self._asked(missing), strict=True))
             got = [new[p] if g is None else g for p, g in zip(parts, got, strict=True)]
             if len(self.known) + len(new) > self.most:
                 self.known.clear()
             self.known.update((p, ids) for p, ids in new.items() if len(p) <= PIECE_BYTES)
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.frombuffer(b"".join(got), "<u4")
-        edge = total[np.searchsorted(begin, np.concatenate([[0], ends]))]
-        return [ids[a:b] for a, b in zip(edge.tolist(), edge[1:].tolist())]
+        return got
 
 
 _encoders: dict[str, Encoder] = {}
